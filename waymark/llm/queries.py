@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, simhash
+from . import mixing, pieces, quality_rules, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_secrets": op2_secrets,
+        "op10_pieces": op10_pieces,
         "op3_simhash": op3_simhash,
         "op5_mixing": op5_mixing,
         "op9_quality_rules": op9_quality_rules,
