@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_rules, secrets, simhash, toxicity
+from . import media, mixing, pieces, quality_rules, secrets, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Query]:
         "op10_pieces": op10_pieces,
         "op3_simhash": op3_simhash,
         "op5_mixing": op5_mixing,
+        "op8_media": op8_media,
         "op9_quality_rules": op9_quality_rules,
     }
 
