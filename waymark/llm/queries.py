@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, pieces, quality_rules, secrets, simhash, suffixes, toxicity
+from . import media, mixing, pieces, quality_model, quality_rules, secrets, simhash, suffixes, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op10_pieces": op10_pieces,
         "op3_simhash": op3_simhash,
         "op5_mixing": op5_mixing,
+        "op6_quality": op6_quality,
         "op7_suffixes": op7_suffixes,
         "op8_media": op8_media,
         "op9_quality_rules": op9_quality_rules,
