@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, quality_model, quality_rules, secrets, simhash, suffixes, toxicity
+from . import media, mixing, pieces, quality_model, quality_rules, secrets, simhash, suffixes, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,39 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    page = lambda c: F.substring(c, 2, 19).cast("long")
+    return found.select(
+        page("record_id").alias("page_id"), "outcome", page("refers_to").alias("refers_to"), F.col("headers")["date"].alias("date"), F.col("headers")["content-length"].alias("content_length"), F.col("headers")["etag"].alias("etag")
+    )
+
+
+OP4_SQL = r"""
+with u as (
+  select page_id, md5(coalesce(html, '')) as tag, cast(coalesce(strlen(html), 0) as varchar) as size,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') as bare
+  from pages),
+v as (
+  select page_id, tag, size,
+         regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '') as host,
+         regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+         array_to_string(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+                                     lambda x: not regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)=')), '&') as query
+  from u),
+k as (select page_id, tag, size, host || path || case when query <> '' then '?' || query else '' end as key from v),
+j as (select b.page_id, b.tag as new_tag, a.page_id as hit, a.tag as old_tag, a.size
+      from (select *, page_id + 1099511627776 as t from k) b asof left join k a on a.key = b.key and a.page_id < b.t)
+select page_id,
+       case when hit is null then 'missing' when new_tag <> old_tag then 'mismatch' else 'resolved' end as outcome,
+       case when new_tag = old_tag then hit end as refers_to,
+       case when new_tag = old_tag then cast(page_id + 1099511627776 as varchar) end as date,
+       case when new_tag = old_tag then size end as content_length,
+       case when new_tag = old_tag then 'W/' || new_tag end as etag
+from j
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,15 +88,16 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_secrets": op2_secrets,
-        "op10_pieces": op10_pieces,
         "op3_simhash": op3_simhash,
+        "op4_warc": op4_warc,
         "op5_mixing": op5_mixing,
         "op6_quality": op6_quality,
         "op7_suffixes": op7_suffixes,
         "op8_media": op8_media,
         "op9_quality_rules": op9_quality_rules,
+        "op10_pieces": op10_pieces,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4_SQL}
