@@ -1 +1,59 @@
+"""State over streams: full showings with a cooldown, and blocking once."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.activity import BLOCK_TTL, COOLDOWN
+
+
+class _Stands(StatefulProcessor):
+    """Keeps the time of the last event that stood; an event stands if that is `seconds` ago, or more than that if again."""
+
+    def __init__(self, seconds: int, again: bool, keys: list[str]):
+        self.seconds, self.again, self.keys = seconds, again, keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t long", ttlDurationMs=None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["t", "ord"], kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
+        stands = []
+        for t in events["t"].tolist():
+            late = last is None or (t - last > self.seconds if self.again else t - last >= self.seconds)
+            last = t if late else last
+            stands.append(late)
+        self.last.update((int(last),))
+        out = pd.DataFrame({k: [v] * len(stands) for k, v in zip(self.keys, key)})
+        yield out.assign(ord=events["ord"].to_numpy(), t=events["t"].to_numpy(), stands=stands)
+
+    def close(self) -> None:
+        pass
+
+
+def _run(events: DataFrame, keys: list[str], seconds: int, again: bool) -> DataFrame:
+    types = dict(events.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ord long, t long, stands boolean"
+    return events.select(*keys, "ord", "t").groupBy(*keys).transformWithStateInPandas(_Stands(seconds, again, keys), schema, "Append", "None")
+
+
+def cooldown(events: DataFrame, keys: list[str], seconds: int = COOLDOWN) -> DataFrame:
+    """A stream of events(keys, ord long, t seconds) with stands; within a batch events go in order of t, then ord.
+
+    It needs spark.sql.streaming.stateStore.providerClass set to the RocksDB provider.
+    """
+    return _run(events, keys, seconds, again=True)
+
+
+def block_once(events: DataFrame, keys: list[str], seconds: int = BLOCK_TTL) -> DataFrame:
+    return _run(events, keys, seconds, again=False)
+
+
+def first_of_session(events: DataFrame, session: str = "session", ts: str = "ts", watermark: str = "24 hours") -> DataFrame:
+    """The first event of every session; a session is forgotten when the watermark has passed it."""
+    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([session])
