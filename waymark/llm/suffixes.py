@@ -232,13 +232,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """(did, th, lo, hi): bytes [lo, hi) of the document keyed did and th are covered by a repeated string."""
     listed = stash(docs.mapInArrow(_stretches, "did long, th long, first long, n int, o int, key long, s1 long, s2 long"))
     met = listed.groupBy("key").agg(F.count("*").alias("met"), F.min("s1").alias("a1"), F.max("s1").alias("b1"), F.min("s2").alias("a2"), F.max("s2").alias("b2"))
-    strings = met.where("met > 1").select("key", ((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("alike"))
+    # Stashed, so that the join has an exchange of its own on either side, which Spark splits where a string is hot.
+    strings = stash(met.where("met > 1").select("key", ((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("alike")))
     many = stash(listed.join(strings, "key"))
     mixed = many.where("not alike")
     kinds = stash(mixed.groupBy("key", "s1", "s2").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "first", "n", "o")).alias("one")))
     whole = mixed.join(kinds.where("times > 1").select("key", "s1", "s2"), ["key", "s1", "s2"]).select("did", "th", "first", "n").union(many.where("alike").select("did", "th", "first", "n"))
     whole = whole.select("did", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("hi"))
-    counts = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    counts = stash(kinds.groupBy("key").agg(F.count("*").alias("kinds")))
     wanted = kinds.join(counts, "key").select("key", "kinds", "one.*")
     of_doc = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("key", "kinds", "first", "n", "o")).alias("w"))
     text = F.col("text").cast("binary")
