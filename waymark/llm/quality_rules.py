@@ -1,7 +1,7 @@
 """Line-first quality rules, DataFrame operations only.
 
 Every line is judged by itself: punctuation (a line of mostly symbols, or of words with the same symbols stuck to each),
-navigation (a short line of separated items without sentence end) and boilerplate (licence, cookie and menu phrases).
+navigation (a line of items with separators between them) and boilerplate (licence, cookie and menu phrases).
 Failing lines go; a document that loses too much of its words with them is rejected.
 """
 
@@ -18,8 +18,7 @@ BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "priva
 TRIGGERS = ("rights", "terms", "privacy", "cookie", "cookies", "licensed", "powered")
 #: A line fails on punctuation if more than this share of its words hold a symbol or end in two exclamation marks.
 MAX_ODD_WORDS = 0.3
-#: A line fails as navigation if it has at most this many words and at least this many separators a word.
-NAV_WORDS = 12
+#: A line fails as navigation if it has at least this many separators a word.
 NAV_SHARE = 0.34
 #: A document is rejected if failing lines hold more than this share of its words.
 MAX_LOST = 0.5
@@ -45,7 +44,7 @@ def line_fails(line: Column) -> Column:
     return (
         F.when(words == 0, None)
         .when(odd > MAX_ODD_WORDS * words, F.lit("punctuation"))
-        .when((words <= NAV_WORDS) & (bars >= NAV_SHARE * words), F.lit("navigation"))
+        .when(bars >= NAV_SHARE * words, F.lit("navigation"))
         .when(has_phrase(line), F.lit("boilerplate"))
     )
 
