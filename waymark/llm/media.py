@@ -141,7 +141,7 @@ def describe(samples: bytes) -> tuple[pa.RecordBatch, list[tuple[int, int]], np.
     """(tensor blocks, segments in frames, frames) of 8-bit samples at RATE_IN."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     frames = log_mel(resample(x))
-    energy = frames.mean(axis=1)
+    energy = np.log(np.exp(frames).sum(axis=1))
     middle = float(np.median(energy))
     return tensors(frames), segments(energy, middle + OPEN, middle + CLOSE), frames
 
