@@ -52,7 +52,7 @@ def label_line(kind: Column, status: Column, ident: Column, severity: Column, co
 def recency(date: Column, now_months: int, most: float = 1.0) -> Column:
     """most up to twelve months of age, nothing from sixty, a line between; nothing for what is no year-month."""
     year, month = F.regexp_extract(date, r"^\s*(-?\d+)\s*-", 1), F.regexp_extract(date, r"^[^-]+-\s*(\d+)\s*(?:-|$)", 1)
-    age = now_months - (year.cast("int") * 12 + month.cast("int"))
+    age = now_months - (year.try_cast("int") * 12 + month.try_cast("int"))
     return F.when(age.isNull(), 0.0).when(age <= 12, most).when(age >= 60, 0.0).otherwise(most * (60 - age) / (60 - 12))
 
 

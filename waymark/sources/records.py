@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import empty_udf, prone_udf, valid_udf
@@ -81,7 +81,11 @@ def to_text(records: DataFrame) -> DataFrame:
 
 def anchors(records: DataFrame) -> DataFrame:
     """One row an anchor: id, source, kind, value, anchor_ord, severity, confidence, status."""
-    parts = F.flatten(F.array(*[F.transform(f"{kind}_anchors", lambda v, i, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("anchor_ord"))) for kind in ("path", "pattern", "symbol", "command")]))
+
+    def of(kind: str) -> Column:
+        return F.transform(f"{kind}_anchors", lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("anchor_ord")))
+
+    parts = F.flatten(F.array(*[of(kind) for kind in ("path", "pattern", "symbol", "command")]))
     return records.where(~F.col("broken")).select("id", "source", "severity", "confidence", "status", F.explode(parts).alias("a")).select("id", "source", "a.kind", "a.value", "a.anchor_ord", "severity", "confidence", "status")
 
 
@@ -109,7 +113,8 @@ def lint(parsed: DataFrame, today: str, symbols: bool = True) -> DataFrame:
     whole = parsed.where(~F.col("broken"))
     plain = whole.select("source", F.explode(F.array_compact(F.array(*rules))).alias("f")).select("source", "f.*")
     broken = parsed.where("broken").select("source", F.lit("error").alias("level"), F.lit("missing frontmatter").alias("message"))
-    listed = F.concat(*[F.transform(c, lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("rx"))) for k, c in (("pattern", "pattern_anchors"), ("command", "command_anchors"))], F.when(F.col("violation") != "", F.array(F.struct(F.lit("violation").alias("kind"), F.col("violation").alias("rx")))).otherwise(F.array().cast("array<struct<kind:string,rx:string>>")))
+    kind_of = lambda kind: F.transform(f"{kind}_anchors", lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("rx")))
+    listed = F.concat(kind_of("pattern"), kind_of("command"), F.when(F.col("violation") != "", F.array(F.struct(F.lit("violation").alias("kind"), F.col("violation").alias("rx")))).otherwise(F.array().cast("array<struct<kind:string,rx:string>>")))
     rx = whole.select("source", F.explode(listed).alias("p")).select("source", "p.*").distinct()
     judged = rx.select("source", "kind", valid_udf("rx").alias("ok"), prone_udf("rx").alias("prone"), empty_udf("rx").alias("empty"))
     message = F.when(~F.col("ok"), F.concat("kind", F.lit(" is no valid pattern"))).when((F.col("kind") == "command") & F.col("empty"), F.lit("command matches the empty text")).when(F.col("prone"), F.concat("kind", F.lit(" may backtrack without end")))
@@ -132,8 +137,6 @@ def promote(candidates: DataFrame, records: DataFrame, reviewer: str, today: str
     bad = lint(candidates, today).where("level = 'error'").select("source").distinct()
     top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     known = F.exists("authors", lambda a: F.lower(a) == reviewer.lower())
-    from pyspark.sql import Window
-
     good = candidates.join(bad, "source", "left_anti").crossJoin(F.broadcast(top))
     numbered = good.withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("source"))).drop("top")
     return numbered.withColumn("status", F.lit("active")).withColumn("authors", F.when(known, F.col("authors")).otherwise(F.array_append("authors", F.lit(reviewer))))
