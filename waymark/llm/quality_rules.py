@@ -31,9 +31,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def phrases() -> str:
+    """The forms of the phrases as one pattern."""
+    return "|".join(f for x in BOILERPLATE for f in (f"[{x[0].upper()}{x[0]}]{x[1:]}", x.upper()))
+
+
 def has_phrase(text: Column) -> Column:
-    forms = "|".join(f for x in BOILERPLATE for f in (f"[{x[0].upper()}{x[0]}]{x[1:]}", x.upper()))
-    return text.rlike(r"(?<![^\x20\x09-\x0D])(?:" + forms + r")(?![^\x20\x09-\x0D.,;:!?)])")
+    return text.rlike(r"(?<![^\x20\x09-\x0D])(?:" + phrases() + r")(?![^\x20\x09-\x0D.,;:!?)])")
 
 
 def line_fails(line: Column) -> Column:

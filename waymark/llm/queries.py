@@ -54,6 +54,51 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP5_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 9) as bigint) as h
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+p as (select *, (row_number() over (order by source asc nulls last) - 1) % 3 + 1 as w, row_number() over (order by source asc nulls last) as place, source_size * 3 as most from s),
+q as (select *, row_number() over (order by most / cast(w as double), place) as turn from p),
+r as (select *, cast(sum(source_size) over () - coalesce(sum(most) over (order by turn rows between unbounded preceding and 1 preceding), 0) as double) as room,
+             cast(sum(w) over () - coalesce(sum(w) over (order by turn rows between unbounded preceding and 1 preceding), 0) as double) as room_w from q),
+f as (select room, room_w, turn from r where w * room / room_w <= most order by turn limit 1),
+t as (select r.source, r.source_size, case when r.turn >= f.turn then r.w * f.room / f.room_w else cast(r.most as double) end as target from r, f),
+k as (select *, case when source_size > 0 then least(cast(floor(target / source_size) as bigint), 3) else 0 end as whole from t),
+b as (select *, target - whole * source_size as budget from k),
+e as (select source, h, sum(size) as size from d group by source, h),
+u as (select source, h, size, sum(size) over (partition by source order by h) as upto from e),
+g as (select b.source, min(struct_pack(h := u.h, size := u.size, before := u.upto - u.size)) as hit
+      from b join u on b.source is not distinct from u.source where u.upto > b.budget group by b.source),
+c as (select b.source, b.whole, b.source_size, b.target,
+             case when g.hit is null then 68719476736 else g.hit.h + case when g.hit.size - (b.budget - g.hit.before) < b.budget - g.hit.before then 1 else 0 end end as below
+      from b left join g on b.source is not distinct from g.source)
+select d.doc_id, cast(d.size as bigint) as size, c.source_size, c.target, cast(d.size * (c.whole + case when d.h < c.below and c.whole < 3 then 1 else 0 end) as bigint) as taken
+from d join c on d.source is not distinct from c.source
+"""
+
+
+OP9_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+l as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, string_split(text, chr(10)) as lines from d),
+g as (select *, case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) else [] end as grams from l),
+x as (select doc_id, unnest(grams) as gram, generate_subscripts(grams, 1) as at_word from g),
+y as (select doc_id, at_word from (select *, count(*) over (partition by doc_id, gram) as n from x) where n > 1),
+z as (select doc_id, sum(least(5, coalesce(after - at_word, 5))) as n from (select *, lead(at_word) over (partition by doc_id order by at_word) as after from y) group by doc_id),
+i as (select doc_id, unnest(lines) as line from g),
+m as (select doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n, len(regexp_extract_all(line, '[#*$%&<>]|!!')) as odd, len(regexp_extract_all(line, '[|»›•]| > ')) as bars,
+             regexp_matches(line, '(^|[\x20\x09-\x0D])({PHRASES})($|[\x20\x09-\x0D.,;:!?)])') as phrase from i),
+v as (select doc_id, count(*) as n_failed_lines, sum(n) as n_lost_words from m where n > 0 and (odd > 0.3 * n or bars >= 0.34 * n or phrase) group by doc_id),
+w as (select g.doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+             cast(len(list_filter(lines, lambda q: regexp_matches(q, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda q: regexp_matches(q, '[^\x20\x09-\x0D]')))) as bigint) as n_dup_lines,
+             cast(coalesce(z.n, 0) as bigint) as n_repeat_words, cast(coalesce(v.n_failed_lines, 0) as bigint) as n_failed_lines, cast(coalesce(v.n_lost_words, 0) as bigint) as n_lost_words
+      from g left join z using (doc_id) left join v using (doc_id))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and n_lost_words <= 0.5 * n_words as kept from w
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -100,4 +145,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL}
+    return {"op4_warc": OP4_SQL, "op5_mixing": OP5_SQL, "op9_quality_rules": OP9_SQL.replace("{PHRASES}", quality_rules.phrases())}
