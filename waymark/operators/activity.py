@@ -85,3 +85,29 @@ def newest(lines: DataFrame, n: int) -> DataFrame:
 def last_labels(labels: DataFrame) -> DataFrame:
     """labels(id, label, line_no): the last line of each id wins; other labels than keep and discard are passed over."""
     return labels.where(F.col("label").isin("keep", "discard")).groupBy("id").agg(F.max_by("label", "line_no").alias("label"))
+
+
+def draft_window(last_check: float | None, now: float, most: float = 24 * 3600) -> float:
+    """Where the window of a draft check begins: at the last check, but at most `most` seconds back."""
+    return max(last_check or 0.0, now - most)
+
+
+def stale(markers: DataFrame, now: float, days: float = 7) -> DataFrame:
+    """markers(name, mtime seconds) older than `days`, the limit itself excluded."""
+    return markers.where(F.col("mtime") < now - days * 86_400)
+
+
+def ages(candidates: DataFrame, now: float) -> DataFrame:
+    """candidates(name, mtime) with their age in days, oldest first."""
+    return candidates.select("name", F.round((now - F.col("mtime")) / 86_400, 1).alias("days")).orderBy(F.col("days").desc(), "name")
+
+
+def histogram(values: DataFrame, bins: int = 10) -> DataFrame:
+    """values(value) between 0 and 1 in equal bins, the last closed: (bin, n)."""
+    return values.groupBy(F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def survival(outcomes: DataFrame) -> DataFrame:
+    """outcomes(outcome) -> survived, failed and the share of survivors among both."""
+    survived, failed = F.count_if(F.col("outcome") == "survived"), F.count_if(F.col("outcome") == "failed")
+    return outcomes.agg(survived.alias("survived"), failed.alias("failed"), F.when(survived + failed > 0, survived / (survived + failed)).alias("share"))

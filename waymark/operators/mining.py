@@ -98,3 +98,12 @@ def precision(ranked: DataFrame, labels: DataFrame, at: list[int]) -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     each = row.select(F.explode(F.array_distinct("at")).alias("x"), share(F.col("good"), F.col("all")).alias("base_rate"))
     return each.select(F.col("x.n").cast("long").alias("n"), F.col("x.labeled").alias("labeled_in_top"), share(F.col("x.kept"), F.col("x.labeled")).alias("precision"), "base_rate").withColumn("lift", F.col("precision") - F.col("base_rate"))
+
+
+def anchor_paths(ranked: DataFrame, changes: DataFrame, tracked: DataFrame, most: int = 3) -> DataFrame:
+    """(id, path): tracked paths to anchor a candidate at: its own, or the first `most` that a revert's commit touched."""
+    own = ranked.where("section <> 'revert'").select("id", F.coalesce(F.element_at(F.split("location", ":"), 1), "file", "component").alias("path"))
+    touched = ranked.where("section = 'revert'").select("id", "commit").join(changes.select(F.substring("sha", 1, 8).alias("commit"), "path").distinct(), "commit")
+    alive = touched.join(tracked.select("path"), "path", "left_semi")
+    first = alive.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("path"))).where(F.col("r") <= most)
+    return own.join(tracked.select("path"), "path", "left_semi").select("id", "path").union(first.select("id", "path"))

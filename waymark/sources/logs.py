@@ -92,3 +92,53 @@ def definitions(sources: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "name", "first", "last", "shingles"])
 
     return sources.where(F.col("path").endswith(".py")).select("path", "content").mapInArrow(run, schema)
+
+
+def git_log(lines: DataFrame) -> DataFrame:
+    """lines(repo, n, line) of `git log --format=%x02%H%x01%ad%x01%s` with any of --name-only, --name-status or -p
+    -> (repo, n, seq, sha, date, subject, rest): every other line with the commit it belongs to, seq 0 the first printed.
+
+    Commits without other lines have one row with rest null. One repository's log is one ordered text, so it is one
+    window; repositories spread.
+    """
+    head = F.when(F.startswith("line", F.lit("\x02")), F.split(F.expr("substring(line, 2)"), "\x01", 3))
+    w = Window.partitionBy("repo").orderBy("n")
+    placed = lines.withColumn("head", head).withColumn("seq", F.count("head").over(w) - 1).withColumn("at", F.last("head", ignorenulls=True).over(w))
+    rest = F.when(F.col("head").isNull() & (F.col("line") != ""), F.col("line"))
+    return placed.where(F.col("at").isNotNull() & (F.col("head").isNotNull() | rest.isNotNull())).select("repo", "n", "seq", F.col("at")[0].alias("sha"), F.col("at")[1].alias("date"), F.col("at")[2].alias("subject"), rest.alias("rest"))
+
+
+def git_commits(log: DataFrame) -> DataFrame:
+    return log.select("repo", "seq", "sha", "date", "subject").distinct()
+
+
+def git_deletions(log: DataFrame) -> DataFrame:
+    """Deleted paths of a log made with --diff-filter=D --name-only."""
+    return log.where("rest is not null").select("repo", "seq", "sha", "date", "subject", F.col("rest").alias("path"))
+
+
+def git_renames(log: DataFrame) -> DataFrame:
+    """(repo, old, new, seq) of a log made with -M --diff-filter=R --name-status."""
+    parts = F.split("rest", "\t")
+    return log.where(F.col("rest").rlike("^R\\d*\t")).select("repo", parts[1].alias("old"), parts[2].alias("new"), "seq")
+
+
+def git_patch_lines(log: DataFrame) -> DataFrame:
+    """(repo, seq, sha, date, n, file, sign, text): changed lines of a log made with -p."""
+    w = Window.partitionBy("repo").orderBy("n")
+    file = F.when(F.startswith("rest", F.lit("+++ ")), F.regexp_replace(F.expr("substring(rest, 5)"), "^b/", ""))
+    placed = log.where("rest is not null").withColumn("file", F.last(file, ignorenulls=True).over(w))
+    changed = placed.where(F.col("rest").rlike("^[+-]") & ~F.col("rest").rlike("^(\\+\\+\\+|---) ") & F.col("file").isNotNull())
+    return changed.select("repo", "seq", "sha", "date", "n", "file", F.substring("rest", 1, 1).alias("sign"), F.expr("substring(rest, 2)").alias("text"))
+
+
+def tracked_values(patches: DataFrame, keys: tuple[str, ...] = ("image", "replicas", "tag", "version", "cpu", "memory")) -> DataFrame:
+    """Added lines `key: value` of the tracked keys: (repo, file, key, value, seq, sha)."""
+    pattern = rf"^\s*({'|'.join(keys)}):\s*(.+)$"
+    added = patches.where((F.col("sign") == "+") & F.col("text").rlike(pattern))
+    return added.select("repo", "file", F.regexp_extract("text", pattern, 1).alias("key"), F.trim(F.regexp_extract("text", pattern, 2)).alias("value"), F.col("n").alias("seq"), "sha")
+
+
+def reset_hits(reflog: DataFrame, since: str) -> DataFrame:
+    """Reflog lines(ts, line) of resets at or after `since`."""
+    return reflog.where((F.col("ts") >= since) & F.col("line").rlike("reset: moving to")).select("ts", F.regexp_extract("line", "reset: moving to (\\S+)", 1).alias("to"))
