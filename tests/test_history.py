@@ -69,3 +69,41 @@ def test_anchor_paths(spark):
     tracked = spark.createDataFrame([(p,) for p in "abcd"], "path string")
     got = {(r.id, r.path) for r in mining.anchor_paths(ranked, changes, tracked).collect()}
     assert got == {("i", "a"), ("i", "b"), ("i", "c"), ("j", "a")}
+
+
+ANCHOR = "id long, source string, kind string, value string, anchor_ord int, severity string, confidence double, status string"
+
+
+def test_brief_filter_and_drafts(spark):
+    from waymark.operators import matching
+
+    row = lambda i, kind, value: (i, f"r{i}", kind, value, 0, "low", 0.5, "active")
+    a = spark.createDataFrame([row(1, "path", "src/a"), row(2, "path", "lib/"), row(3, "pattern", "src"), row(4, "command", "x"), row(5, "path", "src/a/b/c")], ANCHOR)
+    of = lambda *p: {r.id for r in matching.brief_filter(a, spark.createDataFrame([(x,) for x in p], "path string")).collect()}
+    assert of("src/a/b") == {1, 3, 4, 5} and of(".") == {1, 2, 4, 5} and of("other") == {4}
+    ranked = spark.createDataFrame([(1, "a", "t"), (2, "b", "t"), (3, "c", "t"), (4, "d", "t")], "pos long, id string, title string")
+    got = matching.drafts(ranked, spark.createDataFrame([("b",), ("c",), ("d",)], "id string"), 2, spark.createDataFrame([("b",)], "name string"))
+    assert {(r.id, r.fresh) for r in got.collect()} == {("b", False), ("c", True)}
+    with pytest.raises(ValueError):
+        matching.drafts(ranked, ranked, 21, ranked)
+
+
+def test_edits_as_a_stream(spark, tmp_path):
+    from waymark import streaming
+
+    a = spark.createDataFrame([(1, "r1", "path", "src/", 0, "high", 0.5, "active")], ANCHOR)
+    spark.createDataFrame([(1, "src/x", "text"), (2, "lib/y", "text")], "ord long, path string, content string").write.parquet(str(tmp_path / "in"))
+    edits = spark.readStream.schema("ord long, path string, content string").parquet(str(tmp_path / "in"))
+    streaming.on_edits(edits, a, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert [(r.id, r.ord, r.rank) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 1, 3.0)]
+
+
+def test_draft_texts(spark):
+    from pyspark.sql import functions as F
+
+    from waymark.functions import text as X
+
+    rows = spark.createDataFrame([("revert", 'Revert "x"', None, None, None, None), ("comment", None, None, None, None, "# DO NOT  `touch`")], "section string, subject string, component string, key string, file string, text string")
+    assert [r[0] for r in rows.select(X.draft_title(F.col("section"))).collect()] == ["Revert x", "DO NOT touch"]
+    one = spark.range(1).select(X.full_block(F.lit("l"), F.lit("b" * 900)).alias("f"), X.short_block(F.lit("l"), F.lit("why")).alias("s")).first()
+    assert len(one.f) == 702 and one.s == "l - why"

@@ -133,3 +133,29 @@ def shingles(tokens: Column, n: int = 3) -> Column:
     size = F.size(tokens)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), "|"))
     return F.array_distinct(F.when(size < n, tokens).otherwise(grams))
+
+
+def sanitize(text: Column) -> Column:
+    """Mined text on one line, without what would break a record's head: quotes, bars of comments, fences."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[\"'`]", ""), r"(?m)^\s*(#+|//+|/?\*+)\s*", ""), r"\s+", " "))
+
+
+def draft_title(section: Column) -> Column:
+    """The title of a record drafted from a mined candidate."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return (
+        F.when(section == "revert", sanitize(text("subject")))
+        .when(section == "deleted_component", F.concat(F.lit("removed component "), text("component")))
+        .when(section == "flapping", F.concat(F.lit("oscillating "), text("key"), F.lit(" in "), text("file")))
+        .otherwise(sanitize(text("text")))
+    )
+
+
+def full_block(label: Column, body: Column, most: int = 700) -> Column:
+    """What is shown of a record in full: its label and the beginning of its body."""
+    return F.concat(label, F.lit("\n"), F.substring(body, 1, most))
+
+
+def short_block(label: Column, reason: Column) -> Column:
+    """What is shown of a record that was shown in full lately."""
+    return F.concat(label, F.lit(" - "), reason)

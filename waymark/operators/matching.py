@@ -122,3 +122,27 @@ def covering(anchors: DataFrame, paths: DataFrame) -> DataFrame:
     # The other direction: the path is a prefix of the anchor. Anchors are few; their prefixes are looked up.
     heads = path.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.length("bare")), lambda n: F.substring(F.col("bare"), F.lit(1), n))).alias("path"))
     return down.union(paths.join(heads, "path").select("path", "id")).distinct()
+
+
+def brief_filter(anchors: DataFrame, paths: DataFrame) -> DataFrame:
+    """Ids of firing records for a brief about paths(path): those with a path anchor that covers a path or lies under it,
+    with a pattern that hits a path, or with a command anchor; all if a path is empty or a dot."""
+    live = firing(anchors)
+    whole = paths.where(F.rtrim("path", F.lit("/")).isin("", ".")).limit(1)
+    near = path_pairs(live, paths).select("id").union(pattern_pairs(live, paths, "path").select("id")).union(live.where("kind = 'command'").select("id"))
+    under = paths.select(F.concat(F.rtrim("path", F.lit("/")), F.lit("/")).alias("folder"))
+    bare = live.where("kind = 'path'")
+    heads = bare.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("value"), F.lit(1))), lambda n: F.substring(F.col("value"), F.lit(1), n))).alias("folder"))
+    below = heads.join(under, "folder").select("id")
+    every = bare.crossJoin(F.broadcast(whole.select(F.lit(1).alias("one")))).select("id")
+    return near.union(below).union(every).distinct()
+
+
+def drafts(ranked: DataFrame, live: DataFrame, n: int, taken: DataFrame) -> DataFrame:
+    """The first n candidates of ranked(pos, id, title) that live(id) anchors somewhere, with fresh: whether their name is
+    not in taken(name) yet. A name that is taken uses up its place all the same."""
+    if not 1 <= n <= 20:
+        raise ValueError("n must be between 1 and 20")
+    alive = ranked.join(live.select("id").distinct(), "id", "left_semi").orderBy("pos").limit(n)
+    used = taken.select("name", F.lit(True).alias("_used"))
+    return alive.join(used, alive.id == used.name, "left").select(*ranked.columns, F.col("_used").isNull().alias("fresh"))

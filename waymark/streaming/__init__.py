@@ -57,3 +57,18 @@ def block_once(events: DataFrame, keys: list[str], seconds: int = BLOCK_TTL) ->
 def first_of_session(events: DataFrame, session: str = "session", ts: str = "ts", watermark: str = "24 hours") -> DataFrame:
     """The first event of every session; a session is forgotten when the watermark has passed it."""
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([session])
+
+
+def on_edits(edits: DataFrame, anchors: DataFrame, sink: str, checkpoint: str, k: int = 3):
+    """Starts a query that appends to the Parquet folder `sink` the k best records for every edit(ord, path, content).
+
+    Records change rarely and edits come in small batches, so each batch goes through the batch operators: a stream joined
+    with a static side.
+    """
+    from ..operators import matching
+
+    def write(batch: DataFrame, number: int) -> None:
+        top = matching.top_of_target(matching.ranked(matching.signals(anchors, batch)), k)
+        top.select("id", "ord", "path", "rank", "pos", "matched_by").write.mode("append").parquet(sink)
+
+    return edits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
