@@ -9,7 +9,7 @@ Both are then calibrated on labelled documents kept apart, and a logistic regres
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -122,7 +122,7 @@ class Model:
         return _logit(a), _logit(b), _logit(self.combine[0] + self.combine[1] * a + self.combine[2] * b)
 
 
-def cotrain(words: list[list[str]], meta: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> Model:
+def cotrain(words: Iterable[list[str]], meta: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> Model:
     """labels: 1, 0, or -1 for the unlabelled pool. With one class only, every document gets that class's share."""
     known = np.flatnonzero(labels >= 0)
     share = float((labels[known] == 1).sum() + 1) / (len(known) + 2)
@@ -130,7 +130,7 @@ def cotrain(words: list[list[str]], meta: np.ndarray, labels: np.ndarray, rounds
         z = float(np.log(share / (1 - share)))
         width = meta.shape[1] if meta.ndim == 2 else len(metadata("", None, None))
         return Model(np.zeros(BUCKETS), z, np.eye(1, width)[0] * z, np.array([1.0, 0, 1, 0]), np.array([0, 0.5, 0.5]))
-    rows = [np.array([f for w in ws for f in word_features(w)], np.int64) for ws in words]
+    rows = [np.array([f for w in ws for f in word_features(w)], np.int32) for ws in words]
     rng = np.random.default_rng(seed)
     apart = np.zeros(len(labels), bool)
     apart[rng.permutation(known)[: len(known) // 4]] = True
@@ -178,9 +178,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             meta = [metadata(t, a, s) for t, a, s in zip(texts, b.column("lang").to_pylist(), b.column("source").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(few, pa.list_(pa.string())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "quality", "words", "meta"])
 
-    rows = picked.mapInArrow(view, "doc_id long, quality int, words array<string>, meta array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["words"]))
-    return cotrain([r["words"] for r in rows], np.array([r["meta"] for r in rows]), np.array([r["quality"] for r in rows], np.int64))
+    found = picked.mapInArrow(view, "doc_id long, quality int, words array<string>, meta array<double>").toArrow().combine_chunks()
+    quality = found.column("quality").to_numpy()
+    order = np.lexsort((quality, found.column("doc_id").to_numpy()))
+    words = found.column("words")
+    meta = np.array([found.column("meta")[int(i)].as_py() for i in order])
+    return cotrain((words[int(i)].as_py() for i in order), meta, quality[order].astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
