@@ -1,13 +1,14 @@
 """The library's own operators on small inputs with known answers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import patterns
 from waymark.functions import text as X
-from waymark.operators import activity, health, matching, mining, reanchor
+from waymark.operators import activity, health, matching, mining, reanchor, tables
 from waymark.plans import adapters as A
 from waymark.sources import logs, records
 
@@ -137,6 +138,22 @@ def test_renames(spark):
     assert got == {"a": "c", "x": None, "p": None, "l": None, "d": "e", "g": None, "nohop": None}
 
 
+def test_renames_along_a_long_chain(spark):
+    n = 3000
+    edges = [(f"f{i}", f"f{i + 1}") for i in range(n)] + [("q0", "q1"), ("q1", "q2"), ("q2", "q0"), ("into", "q0"), (None, "x"), ("y", None)]
+    starts = [("f0",), ("f1",), (f"f{n - 1}",), (f"f{n}",), ("q1",), ("into",), (None,)]
+    got = {r.path: r.terminal for r in reanchor.rename_terminal(frame(spark, edges, "old string, new string"), frame(spark, starts, "path string"), frame(spark, [(f"f{n}",), ("q0",)], "path string")).collect()}
+    assert got == {"f0": f"f{n}", "f1": f"f{n}", f"f{n - 1}": f"f{n}", f"f{n}": None, "q1": None, "into": None, None: None}
+
+
+def test_positions_over_the_whole_table(spark):
+    values = [(i, i * 7919 % 501) for i in range(2000)] + [(None, 3), (5000, None)]
+    got = tables.placed(frame(spark, values, "id long, v long").repartition(7), F.col("v").desc(), "id").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, 2003))
+    assert [(r.id, r.v) for r in got] == sorted(values, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, r[0] or 0))
+    assert tables.placed(frame(spark, [], "id long, v long"), "v").count() == 0
+
+
 def test_overlap_and_eligibility(spark):
     lines = "\n".join(f"a line of code {i}" for i in range(10))
     dead = frame(spark, [(1, lines)], "id long, text string")
@@ -166,6 +183,21 @@ def test_cooldown_counts_from_the_last_full_showing(spark):
     assert once == {0: True, 1: False, 2: True, 3: False, 4: False}
 
 
+@pytest.mark.parametrize("call, seconds, again", [(activity.cooldown, 50, True), (activity.block_once, 50, False)])
+def test_fold_against_a_plain_loop(spark, call, seconds, again):
+    r = random.Random(seconds)
+    rows = [(r.choice(("a", "b", None)), i, r.choice((None, r.randint(0, 600), r.randint(0, 12) * 50)), "x") for i in range(700)]
+    want = {}
+    last = {}
+    for k, i, t, _ in sorted(rows, key=lambda x: (x[2] or 0, x[1])):
+        gap = None if t is None or k not in last else t - last[k]
+        want[i] = t is not None and (k not in last or gap > seconds or (gap == seconds and not again))
+        if want[i]:
+            last[k] = t
+    got = call(frame(spark, rows, "k string, ord long, t long, other string").repartition(5), ["k"], ["ord"], seconds)
+    assert got.columns == ["k", "ord", "stands"] and {x.ord: x.stands for x in got.collect()} == want
+
+
 def test_stream_keeps_state_between_batches(spark, tmp_path):
     from waymark import streaming
 
@@ -260,6 +292,19 @@ def test_brief_is_first_fit(spark):
     assert [(r.id, r.taken) for r in got] == [(2, False), (1, True), (3, True)]
 
 
+def test_brief_against_a_plain_loop(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice(("critical", "high", "low", "odd")), r.randint(0, 9) / 10, "x" * r.choice((3, 3, 7, 40, r.randint(0, 300)))) for i in range(400)] + [(900, "high", 0.5, None)]
+    rank = {"critical": 0, "high": 1, "low": 3}
+    left, want = 500, []
+    for i, _, _, entry in sorted(rows, key=lambda x: (rank.get(x[1], 2), -x[2], x[0])):
+        taken = entry is not None and len(entry) + 1 <= left
+        left -= len(entry) + 1 if taken else 0
+        want.append((i, taken))
+    got = health.brief(frame(spark, rows, "id long, severity string, confidence double, entry string"), 500).orderBy("pos").collect()
+    assert [(x.id, x.taken) for x in got] == want and [x.pos for x in got] == list(range(401))
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(X.rule_line(F.lit("Do  not.\n Ever. x")).alias("rule"), X.slug(F.lit("Hello, World!")).alias("slug"), X.fire_key(F.lit(None).cast("string"), F.lit("1"), F.lit("t")).alias("key"), X.is_concrete(F.lit("a/*")).alias("glob")).first()
     assert row.asDict() == {"rule": "Do not.", "slug": "hello-world", "key": "unknown|1|t", "glob": False}

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REVERT_SPEECH, USER_NEGATION
@@ -35,16 +39,30 @@ def compliance(fires: DataFrame, armed: DataFrame) -> DataFrame:
 def _fold(events: DataFrame, keys: list[str], order: list[str], seconds: int, again: bool) -> DataFrame:
     """Marks the events that stand: the first of a key, then each that comes `seconds` after the last that stood.
 
-    What an event does depends on the last event that stood, not on the last event, so this is a fold in order; it runs
-    over one key's times, and only those are gathered. again: an event exactly `seconds` later still waits.
+    What an event does depends on the last event that stood, not on the last event, so this is a fold in order. Only the
+    first event of a second can stand, so the fold passes over a key's different seconds, which Spark sorts and hands on
+    batch by batch: a task remembers one time, never a key's events. Events alike in keys and order are marked alike;
+    without a time none stands. again: an event exactly `seconds` later still waits.
     """
-    item = F.struct(F.col("t").alias("t"), *order)
-    late = lambda a, x: a["last"].isNull() | ((x["t"] - a["last"] > seconds) if again else (x["t"] - a["last"] >= seconds))
-    schema = "array<struct<" + ",".join(f"{c}:{t}" for c, t in events.select(*order).dtypes) + ",stands:boolean>>"
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(schema).alias("out"))
-    step = lambda a, x: F.struct(F.when(late(a, x), x["t"]).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(F.struct(*[x[c].alias(c) for c in order], late(a, x).alias("stands")))).alias("out"))
-    folded = events.groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step).alias("f"))
-    return folded.select(*keys, F.explode("f.out").alias("e")).select(*keys, "e.*")
+    firsts = events.where("t is not null").groupBy(*keys, "t").agg(F.min(F.struct(*order)).alias("_first"))
+
+    def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            hits = []
+            for i, (t, *name) in enumerate(zip(b.column("t").to_pylist(), *(b.column(k).to_pylist() for k in keys))):
+                if name != key:
+                    key, last = name, None
+                if last is None or t - last > seconds or (t - last == seconds and not again):
+                    last = t
+                    hits.append(i)
+            yield b.take(pa.array(hits, pa.int64()))
+
+    standing = firsts.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(stand, firsts.schema)
+    marks = standing.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_first.{c}").alias(f"_first_{c}") for c in order], F.lit(True).alias("_stands"))
+    pairs = [(k, f"_{k}") for k in keys] + [(c, f"_first_{c}") for c in order]
+    same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
+    return events.join(marks, same & events.t.isNotNull(), "left").select(*keys, *order, F.coalesce("_stands", F.lit(False)).alias("stands"))
 
 
 def cooldown(events: DataFrame, keys: list[str], order: list[str], seconds: int = COOLDOWN) -> DataFrame:

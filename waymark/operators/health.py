@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import FIRING, firing, path_pairs, pattern_pairs
+from .tables import placed
 
 
 def anchor_liveness(anchors: DataFrame, files: DataFrame, own_file: bool = True) -> DataFrame:
@@ -102,17 +103,22 @@ def brief(records: DataFrame, budget: int) -> DataFrame:
     """Records in order of severity, confidence and id, each with taken: whether its entry fits what is left.
 
     An entry that does not fit is passed over and later ones are still tried, so this is a fold in order, not a running
-    sum. The fold needs its entries in one place; the record store is what people wrote, and only ids and lengths go there.
+    sum. Of one length n at most budget / n entries fit, and they are the first of that length: only those are folded,
+    whose number depends on the budget alone. An entry that is null is not taken.
     """
     order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "low", 3).otherwise(2)
-    rows = records.select(F.struct(order.alias("o"), (-F.col("confidence")).alias("c"), F.coalesce("id", F.lit(0)).alias("id"), (F.length("entry") + 1).alias("n")).alias("r"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<id:bigint,taken:boolean>>").alias("out"))
+    rows = records.select(order.alias("o"), (-F.col("confidence")).alias("c"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), (F.length("entry") + 1).alias("n"))
+    at = placed(rows, "o", "c", "id", "n")
+    nth = F.row_number().over(Window.partitionBy("n").orderBy("pos"))
+    may = at.where(F.col("n") <= budget).withColumn("nth", nth).where((F.col("nth") <= budget) & (F.col("nth") * F.col("n") <= budget))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<bigint>").alias("out"))
     fits = lambda a, r: r["n"] <= a["left"]
     fold = F.aggregate(
-        F.sort_array(F.collect_list("r")), start,
-        lambda a, r: F.struct((a["left"] - F.when(fits(a, r), r["n"]).otherwise(0)).cast("long").alias("left"), F.concat(a["out"], F.array(F.struct(r["id"].cast("long").alias("id"), fits(a, r).alias("taken")))).alias("out")),
+        F.sort_array(F.collect_list(F.struct("pos", "n"))), start,
+        lambda a, r: F.struct((a["left"] - F.when(fits(a, r), r["n"]).otherwise(0)).cast("long").alias("left"), F.when(fits(a, r), F.concat(a["out"], F.array(r["pos"]))).otherwise(a["out"]).alias("out")),
     )
-    return rows.agg(fold.alias("f")).select(F.posexplode("f.out").alias("pos", "x")).select("pos", "x.id", "x.taken")
+    taken = may.agg(fold.alias("f")).select(F.explode("f.out").alias("pos"), F.lit(True).alias("taken"))
+    return at.join(F.broadcast(taken), "pos", "left").select((F.col("pos") - 1).cast("int").alias("pos"), "id", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
 def unique_best(scored: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import activity, health, matching, mining, reanchor
+from ..operators.tables import placed
 from ..sources import logs, records
 from . import adapters as A
 
@@ -288,9 +289,7 @@ j as (select r.pos, l.quality = 1 as keep from r left join labels l on r.id = ca
 select n, count(keep) as labeled_in_top, coalesce(count(*) filter (keep) / nullif(cast(count(keep) as double), 0), 0) as precision, base_rate, coalesce(count(*) filter (keep) / nullif(cast(count(keep) as double), 0), 0) - base_rate as lift from n join j on pos <= n, b group by n, base_rate""")
 def precision_at_n(spark, sf_dir):
     d = A.table(spark, sf_dir, "documents")
-    from pyspark.sql import Window
-
-    longer = d.select(F.col("doc_id").cast("string").alias("id"), F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id")).alias("pos"))
+    longer = placed(d.select(F.col("doc_id").cast("string").alias("id"), "n_chars", "doc_id"), F.col("n_chars").desc(), "doc_id").select("id", "pos")
     labels = A.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), (F.col("quality") == 1).alias("keep"))
     return mining.precision(longer, labels, [5, 10, 20, 100, 1_000_000])
 
@@ -328,11 +327,10 @@ CHAIN = "r as (select old, new from (select doc_id as old, lead(doc_id) over (pa
 @query(f"""with recursive {CHAIN}, w as (select old as path, old as here, 0 as hops from r union all select w.path, r.new, w.hops + 1 from w join r on r.old = w.here)
 select path, arg_max(here, hops) as terminal from w group by path""")
 def rename_terminal(spark, sf_dir):
-    from pyspark.sql import Window
-
     d = A.table(spark, sf_dir, "documents")
-    w = Window.partitionBy("text").orderBy("doc_id")
-    edges = d.select(F.col("doc_id").alias("old"), F.lead("doc_id").over(w).alias("new")).where("new is not null")
+    at = placed(d.select(F.sha2("text", 256).alias("of"), F.col("doc_id").alias("old")), "of", "old")
+    after = at.select((F.col("pos") - 1).alias("pos"), F.col("of").alias("then"), F.col("old").alias("new"))
+    edges = at.join(after, "pos").where("of <=> then").select("old", "new")
     return reanchor.rename_terminal(edges, edges.select(F.col("old").alias("path")), d.select(F.col("doc_id").alias("path")))
 
 
