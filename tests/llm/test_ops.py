@@ -320,3 +320,19 @@ def test_audio_parts():
 @pytest.mark.parametrize("call", [simhash.near_duplicates, suffixes.dedup, mixing.mix, quality_rules.rules, secrets.digests, secrets.redact, media.digests, lambda d: pieces.digests(d, MODEL)])
 def test_empty_tables(empty, call):
     assert call(empty).count() == 0
+
+
+def test_values_after_an_equals_sign_are_tested(spark):
+    rng = np.random.default_rng(5)
+    chars = np.array(list(secrets.ALPHABETS["base62"]))
+    keys = ["".join(rng.choice(chars, 48)) for _ in range(40)]
+    forms = ["AWS_ACCESS={}", "https://x.y/?sig={}&x=1", "key='{}'", 'key="{}"', "see {}== here", "A_NAME_THAT_IS_LONGER_THAN_TWENTY={}", "?{}=1", "a=={};"]
+    texts = [(i, forms[i % len(forms)].format(k)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    spans = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "random"} for r in secrets.find(df).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for form in range(len(forms)):
+        mine = [i for i in range(len(keys)) if i % len(forms) == form]
+        whole = [i for i in mine if any(s <= texts[i][1].index(keys[i]) and texts[i][1].index(keys[i]) + 48 <= e for s, e in spans[i])]
+        assert len(whole) >= len(mine) - 1 and all((keys[i] not in masked[i]) == (i in whole) for i in mine)
+    assert all("A_NAME_THAT_IS_LONGER_THAN_TWENTY=" in masked[i] for i in range(5, 40, 8))

@@ -26,7 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 #: Tokens that the battery looks at.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])")
 #: Alphabets from small to large; the first that holds all characters is the inferred encoding.
 ALPHABETS = {
     "digits": "0123456789",
