@@ -1,6 +1,7 @@
 """Every operator against a plain statement of what it must give, on a table with all the odd cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from waymark.llm import components, media, mixing, pieces, quality_rules, secrets, simhash, suffixes
+from waymark.llm import components, media, mixing, near_copies, pieces, quality_rules, secrets, simhash, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -336,3 +337,27 @@ def test_values_after_an_equals_sign_are_tested(spark):
         whole = [i for i in mine if any(s <= texts[i][1].index(keys[i]) and texts[i][1].index(keys[i]) + 48 <= e for s, e in spans[i])]
         assert len(whole) >= len(mine) - 1 and all((keys[i] not in masked[i]) == (i in whole) for i in mine)
     assert all("A_NAME_THAT_IS_LONGER_THAN_TWENTY=" in masked[i] for i in range(5, 40, 8))
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_near_copies_leave_one(spark, monkeypatch, small):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    changed = lambda words, k: [f"x{rng.randrange(10**6)}" if i in set(at) else w for at in [rng.sample(range(len(words)), k)] for i, w in enumerate(words)]
+    texts = []
+    for size, k in ((100, 1), (200, 1), (500, 5), (1000, 9)):
+        for _ in range(8):
+            first = prose(size)
+            texts += [first, changed(first, k)]
+    walk = prose(150)  # a family that drifts, so that its ends are no copies of one another
+    for _ in range(30):
+        texts.append(walk)
+        walk = changed(walk, 2)
+    texts += [prose(80) for _ in range(5)] + [[], [], ["one", "word"], ["One", "word"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, ""), (3, "another text of the same id that nobody else has")]
+    sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = [i for i, r in enumerate(roots(len(texts), links)) if i == r]
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*want, None, 3])

@@ -46,18 +46,25 @@ def block_masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The SimHash of one text: majority of the bits of its shingles' XXH64, seed 42; 0 without words."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64, seed 42, of every run of so many words; of the whole text if it has fewer; nothing without words."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends.tolist()
     cuts = zip(starts, ends[words - 1 :]) if len(parts) >= words else [(0, len(joined))]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in cuts], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in cuts], "<u8")
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The SimHash of one text: majority of the bits of its shingles' XXH64, seed 42; 0 without words."""
+    h = shingles(text, words)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
