@@ -339,6 +339,21 @@ def test_values_after_an_equals_sign_are_tested(spark):
     assert all("A_NAME_THAT_IS_LONGER_THAN_TWENTY=" in masked[i] for i in range(5, 40, 8))
 
 
+def test_long_tokens_and_rests_of_base_matches_are_found(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda n: "".join(rng.choice(np.array(list(secrets.ALPHABETS["base64"])), n))
+    key, h = "AKIA" + "Q7ZP" * 4, "0123456789abcdef" * 2
+    long = [f"data: {draw(n)}== end" for n in (513, 600, 900, 2000, 5000, 70000)]
+    cut = [f"see {key}/{draw(60)} here" for _ in range(4)] + [f"see {h}Zx8QpLmN4 here", f"see Zx8Q{key}- here"]
+    df = spark.createDataFrame(list(enumerate(long + cut)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert sum(masked[i] == "data: [secret] end" for i in range(6)) >= 5
+    assert sum(len(masked[6 + i]) < 40 for i in range(4)) >= 3
+    assert masked[10] == "see [secret][secret] here" and masked[11] == "see [secret][secret]- here"
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find(df).collect()}
+    assert spans[10] == [("hex", 4, 36), ("random", 36, 45)] and spans[11] == [("random", 4, 8), ("access", 8, 28)]
+
+
 @pytest.mark.parametrize("small", [64, 3])
 def test_near_copies_leave_one(spark, monkeypatch, small):
     monkeypatch.setattr(near_copies, "SMALL", small)

@@ -26,7 +26,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 #: Tokens that the battery looks at.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
+#: Base kinds that may be cut out of a longer key, and how that key goes on.
+WITHIN = (1, 2)
+GOES_ON = re.compile(r"[A-Za-z0-9+]*")
 #: Alphabets from small to large; the first that holds all characters is the inferred encoding.
 ALPHABETS = {
     "digits": "0123456789",
@@ -108,21 +111,62 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def _tested(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> list[dict]:
+    """The candidate text[start:end] with its tests, which stand for the spans; none if no alphabet holds it."""
+    tested = battery(text[start:end])
+    if not tested or tested[0] in UNTESTED:
+        return []
+    size = sum(end - start >= c for c in CLASSES) - 1
+    return [{"spans": [{"start": s, "end": e} for s, e in spans], "encoding": tested[0], "class": size, "bin": min(BINS, int(-10 * math.log10(max(tested[2], 1e-300)))), "uniform": tested[1]}]
+
+
 def text_spans(text: str) -> tuple[list[tuple[int, int, str]], list[dict]]:
-    """The base spans of a text, and its candidates with their tests."""
-    base, mine = base_spans(text), []
+    """The spans of a text that need no test, and its candidates with their tests.
+
+    Of a token that overlaps base spans the parts outside them count: letters and digits that adjoin a hex or access
+    key are the rest of it, other parts are tested, short ones by the test of the whole token.
+    """
+    base, rests, mine = base_spans(text), [], []
+    first = 0
     for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        while first < len(base) and base[first][2] <= m.start() and base[first][0] <= m.start():
+            first += 1
+        inside = []
+        for k in range(first, len(base)):
+            if base[k][0] >= m.end():
+                break
+            if base[k][2] > m.start():
+                inside.append(base[k])
+        if not inside:
+            mine += _tested(text, m.start(), m.end(), [(m.start(), m.end())])
             continue
-        tested = battery(m[0])
-        if tested and tested[0] not in UNTESTED:
-            size = sum(m.end() - m.start() >= c for c in CLASSES) - 1
-            mine.append({"start": m.start(), "end": m.end(), "encoding": tested[0], "class": size, "bin": min(BINS, int(-10 * math.log10(max(tested[2], 1e-300)))), "uniform": tested[1]})
-    return base, mine
+        parts, at = [], m.start()
+        for s, _, e in [*inside, (m.end(), 0, m.end())]:
+            if at < s:
+                parts.append((at, s))
+            at = max(at, e)
+        short = []
+        for s, e in parts:
+            left = any(rank in WITHIN and end == s for _, rank, end in inside)
+            right = any(rank in WITHIN and start == e for start, rank, _ in inside)
+            # A key that goes on as letters or digits was cut by the base pattern: the rest is of the same key.
+            if left and (n := GOES_ON.match(text, s, e).end()) > s:
+                rests.append((s, 3, n))
+                s = n
+            if right and (n := e - GOES_ON.match(text[s:e][::-1]).end()) < e:
+                rests.append((n, 3, e))
+                e = n
+            if e - s >= CLASSES[0]:
+                mine += _tested(text, s, e, [(s, e)])
+            elif s < e:
+                short.append((s, e))
+        if short:
+            mine += _tested(text, m.start(), m.end(), short)
+    return sorted(base + rests), mine
 
 
 SPANS = "array<struct<start:int,rank:int,end:int>>"
-CANDIDATES = "array<struct<start:int,end:int,encoding:string,class:int,bin:int,uniform:double>>"
+CANDIDATES = "array<struct<spans:array<struct<start:int,end:int>>,encoding:string,class:int,bin:int,uniform:double>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -130,7 +174,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_type = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("class", pa.int32()), ("bin", pa.int32()), ("uniform", pa.float64())]))
+        part = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        kind = pa.list_(pa.struct([("spans", part), ("encoding", pa.string()), ("class", pa.int32()), ("bin", pa.int32()), ("uniform", pa.float64())]))
         for b in slices(batches, "text"):
             bases, others = [], []
             for text in b.column("text").fill_null("").to_pylist():
@@ -165,13 +210,14 @@ def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
     then kind; kinds are assign, access, hex and random.
 
     Base spans stay as they are; random ones touch none of them. Texts that are null or empty, and tables without
-    candidates, have none of the latter. Repeated rows stay; extra columns are ignored. A candidate has 20 to 514
-    characters; longer runs of such characters are data, not keys, and only base patterns see them.
+    candidates, have none of the latter. Repeated rows stay; extra columns are ignored. A candidate has 20 characters
+    or more, without an upper bound.
     """
     scanned = stash(scan(docs))
     least = F.array(*[F.lit(x) for x in cutoffs(scanned, rate)])
     found = F.filter("candidates", lambda c: (c["bin"] >= F.get(least, c["class"])) & (c["uniform"] >= REJECT))
-    added = F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
+    parts = F.flatten(F.transform(found, lambda c: c["spans"]))
+    added = F.transform(parts, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
     names = F.array(*[F.lit(x) for x in ("assign", "access", "hex", "random")])
     ordered = F.sort_array(F.concat("base", added))
     return scanned.select("doc_id", F.transform(ordered, lambda s: F.struct(F.get(names, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
@@ -190,7 +236,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(text: str, least: list[int]) -> str:
     base, others = text_spans(text)
-    spans = [(s, e) for s, _, e in base] + [(c["start"], c["end"]) for c in others if c["bin"] >= least[c["class"]] and c["uniform"] >= REJECT]
+    spans = [(s, e) for s, _, e in base] + [(p["start"], p["end"]) for c in others if c["bin"] >= least[c["class"]] and c["uniform"] >= REJECT for p in c["spans"]]
     out, at = [], 0
     for s, e in sorted(spans):
         if s >= at:
