@@ -154,3 +154,14 @@ def test_pipeline(spark, tmp_path, docs):
 
 def test_every_operator_is_registered():
     assert [sum(n.startswith(f"op{k}_") for n in queries.queries()) for k in range(1, 11)] == [1] * 10
+
+
+@pytest.mark.parametrize("length", [24, 25, 44, 45, 60, 500])
+def test_long_words_are_read_to_their_end(length):
+    model = toxicity.Model(np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32), 0.0)
+    word = "".join(chr(0x4E00 + i) for i in range(length))
+    for n in (3, 5):
+        assert all(any(word[i : i + n] in piece for piece in toxicity.tokens(word)) for i in range(length - n + 1))
+    assert len(set(map(tuple, (toxicity.tokens(word), toxicity.tokens(word[:-1] + "a"), toxicity.tokens(word[:-1]))))) == 3
+    assert all(len(p) <= toxicity.LONGEST for p in toxicity.tokens(word + " of other words"))
+    assert model.logits({}, ["a" * length + "idiot"]) != model.logits({}, ["a" * length + "table"])

@@ -27,6 +27,8 @@ TOKEN = re.compile(r"\w+")
 BUCKETS = 1 << 18
 WIDTH = 8
 GRAMS = (3, 5)
+#: Characters of the pieces that longer words are cut into, and of the overlap of neighbouring pieces.
+LONGEST, OVERLAP = 24, 4
 #: Words of a passage; each is scored together with none of its neighbours' words.
 PASSAGE = 8
 #: Bounds of the training sample: toxic and other labelled documents, taken by hash, and passages of each, spread
@@ -45,14 +47,24 @@ LEAST = 20
 REMEMBERED = 400_000
 
 
+def tokens(text: str) -> list[str]:
+    """The words of a text in lower case. A word of over LONGEST characters is its overlapping pieces, in which every
+    run of OVERLAP + 1 of its characters lies whole, so that a script without blanks is read to its end."""
+    words = TOKEN.findall(text.lower())
+    if all(len(w) <= LONGEST for w in words):
+        return words
+    step = LONGEST - OVERLAP
+    return [w[i : i + LONGEST] for w in words for i in range(0, max(1, len(w) - OVERLAP), step)]
+
+
 def grams(word: str) -> list[int]:
-    """Buckets of a word and its n-grams, with marks at both ends; of its first 24 characters."""
-    marked = f"<{word[:24]}>".encode()
+    """Buckets of a word and its n-grams, with marks at both ends."""
+    marked = f"<{word}>".encode()
     return [crc32(marked) % BUCKETS] + [crc32(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
 def passages(text: str) -> list[list[str]]:
-    words = TOKEN.findall(text.lower())
+    words = tokens(text)
     return [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)]
 
 
@@ -68,14 +80,14 @@ class Model:
 
     def logits(self, words: dict[str, float], texts: list[str]) -> list[float]:
         """The logit of each text's most toxic passage; the bias alone for a text without words."""
-        rows = [TOKEN.findall(text.lower()) for text in texts]
+        rows = [tokens(text) for text in texts]
         self.learn(words, set().union(*rows))
         out = []
-        for tokens in rows:
-            if not tokens:
+        for row in rows:
+            if not row:
                 out.append(self.bias)
                 continue
-            g = np.fromiter(map(words.__getitem__, tokens), np.float64, len(tokens))
+            g = np.fromiter(map(words.__getitem__, row), np.float64, len(row))
             starts = np.arange(0, len(g), PASSAGE)
             sums, sizes = np.add.reduceat(g, starts), np.minimum(PASSAGE, len(g) - starts)
             out.append(float((sums / np.maximum(sizes, PASSAGE // 2)).max()) + self.bias)
