@@ -13,6 +13,7 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from waymark.llm import components, media, mixing, near_copies, pieces, quality_rules, secrets, simhash, suffixes
 
@@ -376,3 +377,15 @@ def test_near_copies_leave_one(spark, monkeypatch, small):
     want = [i for i, r in enumerate(roots(len(texts), links)) if i == r]
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(r.doc_id for r in kept.collect()) == Counter([*want, None, 3])
+
+
+def test_phrases_with_any_signs_behind_them_are_judged(spark):
+    signs = ["", *".,;:!?)"]
+    ends = [a + b + c for a in signs for b in signs for c in ("", ".", "x")]
+    phrases = [f for x in quality_rules.BOILERPLATE for f in (x, x[0].upper() + x[1:], x.upper())]
+    rows = [(f"one two {p}{e}",) for p in phrases for e in ends] + [(f"{p}{e} one",) for p in phrases for e in ends]
+    df = spark.createDataFrame(rows, "text string").withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    may = quality_rules.may_fail(F.col("text"), F.col("words"))
+    assert df.where(quality_rules.has_phrase(F.col("text")) & ~may).count() == 0
+    out = quality_rules.rules(spark.createDataFrame([(1, "Please accept cookies..."), (2, "We accept cookies?)")], "doc_id long, text string"))
+    assert {r.n_failed_lines for r in out.collect()} == {1}

@@ -56,10 +56,11 @@ def line_fails(line: Column) -> Column:
 def may_fail(text: Column, words: Column) -> Column:
     """False only if no line of the text can fail: it spares line_fails on most texts and changes no result.
 
-    A phrase needs its trigger as a word, or with a sign after it if the trigger is its last word ("cookies").
+    A phrase needs its trigger as a word. Only "accept cookies" has its trigger last, where a sign and anything may
+    follow, so it is looked for as it stands.
     """
-    forms = [f for x in TRIGGERS for f in (x, x.capitalize(), x.upper())] + [f"{x}{sign}" for x in ("cookies", "COOKIES") for sign in ".,;:!?)"]
-    return text.rlike("[#*$%&<>|»›•]|!!") | F.arrays_overlap(words, F.array(*[F.lit(f) for f in forms]))
+    forms = [f for x in TRIGGERS for f in (x, x.capitalize(), x.upper())]
+    return text.rlike("[#*$%&<>|»›•]|!!") | text.contains("ccept cookies") | text.contains("ACCEPT COOKIES") | F.arrays_overlap(words, F.array(*[F.lit(f) for f in forms]))
 
 
 def with_windows(df: DataFrame) -> DataFrame:
