@@ -62,7 +62,11 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """The SimHash of one text: majority of the bits of its shingles' XXH64, seed 42; 0 without words."""
-    h = shingles(text, words)
+    return majority(shingles(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
