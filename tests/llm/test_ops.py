@@ -240,6 +240,45 @@ def test_battery_finds_random_keys_only(spark):
     assert all((masked[i] == "see [secret] here") == (i in hit) for i, _ in texts)
 
 
+def test_battery_has_power_and_few_false_discoveries():
+    rng = np.random.default_rng(9)
+    words = "get user account by id internationalization configuration server handler request payload database string value index".split()
+    forms = [lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), "_".join, "/".join, lambda w: "-".join(x.capitalize() for x in w), lambda w: "_".join(w).upper() + "_1"]
+    hits = total = 0
+    for name, n in (("base62", 20), ("base62", 24), ("base64", 32), ("HEX", 24), ("HEX", 40), ("base36", 32), ("base64", 300)):
+        keys = ["".join(rng.choice(list(secrets.ALPHABETS[name]), n)) for _ in range(50)]
+        plain = [forms[i % 5](list(rng.choice(words, 30)))[: min(n, 90)] for i in range(200)]
+        tested = [(secrets.battery(t), key) for ts, key in ((keys, True), (plain, False)) for t in ts]
+        ps = sorted(b[2] for b, _ in tested)
+        cut = max((p for i, p in enumerate(ps) if p <= secrets.RATE * (i + 1) / len(ps)), default=-1)
+        found = [key for b, key in tested if b[2] <= cut and b[1] >= secrets.REJECT]
+        assert found.count(False) <= 1 and found.count(True) >= 42
+        hits, total = hits + found.count(True), total + 50
+    assert hits >= 0.9 * total
+
+
+def test_every_span_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda a, n: "".join(rng.choice(list(secrets.ALPHABETS[a]), n))
+    texts = [f"x {draw('base62', 20 + i % 30)} y token={draw('base64', 30)} some_long_identifier_of_words_{i} é{draw('HEX', 32)}" for i in range(60)] + ["", "plain text", None]
+    plain, tested = [], []
+    for i, t in enumerate(texts):
+        base = secrets.base_spans(t or "")
+        plain.append({(("assign", "access", "hex")[k], s, e) for s, k, e in base})
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])", t or ""):
+            if all(e <= m.start() or s >= m.end() for s, _, e in base) and (b := secrets.battery(m[0])) and b[0] != "digits":
+                tested.append((sum(m.end() - m.start() >= c for c in (20, 24, 32, 48, 96)), int(-10 * np.log10(b[2])), b[1], i, m.start(), m.end()))
+    for size in range(1, 6):
+        mine = [x for x in tested if x[0] == size]
+        cut = min((b for _, b, *_ in mine if 10 ** (-b / 10) * len(mine) <= 0.01 * sum(x[1] >= b for x in mine)), default=1000)
+        for _, b, uniform, i, s, e in mine:
+            if b >= cut and uniform >= 0.001:
+                plain[i].add(("random", s, e))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in secrets.find(df).collect()}
+    assert got == dict(enumerate(plain)) and sum(k == "random" for x in plain for k, _, _ in x) >= 90
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -1,11 +1,13 @@
 """Secret scans: three base patterns, and a battery of randomness tests over the other long tokens.
 
-For a token the smallest alphabet that holds its characters is inferred (digits, hex, base 32, letters, base 64 and so
-on). Three tests ask whether it may be uniform there: chi-squared over the alphabet, runs above and below the middle, and
-serial correlation; Fisher's method joins them, and a token that they reject is no secret. Whether it could instead be
-written text is the question of the p-value that false discoveries are controlled on: written strings repeat their
-characters more often than uniform ones, at a rate that short strings hide, so the chance of so few repeats falls with
-the length. Benjamini and Hochberg's rule runs over all candidates of the corpus, apart for each class of length.
+For a token the smallest alphabet that holds its characters is inferred (hex, base 32, letters, base 64 and so on). Three
+tests ask whether it may be uniform there: chi-squared over the alphabet, by pairs of equal characters; runs above and below
+the middle; and serial correlation, by how much more often neighbours as these follow one another in written tokens. Fisher's
+sum of their logarithms is the one statistic. Short tokens allow no approximation and the tests share the characters, so
+nothing is read off a formula: for each alphabet and length the statistic of simulated uniform tokens says whether the
+battery rejects a token, and that of simulated written tokens (words, in the ways in which identifiers and paths join them)
+gives the p-value that false discoveries are controlled on: how seldom what is written looks as random as this.
+Benjamini and Hochberg's rule runs on it over all candidates of the corpus, apart for each class of length.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +48,14 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 PLACES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
-#: Chance that two characters of written text are equal, at least; the null of the discoveries.
-WRITTEN = 0.065
+#: How often English uses each letter, in percent, from the commonest; vowels.
+LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.15, 0.15, 0.1, 0.07)))
+VOWELS = "aeiouy"
+#: Simulated tokens of each alphabet, and their length; longer tokens are scaled to it.
+SIMULATED = 20_000
+SIMULATED_LENGTH = 64
+#: By how much the fitted tail of written tokens is wider than theirs.
+WIDER = 1.25
 #: Digits alone are amounts, dates and account numbers; written hex repeats little, so both need the base patterns.
 UNTESTED = ("digits",)
 #: Level under which the battery rejects uniformity, and the false discovery rate.
@@ -57,49 +67,116 @@ CLASSES = (20, 24, 32, 48, 96)
 BINS = 400
 
 
-def _upper_normal(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+@cache
+def written(name: str) -> np.ndarray:
+    """Tokens as people write them in an alphabet, as rows of places: words of letters by their frequency, vowels and
+    consonants in turns more often than not, some with numbers behind, joined as in identifiers and paths."""
+    alphabet, rng, rows = ALPHABETS[name], np.random.default_rng(1), SIMULATED
+    hexadecimal = name.lower() == "hex"
+    letters = [c for c in LETTERS if not hexadecimal or c in "abcdef"]
+    weight, vowel = np.array([LETTERS[c] for c in letters]), np.array([c in VOWELS for c in letters])
+    within = np.where(vowel, weight / weight[vowel].sum(), weight / weight[~vowel].sum())
+    after = np.cumsum([np.where(vowel, p, 1 - p) * within for p in (0.6, 0.15)], axis=1)  # after a consonant, after a vowel
+    at = {c: i for i, c in enumerate(alphabet)}
+    lower, upper = (np.array([at.get(f(c), -1) for c in letters]) for f in (str.lower, str.upper))
+    number = np.array([at[c] for c in "0123456789" if c in at])
+    signs = np.array([at[c] for c in alphabet if not c.isalnum() and c != "+"])
+    # Of a token: its way of capitals (none, first letters, all), how often a number follows a word, and its sign.
+    way = rng.integers(3, size=rows) if lower[0] >= 0 and upper[0] >= 0 else np.full(rows, 0 if lower[0] >= 0 else 2)
+    often = rng.choice((0.05, 0.3, 0.6), rows) if len(number) else np.zeros(rows)
+    sign = rng.choice(signs, rows) if len(signs) else np.full(rows, -1)
+    left, digits, new = rng.integers(2, 6 if hexadecimal else 11, rows), np.zeros(rows, np.int64), np.ones(rows, bool)
+    last = rng.random(rows) < 0.5
+    out = np.zeros((rows, SIMULATED_LENGTH), np.int64)
+    for i in range(SIMULATED_LENGTH):
+        start = (left == 0) & (digits == 0)
+        left = np.where(start, rng.integers(2, 6 if hexadecimal else 11, rows), left)
+        joins, counts = start & (sign >= 0), digits > 0
+        new |= start
+        pick = np.minimum((rng.random(rows)[:, None] > after[last.astype(int)]).sum(axis=1), len(letters) - 1)
+        cased = np.where((way == 2) | ((way == 1) & new), upper[pick], lower[pick])
+        out[:, i] = np.where(joins, sign, cased)
+        if len(number):
+            out[:, i] = np.where(counts, rng.choice(number, rows), out[:, i])
+        letter = ~joins & ~counts
+        left, last, new = left - letter, np.where(letter, vowel[pick], last), new & ~letter
+        digits = np.where(letter & (left == 0) & (rng.random(rows) < often), rng.integers(1, 5, rows), np.maximum(digits - 1, 0))
+    return out
+
+
+def measures(x: np.ndarray, k: int, odds: np.ndarray) -> np.ndarray:
+    """Of tokens, rows of places in an alphabet of k: equal pairs, runs of halves, and the mean log odds of neighbours."""
+    n = x.shape[1]
+    s = np.sort(x, axis=1)
+    pairs, run = np.zeros(len(x)), np.zeros(len(x))
+    for i in range(1, n):  # the r-th of equal characters makes r - 1 pairs; their number is the chi-squared statistic, scaled
+        run = np.where(s[:, i] == s[:, i - 1], run + 1, 0)
+        pairs += run
+    up = x >= k / 2
+    runs = (up[:, 1:] != up[:, :-1]).sum(axis=1)
+    return np.stack([pairs, runs, odds[x[:, :-1], x[:, 1:]].mean(axis=1)], axis=1)
+
+
+def _log_tail(z: np.ndarray) -> np.ndarray:
+    """Minus the logarithm of a normal's upper tail."""
+    z = np.maximum(z, -3)
+    return np.where(z < 5, -np.log(np.maximum([0.5 * math.erfc(v / math.sqrt(2)) for v in z.ravel()], 1e-300)).reshape(z.shape), z * z / 2 + np.log(np.maximum(z, 1) * math.sqrt(2 * math.pi)))
+
+
+@cache
+def odds_of(name: str) -> np.ndarray:
+    """How much more often two characters are neighbours in written tokens than in uniform ones, as logarithms."""
+    k, x = len(ALPHABETS[name]), written(name)
+    counts = np.bincount((x[:, :-1] * k + x[:, 1:]).ravel(), minlength=k * k).reshape(k, k) + 2.0
+    return np.log(counts / counts.sum() * k * k)
+
+
+@cache
+def nulls(name: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """(mean and spread of the measures, the statistic of uniform tokens, of written ones, and a fit of its root)."""
+    k, odds, tokens = len(ALPHABETS[name]), odds_of(name), written(name)[:, :n]
+    uniform = measures(np.random.default_rng(n).integers(0, k, (SIMULATED, n)), k, odds)
+    mean, spread = uniform.mean(axis=0), np.maximum(uniform.std(axis=0), 1e-9)
+    own = np.ones(len(tokens), bool)  # tokens that a smaller alphabet holds are not tested in this one
+    for smaller in ALPHABETS:
+        if smaller == name:
+            break
+        own &= ~np.array([c in PLACES[smaller] for c in ALPHABETS[name]])[tokens].all(axis=1)
+    tokens = tokens[own] if own.sum() >= SIMULATED // 20 else tokens
+    text = statistic(measures(tokens, k, odds), mean, spread)
+    root = np.sqrt(text)
+    return mean, spread, np.sort(statistic(uniform, mean, spread)), np.sort(text), float(root.mean()), float(root.std()) * WIDER
+
+
+def statistic(found: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Fisher's sum over the tests: too many equal pairs, runs too few or too many, neighbours as in written tokens."""
+    z = (found - mean) / spread
+    return _log_tail(z[:, 0]) + np.maximum(_log_tail(np.abs(z[:, 1])) - math.log(2), 0) + _log_tail(z[:, 2])
 
 
-def _chi2_tail(x: float, df: int) -> float:
-    """Wilson and Hilferty's approximation of the upper tail."""
-    return _upper_normal(((max(x, 0) / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))
+def encoding(token: str) -> str | None:
+    seen = set(token.rstrip("="))
+    return next((n for n, p in PLACES.items() if seen <= p.keys()), None)
 
 
 def battery(token: str) -> tuple[str, float, float] | None:
-    """(encoding, p that it is uniform, p that written text repeats so little), or None if no alphabet holds it."""
-    body = token.rstrip("=")
-    seen = set(body)
-    name = next((n for n, p in PLACES.items() if seen <= p.keys()), None)
-    if name is None:
+    """(encoding, p that it is uniform, p that what is written looks so random), or None if no alphabet holds it."""
+    body, name = token.rstrip("="), encoding(token)
+    if name is None or len(body) < 2:
         return None
-    k, n = len(ALPHABETS[name]), len(body)
-    x = [PLACES[name][c] for c in body]
-    counts: dict[int, int] = {}
-    for v in x:
-        counts[v] = counts.get(v, 0) + 1
-    pairs = sum(c * (c - 1) for c in counts.values()) // 2
-    # Counts of equal pairs carry the chi-squared statistic: sum (c - n/k)^2 / (n/k) = 2 pairs k / n + k - n.
-    p_chi = _chi2_tail(2 * pairs * k / n + k - n, k - 1)
-    up = [v >= k / 2 for v in x]
-    a, runs = sum(up), 1 + sum(u != v for u, v in zip(up, up[1:]))
-    b = n - a
-    if a and b and n > 2:
-        mean = 1 + 2 * a * b / n
-        sd = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
-        p_runs = 2 * _upper_normal(max(0.0, (abs(runs - mean) - 0.5) / sd))
-    else:
-        p_runs = 2.0 ** (1 - n)
-    m = sum(x) / n
-    var = sum((v - m) ** 2 for v in x)
-    r = sum((u - m) * (v - m) for u, v in zip(x, x[1:])) / var if var else 1.0
-    p_serial = 2 * _upper_normal(abs(r * math.sqrt(n) + 1 / math.sqrt(n)))
-    logs = -sum(math.log(max(min(p, 1.0), 1e-300)) for p in (p_chi, p_runs, p_serial))
-    p_uniform = math.exp(-logs) * (1 + logs + logs * logs / 2)  # Fisher: chi-squared with six degrees of freedom
-    expected = n * (n - 1) / 2 * max(WRITTEN, 1.5 / k)
-    spread = math.sqrt(expected * 2)  # letters of a word depend on one another: twice the variance of chance
-    p_written = _upper_normal((expected - pairs - 0.5) / spread)
-    return name, p_uniform, p_written
+    if name in UNTESTED:
+        return name, 0.0, 1.0
+    m, n = len(body), min(len(body), SIMULATED_LENGTH)
+    mean, spread, uniform, text, middle, width = nulls(name, n)
+    own = measures(np.array([[PLACES[name][c] for c in body]]), len(ALPHABETS[name]), odds_of(name))[0]
+    # Equal pairs go with the square of the length, runs with the length; so a longer token is scaled to its nulls.
+    z = (own - mean * [m * (m - 1) / (n * (n - 1)), (m - 1) / (n - 1), 1]) / (spread * [m / n, math.sqrt(m / n), math.sqrt(n / m)])
+    t = float(statistic(z[None, :], np.zeros(3), np.ones(3))[0])
+    p_uniform = (1 + len(uniform) - np.searchsorted(uniform, t, "left")) / (1 + len(uniform))
+    rank = np.searchsorted(text, t, "right")
+    fitted = 0.5 * math.erfc((middle - math.sqrt(max(t, 0))) / width / math.sqrt(2))
+    p_written = (1 + rank) / (1 + len(text)) if rank >= 10 else min(fitted, 11 / (1 + len(text)))
+    return name, float(p_uniform), float(p_written)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -249,9 +326,9 @@ def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """docs with every span of find() replaced by [secret], and n_chars, if there, set anew.
 
     All rows and columns stay, null texts too. Overlapping spans are replaced as one. The cutoffs come from a pass over
-    all texts, the spans from a second, so rows that share a doc_id need no matching.
+    all texts that leaves counts only, the spans from a second, so rows that share a doc_id need no matching.
     """
-    least = cutoffs(stash(scan(docs)), rate)
+    least = cutoffs(scan(docs), rate)
     fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
