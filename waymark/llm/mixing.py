@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stash
+from .common import hinted, n_words, stash
 
 #: Each histogram cuts a bucket into 2**BITS; LEVELS of them make 2**36 buckets of a source.
 BITS = 12
@@ -73,25 +73,46 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + F.when((F.col("words") > 0) & (F.col("words") - F.col("room") < F.col("room")), 1).otherwise(0)).alias("below"))
 
 
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """rows(source, size, h) -> (s, source_size, target, whole, budget, below), one row a source s: whole copies that all its
+    documents go in, and the hash under which a document goes once more."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = targets(sizes, weights, cap)
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("long")
+    aims = stash(aims.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
+    cut = thresholds(rows, aims).withColumnRenamed("source", "c")
+    return aims.join(cut, aims.source.eqNullSafe(cut.c)).drop("c").withColumnRenamed("source", "s")
+
+
+def copies_of(h: Column, cap: int = CAP) -> Column:
+    """How often a document goes, by its hash and its source's row of plan()."""
+    return F.col("whole") + ((h < F.col("below")) & (F.col("whole") < cap)).cast("long")
+
+
+def measured(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    return stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_of(F.col("doc_id"), seed).alias("h")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of docs(doc_id, text, source).
 
     copies: how often the mix takes the document, at most cap; taken = copies * size. Null texts have size 0. Rows with
     one doc_id share its hash and go together. A null source is a source, the last. No rows in, no rows out.
     """
-    rows = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_of(F.col("doc_id"), seed).alias("h")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = targets(sizes, weights, cap)
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("long")
-    aims = stash(aims.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    cut = thresholds(rows, aims).withColumnRenamed("source", "c")
-    plan = aims.join(cut, aims.source.eqNullSafe(cut.c)).drop("c").withColumnRenamed("source", "s")
-    copies = F.col("whole") + ((F.col("h") < F.col("below")) & (F.col("whole") < cap)).cast("long")
-    return rows.join(plan, rows.source.eqNullSafe(plan.s)).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rows = measured(docs, seed)
+    per_source = plan(rows, weights, cap)
+    copies = copies_of(F.col("h"), cap)
+    return rows.join(per_source, rows.source.eqNullSafe(per_source.s)).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as many times as its copies, columns unchanged."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(taken["__id"]) & docs.source.eqNullSafe(taken["__source"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__id", "__source", "__copies", "__copy")
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
+    """docs as the mix takes them: each row as many times as its copies, columns unchanged.
+
+    A row's copies follow from its own doc_id and its source's row of the plan, which is broadcast if sources are few; so no
+    text is shuffled.
+    """
+    names = {c: f"__{c}" for c in ("s", "source_size", "target", "whole", "budget", "below")}
+    per_source = hinted(stash(plan(measured(docs, seed), weights, cap).select("s", "whole", "below").withColumnsRenamed(names)))
+    copies = F.col("__whole") + ((hash_of(docs.doc_id, seed) < F.col("__below")) & (F.col("__whole") < cap)).cast("long")
+    joined = docs.join(per_source, docs.source.eqNullSafe(per_source["__s"])).withColumn("__copies", copies).where("__copies > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
