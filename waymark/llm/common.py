@@ -46,6 +46,27 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hinted(small: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stash of narrow rows with a broadcast hint if it has at most `most` rows; more are left to a shuffle join."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
+def heavy(counted: DataFrame, count: str = "times", parts: int = 10_000) -> DataFrame:
+    """The keys that have over a `parts`-th of all rows, by their counts: fewer than `parts`, so they may be broadcast."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return F.broadcast(counted.where(F.col(count) > max(total / parts, 1000)))
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], count: str = "times") -> DataFrame:
+    """rows joined to counted, one row a key with the number of its rows.
+
+    Heavy keys are joined by broadcast where their rows lie; the others, none of which has many, by a shuffle. Both sides
+    are read twice, so they should be stashed.
+    """
+    hot = heavy(counted, count)
+    return rows.join(hot, on).union(rows.join(hot.select(*on), on, "left_anti").join(counted.join(hot.select(*on), on, "left_anti"), on))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `most` bytes of text, or one row."""
     for batch in batches:
