@@ -108,6 +108,29 @@ def test_suffixes(docs, data, monkeypatch, hot):
     assert got == Counter((r[0], *w) for r, w in zip(data, want))
 
 
+@given(st.lists(st.binary(min_size=16, max_size=16).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=60), st.integers(1, 3))
+@settings(max_examples=40, deadline=None)
+def test_multikey_sort(texts, n_classes):
+    data = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
+    starts, classes = np.arange(len(texts)) * 16, np.arange(len(texts)) % n_classes
+    order, same = suffixes.multikey_sort(suffixes.byte_tokens(data), starts, classes, 2)
+    got = [(classes[i], texts[i]) for i in order]
+    assert got == sorted(got) and same.tolist() == [i > 0 and got[i] == got[i - 1] for i in range(len(got))]
+
+
+def test_hot_and_periodic_strings(spark, monkeypatch):
+    """A passage that over HOT documents share within different words, and texts that repeat one line."""
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    shared = " ".join(word() for _ in range(70))
+    texts = [" ".join(word() for _ in range(60)) + " " + shared + " " + " ".join(word() for _ in range(60)) for _ in range(60)]
+    texts += ["one line again and again\n" * (40 + i) for i in range(30)] + [shared[:399], shared[:400]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = found(suffixes.dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == Counter((i, *w) for i, w in enumerate(plain_suffixes([t.encode() for t in texts], 400)))
+
+
 def test_anchors_of_equal_windows_are_equal():
     rng = np.random.default_rng(3)
     shared = rng.integers(97, 100, 900, dtype=np.uint8)

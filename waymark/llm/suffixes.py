@@ -3,19 +3,21 @@
 Sorting every suffix of a corpus moves hundreds of bytes for every byte, so suffixes are thinned without losing any
 repeat. In each window of LENGTH bytes the anchor is the GRAM-byte string with the least hash; equal windows have equal
 anchors at equal places, and an anchor owns a stretch of windows. One pass lists anchors with hashes of their string and
-of their stretch. Anchors whose string is met once are done, as nothing there repeats. Stretches met twice as a whole are
-done, as every window of theirs repeats. What is left are the edges of repeats. Their suffixes are range-partitioned by
-their leading bytes, with splitters that Spark samples, sorted in each bucket by multikey quicksort over tokens of bytes,
-and neighbours in the order are compared byte by byte. A string's suffixes share their leading bytes, so ranges end
-between strings; a bucket arrives in sorted batches, and the open string at a batch's end is carried over and compared
-with the next batch. Strings with more than HOT different stretches would make one task hold them all: their windows are
-counted by hash with partial sums instead.
+of their stretch; stretches that a task meets again are removed there and listed once. Anchors whose string is met once are
+done, as nothing there repeats. Stretches met twice as a whole are done, as every window of theirs repeats. What is left are
+the edges of repeats. Their suffixes are range-partitioned by their leading bytes, with splitters that Spark samples, and
+sorted in each bucket by multikey quicksort: by tokens of eight bytes in byte order, three ways around a pivot, so that what
+stays together through all tokens of LENGTH bytes is equal byte by byte. A string's suffixes share their leading bytes, so
+ranges end between strings; a bucket arrives in sorted batches, and the open string at a batch's end is carried over and
+compared with the next batch. Strings with more than HOT different stretches would make one task hold them all: their windows
+are counted by hash with partial sums instead, which is as exact.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stash
+from .common import as_bytes, discard, join_counted, slices, stash
 
-LENGTH, GRAM, TOKEN = 400, 128, 50
+#: TOKEN divides LENGTH.
+LENGTH, GRAM, TOKEN = 400, 128, 8
 #: Different stretches of one string above which its windows are counted by hash.
 HOT = 1000
 #: Bytes worked on at once; a longer document is cut into overlapping pieces.
@@ -108,40 +111,89 @@ def _packed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, in
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of each buffer, each kind once; twice says that it was met again. What else is of that kind is removed:
+    rows without key, neighbours joined."""
     for b in slices(batches, "text"):
         for data, held in _packed(as_bytes(b.column("text"))):
             first, last, a, key = anchors(data, [(s, e) for _, _, s, e in held])
+            if not len(first):
+                continue
             starts = np.array([s for _, _, s, _ in held])
             piece = np.searchsorted(starts, first, side="right") - 1
             raw = data.tobytes()
             seg = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist())]), "<i8").reshape(-1, 2)
-            row = np.array([r for r, _, _, _ in held])[piece]
-            shift = np.array([o - s for _, o, s, _ in held])[piece]
+            _, one, kind, times = np.unique(np.column_stack((key, seg)), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            other = np.ones(len(first), bool)
+            other[one] = False
+            # Other occurrences of a kind: one row for neighbours whose windows follow one another.
+            o = np.flatnonzero(other)
+            new = np.ones(len(o), bool)
+            new[1:] = (first[o[1:]] != last[o[:-1]] + 1) | (piece[o[1:]] != piece[o[:-1]])
+            begin, end = o[new], o[np.append(new[1:], True)[: len(o)]]
+            place = np.concatenate((one, begin))
+            until = np.concatenate((last[one], last[end]))
+            row = np.array([r for r, _, _, _ in held])[piece[place]]
+            shift = np.array([f - s for _, f, s, _ in held])[piece[place]]
+            known = pa.array(np.arange(len(place)) >= len(one))
+            keyed = lambda x: pa.array(np.ascontiguousarray(x[place]), mask=np.arange(len(place)) >= len(one))  # noqa: B023, E731
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [b.column("did").take(take), b.column("th").take(take), pa.array(first + shift), pa.array((last - first + 1).astype(np.int32)), pa.array((a - first).astype(np.int32)), pa.array(key), pa.array(np.ascontiguousarray(seg[:, 0])), pa.array(np.ascontiguousarray(seg[:, 1]))],
-                ["did", "th", "first", "n", "o", "key", "s1", "s2"],
-            )
+                [b.column("did").take(take), b.column("th").take(take), pa.array(first[place] + shift), pa.array((until - first[place] + 1).astype(np.int32)), pa.array((a - first)[place].astype(np.int32)),
+                 keyed(key), keyed(seg[:, 0]), keyed(seg[:, 1]), pa.array(np.append(times > 1, np.zeros(len(begin), bool))), known],
+                ["did", "th", "first", "n", "o", "key", "s1", "s2", "twice", "known"],
+            )
+
+
+STRETCH = "did long, th long, first long, n int, o int, key long, s1 long, s2 long, twice boolean, known boolean"
+
+
+def byte_tokens(data: np.ndarray) -> np.ndarray:
+    """The TOKEN bytes from every place on as one number, so that numbers go in the order of bytes."""
+    n = len(data) - TOKEN + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(TOKEN):
+        out = (out << np.uint64(8)) | data[i : i + n]
+    return out
 
 
 def multikey_sort(tokens: np.ndarray, starts: np.ndarray, classes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the suffixes at `starts` within their classes by `depth` tokens, and drops those that differ from all others.
+    """Multikey quicksort of the suffixes at `starts` within their classes, by `depth` tokens each; all parts at a time.
 
-    Three-way: suffixes equal so far are parted by their next token, parts go on by themselves, parts of one are done.
-    Returns the positions that are left, and their classes, equal ones together.
+    A part is cut three ways around the median of its first, middle and last token: smaller and greater ones go on with the
+    same token, equal ones with the next. Parts of one are sorted, as are equal ones after the last token. Returns the order,
+    and a mark for every place whose suffix equals that of the place before in all tokens and in class.
     """
-    left, token = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
-    for level in range(depth + 1):
-        order = np.lexsort((token, classes))
-        left, classes, token = left[order], classes[order], token[order]
-        new = np.ones(len(left), bool)
-        new[1:] = (classes[1:] != classes[:-1]) | (token[1:] != token[:-1])
+    order = np.argsort(classes, kind="stable")
+    same = np.zeros(len(order), bool)
+    slots, part = np.arange(len(order)), np.cumsum(np.diff(classes[order], prepend=classes[order[:1]]) != 0) if len(order) else np.zeros(0, np.int64)
+    level = np.zeros(part[-1] + 1 if len(part) else 0, np.int64)
+    while len(slots):
+        sizes = np.bincount(part, minlength=len(level))
+        ends = np.cumsum(sizes)
+        alive = (sizes > 1) & (level < depth)
+        equal = (sizes > 1) & (level >= depth)
+        if equal.any():
+            inner = equal[part]
+            inner[(ends - sizes)[equal]] = False
+            same[slots[inner]] = True
+        keep = alive[part]
+        slots, renamed = slots[keep], np.cumsum(alive) - 1
+        part, level = renamed[part[keep]], level[alive]
+        if not len(slots):
+            break
+        sizes = sizes[alive]
+        firsts = np.cumsum(sizes) - sizes
+        token = tokens[starts[order[slots]] + level[part] * TOKEN]
+        a, b, c = token[firsts], token[firsts + sizes // 2], token[firsts + sizes - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+        side = 3 * part + (token >= pivot) + (token > pivot)
+        turn = np.argsort(side, kind="stable")
+        order[slots] = order[slots[turn]]
+        side = side[turn]
+        new = np.diff(side, prepend=-1) != 0
+        level = level[side[new] // 3] + (side[new] % 3 == 1)
         part = np.cumsum(new) - 1
-        many = np.bincount(part)[part] > 1 if len(part) else new
-        left, classes = left[many], part[many]
-        if level < depth:
-            token = tokens[starts[left] + level * TOKEN]
-    return left, classes
+    return order, same
 
 
 def repeats(rows: list[tuple[int, int, int, bytes]]) -> list[list[tuple[int, int]]]:
@@ -154,17 +206,10 @@ def repeats(rows: list[tuple[int, int, int, bytes]]) -> list[list[tuple[int, int
     starts = base[owner] + j
     _, string = np.unique([r[0] for r in rows], return_inverse=True)
     away = np.array([r[2] for r in rows])[owner] - j
-    left, classes = multikey_sort(rolling(data, TOKEN), starts, string[owner] * (2 * LENGTH) + away, LENGTH // TOKEN)
-    same = np.zeros(len(left), bool)
-    views = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    for at in range(0, len(left) - 1, 4096):
-        a, b = left[at : at + 4096], left[at + 1 : at + 4097]
-        a = a[: len(b)]
-        equal = (classes[at : at + len(b)] == classes[at + 1 : at + 1 + len(b)]) & (views[starts[a]] == views[starts[b]]).all(axis=1)
-        same[at : at + len(b)] |= equal
-        same[at + 1 : at + 1 + len(b)] |= equal
+    order, same = multikey_sort(byte_tokens(data), starts, string[owner] * (2 * LENGTH) + away, LENGTH // TOKEN)
     hit = np.zeros(len(starts), bool)
-    hit[left[same]] = True
+    hit[order[same]] = True
+    hit[order[np.flatnonzero(same) - 1]] = True
     out: list[list[tuple[int, int]]] = [[] for _ in rows]
     edges = np.diff(hit.astype(np.int8), prepend=0, append=0)
     turn = np.zeros(len(hit) + 1, bool)
@@ -230,21 +275,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(did, th, lo, hi): bytes [lo, hi) of the document keyed did and th are covered by a repeated string."""
-    listed = stash(docs.mapInArrow(_stretches, "did long, th long, first long, n int, o int, key long, s1 long, s2 long"))
-    met = listed.groupBy("key").agg(F.count("*").alias("met"), F.min("s1").alias("a1"), F.max("s1").alias("b1"), F.min("s2").alias("a2"), F.max("s2").alias("b2"))
-    # Stashed, so that the join has an exchange of its own on either side, which Spark splits where a string is hot.
-    strings = stash(met.where("met > 1").select("key", ((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("alike")))
-    many = stash(listed.join(strings, "key"))
+    found = stash(docs.mapInArrow(_stretches, STRETCH))
+    listed, times = found.where("not known").drop("known"), F.when(F.col("twice"), 2).otherwise(1)
+    met = listed.groupBy("key").agg(F.sum(times).alias("met"), F.min("s1").alias("a1"), F.max("s1").alias("b1"), F.min("s2").alias("a2"), F.max("s2").alias("b2"))
+    strings = stash(met.where("met > 1").select("key", "met", ((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("alike")))
+    many = stash(join_counted(listed, strings, ["key"], "met"))
+    discard(strings)
     mixed = many.where("not alike")
-    kinds = stash(mixed.groupBy("key", "s1", "s2").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "first", "n", "o")).alias("one")))
-    whole = mixed.join(kinds.where("times > 1").select("key", "s1", "s2"), ["key", "s1", "s2"]).select("did", "th", "first", "n").union(many.where("alike").select("did", "th", "first", "n"))
+    kinds = stash(mixed.groupBy("key", "s1", "s2").agg(F.sum(times).alias("times"), F.min(F.struct("did", "th", "first", "n", "o")).alias("one")))
+    again = stash(kinds.where("times > 1").select("key", "s1", "s2", "times"))
+    removed = [join_counted(mixed, again, ["key", "s1", "s2"]), many.where("alike"), found.where("known")]
+    whole = reduce(DataFrame.union, [x.select("did", "th", "first", "n") for x in removed])
     whole = whole.select("did", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("hi"))
     counts = stash(kinds.groupBy("key").agg(F.count("*").alias("kinds")))
-    wanted = kinds.join(counts, "key").select("key", "kinds", "one.*")
+    wanted = join_counted(kinds, counts, ["key"], "kinds").select("key", "kinds", "one.*")
     of_doc = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("key", "kinds", "first", "n", "o")).alias("w"))
     text = F.col("text").cast("binary")
     cut = docs.join(of_doc, ["did", "th"]).select("did", "th", text.alias("text"), F.explode("w").alias("w")).select("did", "th", "w.*", F.expr(f"substring(text, cast(w.first + 1 as int), w.n + {LENGTH - 1})").alias("bytes"))
     cut = stash(cut.dropDuplicates(["did", "th", "key", "first", "n"]))
+    discard(counts)
     ranged = cut.where(F.col("kinds") <= HOT).withColumn("lead", F.expr("substring(bytes, o + 1, 16)")).repartitionByRange("lead", "key").sortWithinPartitions("lead", "key")
     edges = ranged.select("did", "th", "key", "first", "n", "o", "bytes").mapInArrow(_edges, "did long, th long, lo long, hi long")
     windows = cut.where(F.col("kinds") > HOT).mapInArrow(_windows, "did long, th long, lo long, w1 long, w2 long")
