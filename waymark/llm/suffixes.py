@@ -122,7 +122,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = np.searchsorted(starts, first, side="right") - 1
             raw = data.tobytes()
             seg = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist())]), "<i8").reshape(-1, 2)
-            _, one, kind, times = np.unique(np.column_stack((key, seg)), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(seg[:, 0], kind="stable")
+            kinds = np.column_stack((key, seg))[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (kinds[1:] != kinds[:-1]).any(axis=1)
+            one, times = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
             other = np.ones(len(first), bool)
             other[one] = False
             # Other occurrences of a kind: one row for neighbours whose windows follow one another.
