@@ -215,7 +215,7 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
 def test_firing_log(spark):
     lines = ['{"ts":"t1","repo":"r","scar_ids":[1]}', '{"ts":"t2","repo":"r","scar_ids":[1,2,"x",2.5,true]}', "", "null", "[]", "7", "{bad", '{"ts":"t3","violation_ids":"no"}', '{"ts":"t3","violation_ids":[2]}']
     f = logs.firings(frame(spark, list(enumerate(lines)), "line_no long, value string"))
-    got = {(r.repo, r.scar_id): (r.fired, r.violations, r.last_fired) for r in activity.fire_stats(f, ["repo", "scar_id"]).collect()}
+    got = {(r.repo, r.record_id): (r.fired, r.violations, r.last_fired) for r in activity.fire_stats(f, ["repo", "record_id"]).collect()}
     assert got[("r", 2)] == (1, 0, "t2") and got[("(unknown)", 2)] == (0, 1, "t3") and got[("r", 1)][0] >= 2
 
 

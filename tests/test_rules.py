@@ -1,0 +1,149 @@
+"""Patterns in two dialects, texts of findings, logs written and read again, streams of edits, commands and actions."""
+
+import json
+import re
+import warnings
+
+import pytest
+from pyspark.sql import functions as F
+
+from waymark import streaming
+from waymark.functions import patterns
+from waymark.functions import text as X
+from waymark.operators import activity, health, matching, mining, reanchor
+from waymark.sources import appends, logs, records
+
+ANCHOR = "id long, source string, kind string, value string, anchor_ord int, severity string, confidence double, status string"
+PATTERNS = ["[[]x", "[a&&b]", "(?P<n>a+)-(?P=n)", "^ab$", "a{,2}b", r"\bfoo\b", r"[^\W\d]+x", r"a\Z", "a.b", "(?s:a.b)", "(?i)AB|c", "(?-i:A)b", "x(?=y)", "(?<!z)y", "[]-]", r"\.\$[.$]", "é+", "(a)|b", r"(?:a|b)+?c", "a++b", "(?>ab|a)c", "[^x]y", r"[\s_]z", "uv sync(?!.* --all-extras)"]
+TEXTS = ["[x", "a&b", "aa-aa", "AB", "ab\n", "ab\nc", "aab", "b", "a foo b", "xfoo", "éx", "1x", "ba", "a\nb", "a\rb", "xy", "zy", "]", "a.$.", "ÉÉ", "ababc", "abac", "_z", " z", "uv sync", "uv sync --all-extras", "Ab", "AB c", ""]
+
+
+def test_patterns_mean_the_same_in_java(spark):
+    rows = spark.createDataFrame([(p, patterns.java(p), t) for p in PATTERNS for t in TEXTS], "p string, rx string, t string")
+    got = {(r.p, r.t): r.hit for r in rows.withColumn("hit", X.pattern_hits(F.col("rx"), F.col("t"))).collect()}
+    with warnings.catch_warnings(action="ignore"):
+        want = {(p, t): bool(re.search(p, t, re.IGNORECASE)) for p in PATTERNS for t in TEXTS}
+    assert got == want
+    assert [patterns.java(p) for p in ("(", "(a)(?(1)b)", None)] == [None, None, None]
+
+
+@pytest.mark.parametrize("few", [64, 1, 0])
+def test_a_pattern_that_java_reads_otherwise_stops_nothing(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "LITERALS", few or 1)
+    monkeypatch.setattr(matching, "PASSES", 16 if few else 0)
+    a = spark.createDataFrame([(i, f"r{i}", "pattern", v, 0, "low", 0.5, "active") for i, v in enumerate(("[[]x", "(", "needle", "hay.*"))], ANCHOR)
+    f = spark.createDataFrame([(1, "p", "a [x b"), (2, "q", "NEEDLE in hay"), (3, "needle", "")], "ord long, path string, content string")
+    assert {(r.id, r.ord) for r in matching.signals(a, f).collect()} == {(0, 1), (2, 2), (3, 2), (2, 3)}
+    assert matching.signals(a.where("id = 1"), f).count() == 0
+    found = records.lint(records.parse(spark.createDataFrame([("s", '---\nid: 1\ntype: fence\ntitle: t\nanchors:\n  - pattern: "("\n  - pattern: "[[]x"\nevidence:\n  - pr: 1\n---\nbody')], "source string, text string")), "2026-01-01")
+    assert [r.message for r in found.collect()] == ["pattern is no valid pattern"]
+
+
+@pytest.mark.parametrize("rx, want", [(r, True) for r in ("((a+))+$", "(x(y+)z)*", "(?:(a*))+", "(a|a)*$", "(x|xy)*$", "(?:foo|foobar)+", "(a+)+$", "([a-z]+)*", "(a+){2,}", "(x|z|xy)+")] + [(r, False) for r in (r"redis\.get\(", "TODO|FIXME", "(abc)+", "(a|b)*", "[+*]+", r"\(a\+\)\+", "uv sync(?!.* --all-extras)", r"except \((KeyError|TypeError)[^)]*\)", "(abc|abd)+", "(a|)*", "(")])
+def test_prone_patterns(rx, want):
+    assert patterns.prone(rx) is want
+
+
+def test_evidence_without_comments_and_quotes(spark):
+    text = '---\nid: 1\nevidence:\n  - commit: aaa1111 # why\n  - commit: "bbb2222"\n  - note: "with # inside"\n  - pr: 12\n---\n'
+    assert records.parse(spark.createDataFrame([("s", text)], "source string, text string")).first().evidence == ["commit: aaa1111", "commit: bbb2222", "note: with # inside", "pr: 12"]
+
+
+def test_comments_are_stripped_and_cut(spark):
+    long = "\t# DO NOT " + "x" * 200 + " \t"
+    got = mining.comments(spark.createDataFrame([("a.py", "one\n" + long + "\nthree")], "path string, content string")).first()
+    assert (got.location, got.text) == ("a.py:2", ("# DO NOT " + "x" * 200)[:120])
+
+
+def test_throttle_lets_pass_at_its_age(spark):
+    e = spark.createDataFrame([("k", i, t) for i, t in enumerate((0, 3599, 3600, 7199, 7200))], "k string, ord long, t long")
+    assert {r.ord: r.stands for r in activity.throttle(e, ["k"], ["ord"]).collect()} == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
+def test_what_stays_remembered(spark):
+    e = spark.createDataFrame([("a", 10), ("a", 50), ("b", 40), ("c", 60), ("old", 5)], "key string, t long")
+    assert [(r.key, r.t) for r in activity.remembered(e, now=100, seconds=60, most=2).collect()] == [("c", 60), ("a", 50)]
+
+
+def test_labels_are_refused(spark):
+    asked = spark.createDataFrame([("a", "keep", "n"), ("b", "maybe", None), ("x", "discard", None), ("a", None, None)], "id string, label string, note string")
+    got = mining.label_requests(asked, spark.createDataFrame([("a",), ("b",)], "id string"), "2026-01-02")
+    assert sorted((r.id, r.refused or "") for r in got.collect()) == [("a", ""), ("a", "invalid label"), ("b", "invalid label"), ("x", "no such candidate")]
+    assert [json.loads(r.value) for r in appends.label_lines(got).collect()] == [{"id": "a", "label": "keep", "note": "n", "date": "2026-01-02"}]
+
+
+def test_last_match_of_dead_patterns(spark):
+    p = spark.createDataFrame([(1, "gone_name"), (2, "never"), (3, "(a+)+$"), (4, "Gone")], "id long, value string")
+    patches = spark.createDataFrame([(5, "older12345", "-gone_name = 1"), (2, "newer12345", "+gone_name"), (1, "newest1234", "nothing")], "seq long, sha string, text string")
+    got = {r.id: r.diagnostic for r in reanchor.pattern_diagnostic(p, patches).collect()}
+    assert got == {1: "last matched at newer12", 2: "no prior match found", 3: "skipped — pathological pattern (ReDoS risk)", 4: "no prior match found"}
+
+
+def test_where_symbols_lie(spark):
+    s = spark.createDataFrame([(1, "a.py::F"), (1, "gone.py::F"), (1, "F"), (2, "F"), (3, "F")], "id long, value string")
+    paths = spark.createDataFrame([(1, "a.py"), (1, "dir/"), (2, "a.py"), (2, "b.py")], "id long, value string")
+    got = {(r.id, r.value): r.path for r in reanchor.symbol_path(s, paths, spark.createDataFrame([("a.py",), ("b.py",)], "path string")).collect()}
+    assert got == {(1, "a.py::F"): "a.py", (1, "gone.py::F"): None, (1, "F"): "a.py", (2, "F"): None, (3, "F"): None}
+
+
+def test_pickaxe_by_words_and_without(spark):
+    lines = spark.createDataFrame([(1, "x = compute_total(rows)"), (2, "a+b"), (3, "word")], "id long, line string")
+    patches = spark.createDataFrame([(1, "s1", "new.py", "+", "  yx = compute_total(rows))"), (2, "s2", "old.py", "-", "x = compute_total(rows)"), (3, "s3", "c.py", "+", "za+bz"), (4, "s4", "d.py", "+", "swords"), (5, "s5", "e.py", "+", "compute_total")], "seq long, sha string, file string, sign string, text string")
+    tracked = spark.createDataFrame([("new.py",), ("c.py",), ("d.py",), ("e.py",)], "path string")
+    assert {(r.id, r.file) for r in reanchor.pickaxe(patches, lines, tracked).collect()} == {(1, "new.py"), (2, "c.py"), (3, "d.py")}
+
+
+def test_symbol_candidates_in_order(spark):
+    tracked = [f"lib/{i:03d}.py" for i in range(70)] + ["src/a.py", "src/z.py", "src/x.js", "old.py"]
+    got = reanchor.symbol_candidates(spark.createDataFrame([(1, "src/z.py")], "id long, path string"), spark.createDataFrame([(p,) for p in tracked], "path string"), 5).orderBy("pos").collect()
+    assert [r.path for r in got] == ["src/z.py", "src/a.py", "lib/000.py", "lib/001.py", "lib/002.py"]
+
+
+def test_texts_of_findings_and_candidates(spark):
+    one = spark.range(1).select(F.array(F.lit("a/"), F.lit("b/")).alias("p"), F.array(F.lit("rx")).alias("q"), F.array().cast("array<string>").alias("n"), F.create_map(F.lit("a/"), F.lit("c/")).alias("m"))
+    hint = " — hint: a pattern that guards against reintroduction (healthy when absent) belongs in violation:, not anchors"
+    r = one.select(
+        X.orphan_reason(F.col("p"), F.col("q"), "nothing", F.col("m")).alias("a"), X.orphan_reason(F.col("n"), F.col("n"), "nothing").alias("b"), X.rot_reason(F.col("p"), F.col("n")).alias("c"),
+        X.drift_reason(F.lit("F.g"), F.lit(0.876), F.lit("abcdefghij")).alias("d"), X.short_slug(F.lit("--A b!"), "none").alias("e"), X.short_slug(F.lit("!!"), "none").alias("f"), X.telling_line(F.array(F.lit("aa"), F.lit("bb"), F.lit("c"))).alias("g"),
+    ).first()
+    assert tuple(r) == ("all anchors dead (paths: renamed: a/ -> c/, b/; patterns: /rx/)" + hint, "nothing", "partial rot — dead anchor(s) (paths: a/, b/)", "F.g ~88% similar since abcdefg", "a-b", "none", "bb")
+    c = spark.createDataFrame([("revert", "abc", "2025", "subj", None, None, 5.5, "id1"), ("comment", None, None, None, "f:1", "txt", 1.0, "id2")], "section string, commit string, date string, subject string, location string, text string, score double, id string")
+    for name in ("component", "died", "death_commit", "death_subject", "file", "key", "sequence"):
+        c = c.withColumn(name, F.lit(None).cast("string"))
+    assert [tuple(r) for r in c.select(X.harvest_line(F.col("section")), X.draft_evidence(F.col("section"))).collect()] == [("- [id1 score 5.5] `abc` 2025 — subj", "commit: abc"), ("- [id2 score 1.0] `f:1` — txt", "note: harvest comment signal at f:1")]
+    assert tuple(activity.spread(spark.createDataFrame([(0.1,), (0.4,), (0.2,), (0.9,)], "value double")).first()) == (4, pytest.approx(0.3), 0.1, 0.9)
+
+
+def test_logs_are_read_as_they_are_written(spark, tmp_path):
+    shown = spark.createDataFrame([("t1", "r", "a", 1, 1, True), ("t1", "r", "a", 2, 2, False), ("t2", "r", "b", 1, 1, True)], "ts string, repo string, target string, id long, pos int, full boolean")
+    broken = spark.createDataFrame([("t3", "r", "a", 9), ("t3", "r", "a", 3)], "ts string, repo string, target string, id long")
+    appends.append(appends.showing_lines(shown, "x"), str(tmp_path / "log"))
+    appends.append(appends.violation_lines(broken, "x"), str(tmp_path / "log"))
+    lines = spark.read.text(str(tmp_path / "log")).withColumn("line_no", F.monotonically_increasing_id())
+    assert sorted((r.ts, r.target, r.record_id, r.violated) for r in logs.firings(lines).collect()) == [("t1", "a", 1, False), ("t1", "a", 2, False), ("t2", "b", 1, False), ("t3", "a", 3, True), ("t3", "a", 9, True)]
+    assert any(json.loads(r.value).get("demoted_ids") == [2] for r in lines.collect())
+
+
+def test_streams_of_edits_commands_and_actions(spark, tmp_path):
+    d = lambda x: str(tmp_path / x)
+    a = spark.createDataFrame([(1, "r1", "path", "src/", 0, "high", 0.5, "active"), (2, "r2", "pattern", "secret", 0, "high", 0.5, "active"), (3, "r3", "command", "^rm ", 0, "low", 0.5, "active")], ANCHOR)
+    rules = spark.createDataFrame([(1, "sleep")], "id long, violation string")
+    fields = "ord long, path string, content string, trajectory string, t long"
+
+    def batch(rows, name):
+        spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").parquet(d("in"))
+        stream = spark.readStream.schema(fields).parquet(d("in"))
+        streaming.on_edits(stream, a, d("shown"), d("c1"), rules=rules, violations_sink=d("violated")).awaitTermination(120)
+        streaming.block_actions(stream, a, d("answers"), d("c2")).awaitTermination(120)
+
+    batch([(1, "src/x", "a secret sleep", "T", 0), (2, "src/x", "a secret", "T", 1)], "one")
+    batch([(3, "src/x", "secret", "T", 100), (4, "lib/y", "secret", "T", 100), (5, "src/x", "secret", "U", 100 + 5 * 3600)], "two")
+    shown = {(r.ord, r.id): (r.full, r.reason) for r in spark.read.parquet(d("shown")).collect()}
+    assert shown[(1, 2)] == (True, None) and shown[(1, 1)] == (False, "path-only match")
+    assert shown[(3, 2)] == (False, "shown in full lately") and shown[(4, 2)] == (True, None)
+    assert [(r.id, r.path) for r in spark.read.parquet(d("violated")).collect()] == [(1, "src/x")]
+    blocks = {(r.ord, r.id): r.block for r in spark.read.parquet(d("answers")).collect()}
+    assert blocks[(1, 2)] and not blocks[(2, 2)] and not blocks[(3, 2)] and blocks[(4, 2)] and blocks[(5, 2)] and not blocks[(1, 1)]
+    spark.createDataFrame([(1, "rm -r x"), (2, "ls")], "ord long, command string").write.parquet(d("cmd"))
+    streaming.on_commands(spark.readStream.schema("ord long, command string").parquet(d("cmd")), a, d("hits"), d("c3")).awaitTermination(120)
+    assert [(r.id, r.ord) for r in spark.read.parquet(d("hits")).collect()] == [(3, 1)]

@@ -24,9 +24,9 @@ def path_covers(anchor: Column, path: Column) -> Column:
     return F.startswith(path, F.rtrim(anchor, F.lit("/")))
 
 
-def pattern_hits(pattern: Column, text: Column) -> Column:
-    """A search that ignores case in the first MAX_SCAN characters. Patterns must be valid: see patterns.valid()."""
-    return F.rlike(F.substring(text, 1, MAX_SCAN), F.concat(F.lit("(?iu)"), pattern))
+def pattern_hits(pattern: Column, text: Column, flags: str = "(?iu)") -> Column:
+    """A search that ignores case in the first MAX_SCAN characters. Patterns must be Java's: see patterns.java()."""
+    return F.rlike(F.substring(text, 1, MAX_SCAN), F.concat(F.lit(flags), pattern))
 
 
 def severity_weight(severity: Column) -> Column:
@@ -89,6 +89,23 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.when(F.length(whole) <= most, whole).otherwise(F.regexp_replace(short, "-+$", ""))
 
 
+def short_slug(text: Column, empty: str, most: int = 60) -> Column:
+    """Lower case with dashes, cut at `most` characters wherever that is; `empty` for what has no letter or digit."""
+    whole = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(whole == "", F.lit(empty)).otherwise(F.substring(whole, 1, most))
+
+
+def strip(text: Column) -> Column:
+    """text without blanks of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def telling_line(lines: Column, most: int = 200) -> Column:
+    """Of an array of lines the longest, the greatest of several, cut at `most` characters; null of none."""
+    best = F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
+    return F.substring(best["line"], 1, most)
+
+
 def is_concrete(anchor: Column) -> Column:
     return ~anchor.endswith("/") & ~anchor.rlike(r"[*?\[]")
 
@@ -151,6 +168,56 @@ def draft_title(section: Column) -> Column:
     )
 
 
+def draft_evidence(section: Column) -> Column:
+    """The evidence of a record drafted from a mined candidate."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return (
+        F.when(section == "revert", F.concat(F.lit("commit: "), text("commit")))
+        .when(section == "deleted_component", F.concat(F.lit("commit: "), text("death_commit")))
+        .when(section == "flapping", F.concat(F.lit("note: harvest flapping signal "), text("sequence"), F.lit(" in "), text("file")))
+        .otherwise(F.concat(F.lit("note: harvest comment signal at "), text("location")))
+    )
+
+
+def harvest_line(section: Column) -> Column:
+    """A mined candidate on one line: its id and score, then what its section has to say."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = (
+        F.when(section == "revert", F.format_string("`%s` %s — %s", text("commit"), text("date"), text("subject")))
+        .when(section == "deleted_component", F.format_string("**%s** died %s (`%s` %s)", text("component"), text("died"), text("death_commit"), text("death_subject")))
+        .when(section == "flapping", F.format_string("`%s` **%s**: %s", text("file"), text("key"), text("sequence")))
+        .otherwise(F.format_string("`%s` — %s", text("location"), text("text")))
+    )
+    return F.concat(F.format_string("- [%s score %.1f] ", F.col("id"), F.col("score")), said)
+
+
+def dead_summary(dead_paths: Column, dead_patterns: Column, renamed: Column | None = None) -> Column:
+    """Dead anchors in words; renamed is a map from a dead path to where it went."""
+    named = (lambda p: F.coalesce(F.concat(F.lit("renamed: "), p, F.lit(" -> "), F.element_at(renamed, p)), p)) if renamed is not None else (lambda p: p)
+    paths = F.when(F.size(dead_paths) > 0, F.concat(F.lit("paths: "), F.array_join(F.transform(dead_paths, named), ", ")))
+    patterns = F.when(F.size(dead_patterns) > 0, F.concat(F.lit("patterns: "), F.array_join(F.transform(dead_patterns, lambda p: F.concat(F.lit("/"), p, F.lit("/"))), ", ")))
+    return F.concat_ws("; ", paths, patterns)
+
+
+def _migration(dead_patterns: Column) -> Column:
+    hint = " — hint: a pattern that guards against reintroduction (healthy when absent) belongs in violation:, not anchors"
+    return F.when(F.size(dead_patterns) > 0, hint).otherwise("")
+
+
+def orphan_reason(dead_paths: Column, dead_patterns: Column, nothing: str, renamed: Column | None = None) -> Column:
+    """Why a record points at nothing; `nothing` is said of one without anchors."""
+    none = (F.size(dead_paths) == 0) & (F.size(dead_patterns) == 0)
+    return F.when(none, nothing).otherwise(F.concat(F.lit("all anchors dead ("), dead_summary(dead_paths, dead_patterns, renamed), F.lit(")"), _migration(dead_patterns)))
+
+
+def rot_reason(dead_paths: Column, dead_patterns: Column, renamed: Column | None = None) -> Column:
+    return F.concat(F.lit("partial rot — dead anchor(s) ("), dead_summary(dead_paths, dead_patterns, renamed), F.lit(")"), _migration(dead_patterns))
+
+
+def drift_reason(symbol: Column, similarity: Column, sha: Column) -> Column:
+    return F.format_string("%s ~%s%% similar since %s", symbol, F.bround(similarity * 100).cast("int").cast("string"), F.substring(sha, 1, 7))
+
+
 def full_block(label: Column, body: Column, most: int = 700) -> Column:
     """What is shown of a record in full: its label and the beginning of its body."""
     return F.concat(label, F.lit("\n"), F.substring(body, 1, most))

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.text import REVERT_SPEECH, USER_NEGATION
 
 COOLDOWN = 4 * 3600
+THROTTLE = 3600
 BLOCK_TTL = 24 * 3600
 
 
 def fire_stats(fires: DataFrame, keys: list[str]) -> DataFrame:
-    """fires(keys, scar_id, violated, ts) -> fired, violations, last_fired of each record."""
+    """fires(keys, record_id, violated, ts) -> fired, violations, last_fired of each record."""
     return fires.groupBy(*keys).agg(F.count_if(~F.col("violated")).alias("fired"), F.count_if("violated").alias("violations"), F.max("ts").alias("last_fired"))
 
 
 def never_fired(records: DataFrame, fires: DataFrame) -> DataFrame:
-    return records.select("id").distinct().join(fires.where("not violated").select(F.col("scar_id").alias("id")).distinct(), "id", "left_anti")
+    return records.select("id").distinct().join(fires.where("not violated").select(F.col("record_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def advisories(stats: DataFrame, least: int = 20, share: float = 0.5) -> DataFrame:
@@ -31,9 +32,9 @@ def advisories(stats: DataFrame, least: int = 20, share: float = 0.5) -> DataFra
 
 
 def compliance(fires: DataFrame, armed: DataFrame) -> DataFrame:
-    """Violations over firings of each record since it was armed: armed(scar_id, armed_at)."""
-    live = fires.join(armed, "scar_id").where("ts >= armed_at")
-    return live.groupBy("scar_id").agg(F.count_if("violated").alias("violations"), F.count_if(~F.col("violated")).alias("fired"))
+    """Violations over firings of each record since it was armed: armed(record_id, armed_at)."""
+    live = fires.join(armed, "record_id").where("ts >= armed_at")
+    return live.groupBy("record_id").agg(F.count_if("violated").alias("violations"), F.count_if(~F.col("violated")).alias("fired"))
 
 
 def _fold(events: DataFrame, keys: list[str], order: list[str], seconds: int, again: bool) -> DataFrame:
@@ -75,6 +76,17 @@ def block_once(events: DataFrame, keys: list[str], order: list[str], seconds: in
     return _fold(events, keys, order, seconds, again=False)
 
 
+def throttle(events: DataFrame, keys: list[str], order: list[str], seconds: int = THROTTLE) -> DataFrame:
+    """events with stands: a check that runs, as none ran in the `seconds` before; at exactly that age it runs again."""
+    return _fold(events, keys, order, seconds, again=False)
+
+
+def remembered(fired: DataFrame, now: float, seconds: float = BLOCK_TTL, most: int = 1000) -> DataFrame:
+    """fired(key, t) -> the last t of each key that has not run out, of the `most` newest keys: what stays remembered."""
+    alive = fired.groupBy("key").agg(F.max("t").alias("t")).where(F.col("t") >= now - seconds)
+    return alive.orderBy(F.col("t").desc(), "key").limit(most)
+
+
 def churn(changes: DataFrame, last: int = 10, least: int = 4) -> DataFrame:
     """changes(seq, path), the smallest seq newest: paths in at least `least` of the `last` newest commits."""
     newest = changes.select("seq").distinct().orderBy("seq").limit(last)
@@ -129,3 +141,9 @@ def survival(outcomes: DataFrame) -> DataFrame:
     """outcomes(outcome) -> survived, failed and the share of survivors among both."""
     survived, failed = F.count_if(F.col("outcome") == "survived"), F.count_if(F.col("outcome") == "failed")
     return outcomes.agg(survived.alias("survived"), failed.alias("failed"), F.when(survived + failed > 0, survived / (survived + failed)).alias("share"))
+
+
+def spread(values: DataFrame) -> DataFrame:
+    """values(value) -> n, median, least and most."""
+    v = F.col("value")
+    return values.agg(F.count(v).alias("n"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import valid_udf
-from ..functions.text import pattern_hits, path_covers, rank
+from ..functions.patterns import java_udf
+from ..functions.text import fire_key, pattern_hits, rank
 
 FIRING = ("active", "challenged")
 #: Strength of each signal.
 STRENGTH = {"path": 2.0, "symbol": 2.25, "path_pattern": 1.5, "content_pattern": 2.5, "command": 2.5}
 ACT_PROOF = ("content_pattern", "symbol", "command")
-#: Patterns up to which the pattern side is broadcast; more are joined without the hint.
+#: Different patterns that one pass over the texts has as literals, which Java compiles once, and passes at most; more
+#: patterns are joined, broadcast if there are at most so many.
+LITERALS, PASSES = 64, 16
 BROADCAST_MOST = 10_000
 
 
@@ -38,9 +42,28 @@ def path_pairs(anchors: DataFrame, targets: DataFrame, path: str = "path") -> Da
 
 
 def pattern_pairs(anchors: DataFrame, targets: DataFrame, text: str, kind: str = "pattern") -> DataFrame:
-    """Valid patterns of a kind joined to the targets whose text they hit. Patterns are few and broadcast if so."""
-    patterns = anchors.where(F.col("kind") == kind).where(valid_udf("value"))
-    return targets.join(hinted(patterns), pattern_hits(F.col("value"), F.col(text)))
+    """Usable patterns of a kind joined to the targets whose text they hit.
+
+    Patterns are written by hand. Up to LITERALS * PASSES of them go into the plan as literals, one pass over the targets for
+    every LITERALS; with more, every text meets every pattern in a join.
+    """
+    return rows_hit(anchors.where(F.col("kind") == kind).withColumn("_rx", java_udf("value")), targets, text)
+
+
+def rows_hit(patterns: DataFrame, targets: DataFrame, text: str, flags: str = "(?iu)") -> DataFrame:
+    """patterns(_rx, ...) joined to the targets whose text they hit; rows without _rx hit nothing. _rx is dropped."""
+    usable = patterns.where(F.col("_rx").isNotNull())
+    few = sorted(r["_rx"] for r in usable.select("_rx").distinct().limit(LITERALS * PASSES + 1).collect())
+    if len(few) > LITERALS * PASSES:
+        return targets.join(hinted(usable), pattern_hits(F.col("_rx"), F.col(text), flags)).drop("_rx")
+    parts = []
+    for at in range(0, max(len(few), 1), LITERALS):
+        some = few[at : at + LITERALS]
+        hits = F.array_compact(F.array(*[F.when(pattern_hits(F.lit(rx), F.col(text), flags), F.lit(at + i)) for i, rx in enumerate(some)]).cast("array<int>"))
+        parts.append(targets.withColumn("_hit", F.explode(hits)))
+    named = targets.sparkSession.createDataFrame([(rx, i) for i, rx in enumerate(few)], "_rx string, _hit int")
+    mine = F.broadcast(usable.join(F.broadcast(named), "_rx"))
+    return reduce(DataFrame.union, parts).join(mine, "_hit").drop("_hit", "_rx")
 
 
 def signals(anchors: DataFrame, targets: DataFrame, content: bool = True, symbols: DataFrame | None = None) -> DataFrame:
@@ -106,10 +129,10 @@ def violations(anchors: DataFrame, rules: DataFrame, targets: DataFrame, symbols
     first hit starts, at most 120 characters.
     """
     near = signals(anchors, targets, content=False, symbols=symbols).where("source <> path").select("id", "source", "ord", "path")
-    armed = rules.where(valid_udf("violation")).select("id", "violation")
+    armed = rules.withColumn("_rx", java_udf("violation")).where("_rx is not null").select("id", "_rx")
     text = F.substring("content", 1, 65_536)
-    hit = near.join(armed, "id").join(targets.select("ord", "path", "content"), ["ord", "path"]).where(pattern_hits(F.col("violation"), F.col("content")))
-    found = F.regexp_instr(text, F.concat(F.lit("(?iu)"), F.col("violation")))
+    hit = near.join(armed, "id").join(targets.select("ord", "path", "content"), ["ord", "path"]).where(pattern_hits(F.col("_rx"), F.col("content")))
+    found = F.regexp_instr(text, F.concat(F.lit("(?iu)"), F.col("_rx")))
     before = F.substring_index(F.substring(text, F.lit(1), found - 1), "\n", -1)
     after = F.substring_index(F.expr("substring(substring(content, 1, 65536), _at)"), "\n", 1)
     return hit.withColumn("_at", found).select("id", "source", "path", F.substring(F.concat(before, after), 1, 120).alias("excerpt"))
@@ -146,3 +169,23 @@ def drafts(ranked: DataFrame, live: DataFrame, n: int, taken: DataFrame) -> Data
     alive = ranked.join(live.select("id").distinct(), "id", "left_semi").orderBy("pos").limit(n)
     used = taken.select("name", F.lit(True).alias("_used"))
     return alive.join(used, alive.id == used.name, "left").select(*ranked.columns, F.col("_used").isNull().alias("fresh"))
+
+
+def shown(found: DataFrame, recent: DataFrame) -> DataFrame:
+    """found(ord, path, id, act_proof, ...) with full: whether a record is shown with its body.
+
+    Without proof in the edit itself, or if recent(path, id) has it shown in full lately, one line stands for it; reason says
+    which of the two.
+    """
+    lately = recent.select("path", "id", F.lit(True).alias("_lately")).distinct()
+    joined = found.join(lately, ["path", "id"], "left")
+    reason = F.when(~F.col("act_proof"), "path-only match").when(F.col("_lately"), "shown in full lately")
+    return joined.withColumn("reason", reason).withColumn("full", reason.isNull()).drop("_lately")
+
+
+def respond(found: DataFrame, fired: DataFrame, trajectory: str = "trajectory") -> DataFrame:
+    """found(trajectory, path, id, act_proof, ...) with key and block: a record blocks an action once, if the edit itself proves
+    it and fired(key) has no earlier block of that record on that target in that trajectory; otherwise it is only shown."""
+    keyed = found.withColumn("key", fire_key(F.col(trajectory), F.col("id").cast("string"), F.col("path")))
+    before = fired.select("key", F.lit(True).alias("_before")).distinct()
+    return keyed.join(before, "key", "left").withColumn("block", F.col("act_proof") & F.col("_before").isNull()).drop("_before")

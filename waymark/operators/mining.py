@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKED_COMMENT, REVERT_SUBJECT, VENDORED, candidate_id, candidate_score, has_segment
+from ..functions.text import MARKED_COMMENT, REVERT_SUBJECT, VENDORED, candidate_id, candidate_score, has_segment, strip
 
-#: Names of lock files, whose comments are not mined, and of the order of sections.
-LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "uv.lock", "Cargo.lock", "Gemfile.lock", "composer.lock", "go.sum")
+#: Names of lock files, whose comments are not mined, in order of the alphabet, and the order of sections.
+LOCKFILES = ("Cargo.lock", "Gemfile.lock", "Pipfile.lock", "composer.lock", "go.sum", "package-lock.json", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "yarn.lock")
 SECTIONS = ("revert", "deleted_component", "flapping", "comment")
 
 
@@ -56,10 +56,10 @@ def flapping(history: DataFrame) -> DataFrame:
 
 
 def comments(files: DataFrame, extra: str | None = None) -> DataFrame:
-    """Lines of files(path, content) with a marker, or that match extra, as path:line and the trimmed text."""
+    """Lines of files(path, content) with a marker, or that match extra, as path:line and 120 characters of the stripped text."""
     marked = _either(MARKED_COMMENT, extra)
     lines = files.where(F.col("content").rlike(marked)).select("path", F.posexplode(F.split("content", "\n")).alias("n", "line"))
-    return lines.where(F.col("line").rlike(marked)).select(F.lit("comment").alias("section"), F.concat_ws(":", "path", (F.col("n") + 1).cast("string")).alias("location"), F.trim("line").alias("text"), "path", (F.col("n") + 1).cast("long").alias("seq"))
+    return lines.where(F.col("line").rlike(marked)).select(F.lit("comment").alias("section"), F.concat_ws(":", "path", (F.col("n") + 1).cast("string")).alias("location"), F.substring(strip(F.col("line")), 1, 120).alias("text"), "path", (F.col("n") + 1).cast("long").alias("seq"))
 
 
 def harvest(parts: list[DataFrame], now_months: int) -> DataFrame:
@@ -68,7 +68,7 @@ def harvest(parts: list[DataFrame], now_months: int) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part, allowMissingColumns=True)
-    for column, kind in (("subject", "string"), ("date", "string"), ("commit", "string"), ("component", "string"), ("died", "string"), ("files_deleted", "long"), ("file", "string"), ("key", "string"), ("oscillation_count", "long"), ("location", "string"), ("text", "string")):
+    for column, kind in (("subject", "string"), ("date", "string"), ("commit", "string"), ("component", "string"), ("died", "string"), ("death_commit", "string"), ("death_subject", "string"), ("sequence", "string"), ("files_deleted", "long"), ("file", "string"), ("key", "string"), ("oscillation_count", "long"), ("location", "string"), ("text", "string")):
         if column not in every.columns:
             every = every.withColumn(column, F.lit(None).cast(kind))
     path = F.coalesce(F.element_at(F.split("location", ":"), 1), "file", "component", F.lit(""))
@@ -107,3 +107,11 @@ def anchor_paths(ranked: DataFrame, changes: DataFrame, tracked: DataFrame, most
     alive = touched.join(tracked.select("path"), "path", "left_semi")
     first = alive.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("path"))).where(F.col("r") <= most)
     return own.join(tracked.select("path"), "path", "left_semi").select("id", "path").union(first.select("id", "path"))
+
+
+def label_requests(requests: DataFrame, harvested: DataFrame, date: str) -> DataFrame:
+    """requests(id, label, note) -> (id, label, note, date, refused): refused says why a label is not to be recorded, and is
+    null where it is: the label is keep or discard, and the id one of harvested(id)."""
+    there = harvested.select("id", F.lit(True).alias("_there")).distinct()
+    why = F.when(~F.coalesce(F.col("label").isin("keep", "discard"), F.lit(False)), "invalid label").when(F.col("_there").isNull(), "no such candidate")
+    return requests.join(there, "id", "left").select("id", "label", "note", F.lit(date).alias("date"), why.alias("refused"))

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names, which executors share; a local one only if unset."""
+    """df as a checkpoint in the folder that spark.checkpoint.dir names, which executors share. Where it is unset a local
+    folder will do for a local master; on a cluster it is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="waymark-"))
     return df.checkpoint()
 
 

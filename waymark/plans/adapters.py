@@ -48,7 +48,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.col("user_id").alias("repo"), F.get_json_object("props", "$.k").alias("target"), F.col("event_type").alias("scar_id"), (F.col("event_type") == "error").alias("violated"), "ts", F.unix_timestamp("ts").alias("t"))
+    return e.select("event_id", F.col("user_id").alias("repo"), F.get_json_object("props", "$.k").alias("target"), F.col("event_type").alias("record_id"), (F.col("event_type") == "error").alias("violated"), "ts", F.unix_timestamp("ts").alias("t"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -149,34 +149,34 @@ def status_counts(spark, sf_dir):
     return health.status_counts(record_rows(spark))
 
 
-FIRES = "e as (select event_id, user_id as repo, json_extract_string(props, '$.k') as target, event_type as scar_id, event_type = 'error' as violated, ts, epoch(ts)::bigint as t from events)"
+FIRES = "e as (select event_id, user_id as repo, json_extract_string(props, '$.k') as target, event_type as record_id, event_type = 'error' as violated, ts, epoch(ts)::bigint as t from events)"
 STATS = "count(*) filter (not violated) as fired, count(*) filter (violated) as violations, max(ts) as last_fired"
 
 
-@query(f"with {FIRES} select scar_id, {STATS} from e group by scar_id")
+@query(f"with {FIRES} select record_id, {STATS} from e group by record_id")
 def fire_stats(spark, sf_dir):
-    return activity.fire_stats(A.fires(spark, sf_dir), ["scar_id"])
+    return activity.fire_stats(A.fires(spark, sf_dir), ["record_id"])
 
 
-@query(f"with {FIRES} select repo, scar_id, {STATS} from e group by repo, scar_id")
+@query(f"with {FIRES} select repo, record_id, {STATS} from e group by repo, record_id")
 def fire_stats_by_repo(spark, sf_dir):
-    return activity.fire_stats(A.fires(spark, sf_dir), ["repo", "scar_id"])
+    return activity.fire_stats(A.fires(spark, sf_dir), ["repo", "record_id"])
 
 
-@query(f"with {FIRES} select distinct event_type as id from (select event_type from events union all select 'nothing') x where event_type not in (select scar_id from e where not violated)")
+@query(f"with {FIRES} select distinct event_type as id from (select event_type from events union all select 'nothing') x where event_type not in (select record_id from e where not violated)")
 def never_fired(spark, sf_dir):
     ids = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("id")).union(spark.createDataFrame([("nothing",)], "id string"))
     return activity.never_fired(ids, A.fires(spark, sf_dir))
 
 
-@query(f"with {FIRES}, g as (select repo, scar_id, {STATS} from e group by repo, scar_id), w as (select scar_id, sum(fired) as fired from g group by scar_id), t as (select *, sum(fired) over () as total from w) select scar_id, cast(fired as bigint) as fired, fired / cast(total as double) as share from t where total > 20 and fired / cast(total as double) > 0.2")
+@query(f"with {FIRES}, g as (select repo, record_id, {STATS} from e group by repo, record_id), w as (select record_id, sum(fired) as fired from g group by record_id), t as (select *, sum(fired) over () as total from w) select record_id, cast(fired as bigint) as fired, fired / cast(total as double) as share from t where total > 20 and fired / cast(total as double) > 0.2")
 def advisory_share(spark, sf_dir):
-    return activity.advisories(activity.fire_stats(A.fires(spark, sf_dir), ["scar_id"]), share=0.2).select("scar_id", "fired", "share")
+    return activity.advisories(activity.fire_stats(A.fires(spark, sf_dir), ["record_id"]), share=0.2).select("record_id", "fired", "share")
 
 
-@query(f"with {FIRES} select scar_id, count(*) filter (violated) as violations, count(*) filter (not violated) as fired from e join (select 'click' as scar_id, timestamp '1990-01-01' as armed_at union all select 'error', timestamp '2024-01-15') a using (scar_id) where ts >= armed_at group by scar_id")
+@query(f"with {FIRES} select record_id, count(*) filter (violated) as violations, count(*) filter (not violated) as fired from e join (select 'click' as record_id, timestamp '1990-01-01' as armed_at union all select 'error', timestamp '2024-01-15') a using (record_id) where ts >= armed_at group by record_id")
 def compliance(spark, sf_dir):
-    armed = spark.sql("select 'click' as scar_id, timestamp '1990-01-01' as armed_at union all select 'error', timestamp '2024-01-15'")
+    armed = spark.sql("select 'click' as record_id, timestamp '1990-01-01' as armed_at union all select 'error', timestamp '2024-01-15'")
     return activity.compliance(A.fires(spark, sf_dir), armed)
 
 
@@ -223,7 +223,7 @@ def revert_hits(spark, sf_dir):
     return mining.reverts(A.commits(spark, sf_dir), SUBJECT_EXTRA).select("commit", "date", "subject")
 
 
-@query(f"with {FILES}, l as (select path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from f) select path || ':' || n as location, trim(line, ' ') as text from l where regexp_matches(line, '{COMMENT_SQL}')")
+@query(f"with {FILES}, l as (select path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from f) select path || ':' || n as location, substr(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 120) as text from l where regexp_matches(line, '{COMMENT_SQL}')")
 def comment_hits(spark, sf_dir):
     return mining.comments(A.files(spark, sf_dir), COMMENT_EXTRA).select("location", "text")
 
@@ -383,30 +383,179 @@ def newest_lines(spark, sf_dir):
     return activity.newest(A.table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), "event_type"), 200)
 
 
-RECORD_TEXTS = [
-    ("0001-a.md", "---\nid: 1\ntype: fence\ntitle: Sleep is 7s # kept\nseverity: critical\nconfidence: 0.9\nauthors: [mara, Lee]\nanchors:\n  - path: payments/\n  - pattern: \"sleep\\(\"\nevidence:\n  - commit: aaa1111\nexpires:\n  condition: vendor gone\n  review_after: 2026-01-01\nviolation: \"sleep\\([0-6]\\)\"\nstatus: active\n---\n\nDo not lower the sleep.\n"),
-    ("0002-b.md", "no head"),
-    ("0003-c.md", "---\nid: x\ntype: odd\nconfidence: much\nanchors:\n  - pattern: \"(a+)+$\"\n  - command: 'x*'\n---\n"),
-]
+def doc(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents")
 
 
-@query()
+def joined(*parts: Column | str) -> Column:
+    """Columns, names of columns, and texts that a ' marks, after one another; numbers as texts."""
+    return F.concat(*[F.lit(x[1:]) if isinstance(x, str) and x.startswith("'") else F.col(x).cast("string") if isinstance(x, str) else x for x in parts])
+
+
+def record_texts(spark, sf_dir):
+    """A record file for every document, with comments, quotes, odd values and defects at set places."""
+    i = F.col("doc_id")
+    pick = lambda when, one, other: F.when(when, F.lit(one)).otherwise(F.lit(other))
+    severity = F.element_at(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")]), (i % 4 + 1).cast("int"))
+    evidence = F.when(i % 3 == 0, "").otherwise(joined("'evidence:\n  - commit: ", F.when(i % 2 == 0, joined("'\"abc", "doc_id", "'\"")).otherwise(joined("'abc", "doc_id", "' # why")), "'\n"))
+    text = joined(
+        "'---\nid: ", "doc_id", "'\ntype: ", pick(i % 7 == 0, "odd", "fence"), "'\ntitle: Doc #", "doc_id", "'\nseverity: ", severity, "' # of four\nconfidence: ", pick(i % 5 == 0, "much", "0.25"),
+        "'\nauthors: [mara, Lee]\nanchors:\n  - path: ", "source", "'/", "lang", "'/ # here\n  - pattern: \"a", "doc_id", "'[.]\"\n", evidence, "'status: ", pick(i % 11 == 0, "archived", "active"), "'\n---\n\nBody ", "doc_id", "'.\n",
+    )
+    return doc(spark, sf_dir).select(joined("'r", "doc_id", "'.md").alias("source"), F.when(i % 13 == 0, joined("'no head ", "doc_id")).otherwise(text).alias("text"))
+
+
+@query("""select 'r' || doc_id || '.md' as source, doc_id as id, case when doc_id % 7 = 0 then 'odd' else 'fence' end as type, 'Doc #' || doc_id as title,
+(['low', 'medium', 'high', 'critical'])[doc_id % 4 + 1] as severity, cast(case when doc_id % 5 = 0 then 0.5 else 0.25 end as double) as confidence, source || '/' || lang || '/' as path,
+'a' || doc_id || '[.]' as pattern, case when doc_id % 3 = 0 then '' else 'commit: abc' || doc_id end as evidence, case when doc_id % 11 = 0 then 'archived' else 'active' end as status, 'Body ' || doc_id || '.' as body
+from documents where doc_id % 13 <> 0""")
+def parsed_records(spark, sf_dir):
+    r = records.parse(record_texts(spark, sf_dir)).where("not broken")
+    return r.select("source", "id", "type", "title", "severity", "confidence", F.get("path_anchors", 0).alias("path"), F.get("pattern_anchors", 0).alias("pattern"), F.array_join("evidence", ",").alias("evidence"), "status", "body")
+
+
+@query("""select level, message, count(*) as n from (
+select 'error' as level, 'missing frontmatter' as message from documents where doc_id % 13 = 0
+union all select 'error', 'unknown type' from documents where doc_id % 13 <> 0 and doc_id % 7 = 0
+union all select 'warning', 'no evidence' from documents where doc_id % 13 <> 0 and doc_id % 3 = 0) group by all""")
 def lint_findings(spark, sf_dir):
-    return records.lint(records.parse(spark.createDataFrame(RECORD_TEXTS, "source string, text string")), TODAY)
+    return records.lint(records.parse(record_texts(spark, sf_dir)), TODAY).groupBy("level", "message").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select 'r' || doc_id || '.md' as source, case when doc_id % 13 = 0 then '' when lang = 'en' then source || '/english/' else source || '/' || lang || '/' end as path from documents")
+def rewritten_anchors(spark, sf_dir):
+    changes = doc(spark, sf_dir).where("lang = 'en'").select(joined("'r", "doc_id", "'.md").alias("source"), joined("source", "'/en/").alias("old"), joined("source", "'/english/").alias("new"))
+    texts = reanchor.rewrite_anchors(record_texts(spark, sf_dir), changes)
+    return texts.select("source", F.regexp_extract("text", r"- path: (\S+) # here", 1).alias("path"))
+
+
+@query("select 'f' || doc_id || '.py' as path, unnest(['F' || doc_id, 'F' || doc_id || '.bar', 'baz']) as name, unnest([1, 2, 5]) as first from documents where doc_id % 2 = 0")
 def symbol_defs(spark, sf_dir):
-    code = "class Foo:\n    def bar(self):\n        return 1\n\ndef baz(x):\n    return [y for y in x]\n"
-    return logs.definitions(spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.txt", code)], "path string, content string"))
+    code = joined("'class F", "doc_id", "':\n    def bar(self):\n        return 1\n\ndef baz(x):\n    return [y for y in x]\n")
+    sources = doc(spark, sf_dir).select(joined("'f", "doc_id", F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".txt")).alias("path"), code.alias("content"))
+    return logs.definitions(sources).select("path", "name", "first")
 
 
-@query()
+@query("select doc_id as diff_id, 1 as ord, source || '/x.txt' as path, replace(text, chr(13) || chr(10), chr(10)) as content from documents")
 def diff_targets(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), F.concat(F.lit("--- a/x\n+++ b/"), "source", F.lit("/x.txt\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n"), F.lit("\n+++ /dev/null\n-gone")).alias("text"))
+    d = doc(spark, sf_dir).select(F.col("doc_id").alias("diff_id"), F.concat(F.lit("--- a/x\n+++ b/"), "source", F.lit("/x.txt\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n"), F.lit("\n+++ /dev/null\n-gone")).alias("text"))
     return logs.diff_targets(d)
 
 
+@query("""select repo, rec as id, count(*) as fired, count(*) filter (where violated) as violated, max(ts) as last from (
+select cast(user_id as varchar) as repo, event_id % 5 as rec, false as violated, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts from events where event_id % 10 <> 3
+union all select cast(user_id as varchar), event_id % 7, true, strftime(ts, '%Y-%m-%dT%H:%M:%S') from events where event_id % 4 = 0 and event_id % 10 <> 3) group by all""")
+def firing_log(spark, sf_dir):
+    """The log written as JSON lines and read again; every tenth line is broken."""
+    e = A.table(spark, sf_dir, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    line = F.to_json(F.struct(F.col("at").alias("ts"), F.col("user_id").cast("string").alias("repo"), F.col("props").alias("target"), F.array(F.col("event_id") % 5).alias("scar_ids"), F.when(F.col("event_id") % 4 == 0, F.array(F.col("event_id") % 7)).alias("violation_ids")))
+    lines = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 10 == 3, F.lit("{broken")).otherwise(line).alias("value"))
+    return logs.firings(lines).groupBy("repo", F.col("record_id").alias("id")).agg(F.count("*").alias("fired"), F.count_if("violated").alias("violated"), F.max("ts").alias("last"))
+
+
+@query("""select cast(conv_id as varchar) as session, case when role = 'user' then 'user' else 'assistant' end as role, count(*) as blocks, cast(sum(length(text)) as bigint) as chars from conversations group by all""")
+def transcript_lines(spark, sf_dir):
+    """Turns as transcript lines, a text or a list of one block, and read again."""
+    c = A.table(spark, sf_dir, "conversations")
+    role = F.when(F.col("role") == "user", "user").otherwise("assistant")
+    one = F.to_json(F.struct(role.alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    listed = F.to_json(F.struct(role.alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message")))
+    lines = c.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 2 == 0, one).otherwise(listed).alias("value"))
+    return logs.transcript_blocks(lines).groupBy("session", "role").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
+
+
+def git_lines(spark, sf_dir):
+    """A log for every source: a commit for each document, with a rename and a changed line."""
+    i = doc(spark, sf_dir)
+    head = joined("'\x02", F.sha1(F.col("doc_id").cast("string").cast("binary")), "'\x01", "'2020-01-02\x01Subject ", "doc_id")
+    rest = F.when(F.col("doc_id") % 2 == 0, F.array(joined("'R100\told/", "doc_id", "'\tnew/", "doc_id"))).otherwise(F.array(joined("'+++ b/src/", "doc_id", "'.yaml"), joined("'+replicas: ", (F.col("doc_id") % 9).cast("string"))))
+    return i.select(F.col("source").alias("repo"), "doc_id", F.posexplode(F.concat(F.array(head), F.array(F.lit("")), rest)).alias("p", "line")).select("repo", (F.col("doc_id") * 10 + F.col("p")).alias("n"), "line")
+
+
+@query("select source as repo, 'old/' || doc_id as old, 'new/' || doc_id as new, sha1(cast(doc_id as varchar)) as sha, row_number() over (partition by source order by doc_id) - 1 as seq from documents qualify doc_id % 2 = 0")
+def git_rename_log(spark, sf_dir):
+    log = logs.git_log(git_lines(spark, sf_dir))
+    return logs.git_renames(log).join(logs.git_commits(log).select("repo", "seq", "sha"), ["repo", "seq"]).select("repo", "old", "new", "sha", "seq")
+
+
+@query("select source as repo, 'src/' || doc_id || '.yaml' as file, 'replicas' as key, cast(doc_id % 9 as varchar) as value, sha1(cast(doc_id as varchar)) as sha from documents where doc_id % 2 = 1")
+def tracked_value_log(spark, sf_dir):
+    return logs.tracked_values(logs.git_patch_lines(logs.git_log(git_lines(spark, sf_dir)))).select("repo", "file", "key", "value", "sha")
+
+
+@query(FOLD.replace("{fires}", FIRES).replace("{op}", ">= 3600"))
+def throttled(spark, sf_dir):
+    return activity.throttle(A.fires(spark, sf_dir), ["repo", "target"], ["event_id"])
+
+
+@query("select user_id || '|' || event_type as key, max(epoch(date_trunc('second', ts))::bigint) as t from events group by all having max(epoch(date_trunc('second', ts))::bigint) >= (select max(epoch(date_trunc('second', ts))::bigint) from events) - 864000 order by t desc, key limit 1000")
+def remembered_keys(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), F.unix_timestamp("ts").alias("t"))
+    return activity.remembered(e, e.agg(F.max("t")).first()[0], 864_000)
+
+
+@query("select doc_id, (list_max(list_transform(string_split(text, chr(10)), lambda x: struct_pack(n := length(x), line := x)))).line[1:200] as line from documents")
+def telling_lines(spark, sf_dir):
+    return doc(spark, sf_dir).select("doc_id", X.telling_line(F.split("text", "\n")).alias("line"))
+
+
+DEAD = [(1, "licensed under"), (2, "zzzqqq"), (3, "(a+)+$"), (4, "^The [a-z]+"), (5, "[[]x")]
+
+
+@query(f"""with q as (select * from ({A.values(DEAD)}) v(id, value)), l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+m as (select q.id, min(l.doc_id) as seq from q join l on q.id <> 3 and regexp_matches(l.line, q.value) group by q.id)
+select cast(q.id as bigint) as id, q.value, case when q.id = 3 then 'skipped — pathological pattern (ReDoS risk)' when m.seq is null then 'no prior match found' else 'last matched at ' || md5(cast(m.seq as varchar))[1:7] end as diagnostic from q left join m on m.id = q.id""")
+def pattern_diagnostics(spark, sf_dir):
+    lines = doc(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("sha"), F.explode(F.split("text", "\n")).alias("text"))
+    return reanchor.pattern_diagnostic(spark.createDataFrame(DEAD, "id long, value string"), lines)
+
+
+@query(f"""with {FILES}, s as (select doc_id as id, case when doc_id % 3 = 0 then 'Foo' when doc_id % 3 = 1 then source || '/' || lang || '/' || doc_id || '.txt::Foo' else 'gone::Foo' end as value, source || '/' || lang || '/' || doc_id || '.txt' as own from documents)
+select id, value, case when id % 3 = 2 then null else own end as path from s""")
+def symbol_paths(spark, sf_dir):
+    f = A.files(spark, sf_dir)
+    third = F.col("ord") % 3
+    value = F.when(third == 0, "Foo").when(third == 1, joined("path", "'::Foo")).otherwise("gone::Foo")
+    symbols = f.select(F.col("ord").alias("id"), value.alias("value"))
+    return reanchor.symbol_path(symbols, f.select(F.col("ord").alias("id"), F.col("path").alias("value")), f.select("path"))
+
+
+@query("""with r as (select doc_id as id, case quality when 1 then 'keep' when 0 then 'discard' end as label from labels)
+select id, label, case when label is null then 'invalid label' when id % 2 = 1 then 'no such candidate' end as refused from r""")
+def label_requests(spark, sf_dir):
+    asked = A.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "keep").when(F.col("quality") == 0, "discard").alias("label"), F.lit("").alias("note"))
+    return mining.label_requests(asked, doc(spark, sf_dir).where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), TODAY).select("id", "label", "refused")
+
+
+@query("select count(*) as n, median(l_discount) as median, min(l_discount) as least, max(l_discount) as most from lineitem")
+def value_spread(spark, sf_dir):
+    return activity.spread(A.table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("value")))
+
+
+def dead_anchors(spark, sf_dir):
+    found = health.orphans(A.anchors(spark), A.files(spark, sf_dir))
+    return found.select("id", X.orphan_reason(F.col("dead_paths"), F.col("dead_patterns"), "no anchors").alias("reason"))
+
+
+HINT = " — hint: a pattern that guards against reintroduction (healthy when absent) belongs in violation:, not anchors"
+
+
+@query("select * from (values (cast(7 as bigint), 'all anchors dead (paths: gone/; patterns: /zzzqqq/)" + HINT + "'), (8, 'all anchors dead (patterns: /qqqzzz/)" + HINT + "'), (11, 'no anchors')) v(id, reason)")
+def orphan_reasons(spark, sf_dir):
+    return dead_anchors(spark, sf_dir)
+
+
+@query(f"with {FILES}, l as (select path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from f), c as (select path || ':' || n as location, substr(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 120) as text from l where regexp_matches(line, '{COMMENT_SQL}')) select location, '- [' || substr(sha1('comment:' || location || ':' || substr(text, 1, 40)), 1, 10) || ' score 1.0] `' || location || '` — ' || text as line from c")
+def harvest_lines(spark, sf_dir):
+    found = mining.harvest([mining.comments(A.files(spark, sf_dir), COMMENT_EXTRA)], NOW_MONTHS)
+    return found.withColumn("score", F.lit(1.0)).select("location", X.harvest_line(F.col("section")).alias("line"))
+
+
+@query("select o_orderkey as id, rtrim(left(regexp_replace(lower(o_orderpriority || ' of ' || o_orderkey), '[^a-z0-9]+', '-', 'g'), 12), '') as slug from orders")
+def short_slugs(spark, sf_dir):
+    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.short_slug(joined("o_orderpriority", "' of ", "o_orderkey"), "none", 12).alias("slug"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

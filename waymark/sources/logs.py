@@ -27,11 +27,10 @@ def json_objects(lines: DataFrame) -> DataFrame:
 
 
 def firings(lines: DataFrame) -> DataFrame:
-    """Firing-log lines -> (ts, repo, target, scar_id, violated), an id a row; elements that are no integers are skipped."""
+    """Firing-log lines -> (ts, repo, target, record_id, violated), an id a row; elements that are no integers are skipped."""
     objects = json_objects(lines)
-    objects.createOrReplaceTempView("_waymark_firing_objects")
     spark = lines.sparkSession
-    part = "SELECT line_no, try_variant_get(v, '$.ts', 'string') AS ts, coalesce(try_variant_get(v, '$.repo', 'string'), '(unknown)') AS repo, try_variant_get(v, '$.target', 'string') AS target, try_cast(e.value AS bigint) AS scar_id, {violated} AS violated FROM {df}, LATERAL variant_explode(try_variant_get(v, '$.{field}', 'variant')) e WHERE schema_of_variant(e.value) IN ('BIGINT', 'BOOLEAN')"
+    part = "SELECT line_no, try_variant_get(v, '$.ts', 'string') AS ts, coalesce(try_variant_get(v, '$.repo', 'string'), '(unknown)') AS repo, try_variant_get(v, '$.target', 'string') AS target, try_cast(e.value AS bigint) AS record_id, {violated} AS violated FROM {df}, LATERAL variant_explode(try_variant_get(v, '$.{field}', 'variant')) e WHERE schema_of_variant(e.value) IN ('BIGINT', 'BOOLEAN')"
     both = [spark.sql(part.replace("{violated}", violated).replace("{field}", field), df=objects) for field, violated in (("scar_ids", "false"), ("violation_ids", "true"))]
     return both[0].union(both[1])
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import empty_udf, prone_udf, valid_udf
+from ..operators.tables import placed
 
 #: The domains of type, severity and status, evidence kinds, and unsupported anchors.
 TYPES = ("deadend", "fence", "landmine")
@@ -36,13 +37,20 @@ def _anchors(kind: str, quotes: str, comments: bool) -> Column:
     return F.transform(found, lambda v: F.regexp_replace(v, f"^[{quotes}]+|[{quotes}]+$", ""))
 
 
+def _evidence(line: Column) -> Column:
+    """`kind: value` of an evidence line, without a comment behind the value and quotes around it."""
+    part = lambda i: F.regexp_extract(line, r"^\s*-\s*(\w+):\s*(.+?)\s*$", i)
+    bare = F.when(part(2).rlike("[\"']"), part(2)).otherwise(F.regexp_replace(part(2), r"\s+#.*$", ""))
+    return F.concat(part(1), F.lit(": "), F.regexp_replace(bare, r"^[\"']+|[\"']+$", ""))
+
+
 def parse(texts: DataFrame) -> DataFrame:
     """texts(source, text) -> the record columns, and broken: whether there is no head, in which case all else is null.
 
     Of a field the first line counts, at any indentation. Malformed confidence is 0.5, a malformed id null.
     """
     split = texts.withColumn("broken", ~F.col("text").rlike(HEAD)).withColumn("head", F.when(~F.col("broken"), F.regexp_extract("text", HEAD, 1)))
-    evidence = F.transform(F.regexp_extract_all("head", F.lit(rf"(?m)^\s*-\s*(?:{EVIDENCE}):\s*.+?\s*$"), 0), lambda v: F.regexp_replace(v, r"^\s*-\s*(\w+):\s*(.+?)\s*$", "$1: $2"))
+    evidence = F.transform(F.regexp_extract_all("head", F.lit(rf"(?m)^\s*-\s*(?:{EVIDENCE}):\s*.+?\s*$"), 0), _evidence)
     authors = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(_field("authors"), F.lit("")), r"[\[\]]", ""), ","), lambda a: F.regexp_replace(F.trim(a), "^[\"']|[\"']$", "")), lambda a: a != "")
     confidence = _field("confidence")
     out = split.select(
@@ -137,6 +145,6 @@ def promote(candidates: DataFrame, records: DataFrame, reviewer: str, today: str
     bad = lint(candidates, today).where("level = 'error'").select("source").distinct()
     top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     known = F.exists("authors", lambda a: F.lower(a) == reviewer.lower())
-    good = candidates.join(bad, "source", "left_anti").crossJoin(F.broadcast(top))
-    numbered = good.withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("source"))).drop("top")
+    good = placed(candidates.join(bad, "source", "left_anti"), "source").crossJoin(F.broadcast(top))
+    numbered = good.withColumn("id", F.col("top") + F.col("pos")).drop("top", "pos")
     return numbered.withColumn("status", F.lit("active")).withColumn("authors", F.when(known, F.col("authors")).otherwise(F.array_append("authors", F.lit(reviewer))))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.activity import BLOCK_TTL, COOLDOWN
+from ..operators import matching
+from ..operators.activity import BLOCK_TTL, COOLDOWN, THROTTLE, remembered
 
 
 class _Stands(StatefulProcessor):
@@ -59,16 +61,81 @@ def first_of_session(events: DataFrame, session: str = "session", ts: str = "ts"
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([session])
 
 
-def on_edits(edits: DataFrame, anchors: DataFrame, sink: str, checkpoint: str, k: int = 3):
-    """Starts a query that appends to the Parquet folder `sink` the k best records for every edit(ord, path, content).
+def throttle(events: DataFrame, keys: list[str], seconds: int = THROTTLE) -> DataFrame:
+    """A stream of events with stands: a check that runs, as none ran in the `seconds` before it."""
+    return _run(events, keys, seconds, again=False)
+
+
+def _append(rows: DataFrame, sink: str, number: int) -> None:
+    """The rows of a batch as their own folder of a log; a batch that is run again replaces it, so nothing counts twice."""
+    rows.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+
+def _earlier(rows: DataFrame, sink: str, number: int) -> DataFrame:
+    """What earlier batches logged in rows' columns; nothing before the first."""
+    spark = rows.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return rows.limit(0)
+    types = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return spark.read.schema(f"{types}, batch long").parquet(sink).where(f"batch < {number}").drop("batch")
+
+
+def _start(stream: DataFrame, write, checkpoint: str):
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def on_edits(edits: DataFrame, anchors: DataFrame, sink: str, checkpoint: str, k: int = 3, seconds: int = COOLDOWN, rules: DataFrame | None = None, violations_sink: str | None = None):
+    """Starts a query that logs in the Parquet folder `sink` the k best records for every edit(ord, path, content[, t]).
 
     Records change rarely and edits come in small batches, so each batch goes through the batch operators: a stream joined
-    with a static side.
+    with a static side. With t, in seconds, each showing has full and reason: whether the record's body is shown, or one
+    line, as the edit itself proves nothing or an earlier batch showed it in full on that path within `seconds`. With
+    rules(id, violation) what the edits violate is logged in violations_sink.
     """
-    from ..operators import matching
 
     def write(batch: DataFrame, number: int) -> None:
         top = matching.top_of_target(matching.ranked(matching.signals(anchors, batch)), k)
-        top.select("id", "ord", "path", "rank", "pos", "matched_by").write.mode("append").parquet(sink)
+        rows = top.select("id", "ord", "path", "rank", "pos", "matched_by", "act_proof")
+        if "t" in batch.columns:
+            rows = rows.join(batch.select("ord", "path", F.col("t").cast("long").alias("t")), ["ord", "path"])
+            log = rows.withColumn("reason", F.lit("")).withColumn("full", F.lit(True))
+            since = batch.agg(F.min("t")).first()[0] or 0
+            recent = _earlier(log, sink, number).where(F.col("full") & (F.col("t") >= since - seconds)).select("path", "id")
+            rows = matching.shown(rows, recent).select(*log.columns)
+        _append(rows, sink, number)
+        if rules is not None and violations_sink:
+            _append(matching.violations(anchors, rules, batch), violations_sink, number)
+
+    return _start(edits, write, checkpoint)
 
-    return edits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def on_commands(commands: DataFrame, anchors: DataFrame, sink: str, checkpoint: str, k: int = 3):
+    """Starts a query that logs the k best records whose command patterns hit each command(ord, command)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        _append(matching.for_commands(anchors, batch, k), sink, number)
+
+    return _start(commands, write, checkpoint)
+
+
+def block_actions(actions: DataFrame, anchors: DataFrame, sink: str, checkpoint: str, k: int = 3, seconds: int = BLOCK_TTL, most: int = 1000):
+    """Starts a query that answers every action(ord, trajectory, path, content, t) before it happens: a record with proof in
+    the edit blocks it once a trajectory and target, as long as that is among the `most` newest blocks of the last `seconds`;
+    all else is shown. Logged are (id, ord, trajectory, path, t, key, block). Commands are actions with the command as path
+    and as content and with their patterns as anchors of kind pattern.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        top = matching.top_of_target(matching.ranked(matching.signals(anchors, batch)), k)
+        found = top.select("id", "ord", "path", "act_proof").join(batch.select("ord", "path", "trajectory", F.col("t").cast("long").alias("t")), ["ord", "path"])
+        log = found.select("id", "ord", "trajectory", "path", "t").withColumn("key", F.lit("")).withColumn("block", F.lit(True))
+        now = batch.agg(F.min("t")).first()[0] or 0
+        fired = remembered(_earlier(log, sink, number).where("block").select("key", "t"), now, seconds, most)
+        answered = matching.respond(found, fired)
+        # Of equal actions in one batch the first blocks.
+        first = Window.partitionBy("key", "block").orderBy("t", "ord")
+        answered = answered.withColumn("block", F.col("block") & (F.row_number().over(first) == 1))
+        _append(answered.select(*log.columns), sink, number)
+
+    return _start(actions, write, checkpoint)
