@@ -117,6 +117,15 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data))
     rows = warc.read(spark, str(tmp_path))
     assert rows.count() == 4
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    one, two = (record("response", i, "2024-01-01T00:00:00Z", 200, "ETag: q", bytes(random.Random(i).randrange(256) for _ in range(9000))) for i in "xy")
+    (odd / "members.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
+    (odd / "cut.gz").write_bytes(gzip.compress(one) + gzip.compress(two)[:-4000])
+    (odd / "bad.warc").write_bytes(one.replace(b"WARC-Date: 2024-01-01T00:00:00Z\r\n", b"") + one.replace(b"2024", b"soon") + b"junk\r\n\r\nWARC/1.1\r\nContent-Length: many\r\n\r\nx\r\n" + two)
+    (odd / "empty.gz").write_bytes(b"")
+    assert sorted(r.record_id for r in warc.read(spark, str(odd)).collect()) == ["x", "x", "y", "y"]
+    assert warc.resolve(rows.limit(0)).count() == 0
     done = warc.with_bodies(warc.resolve(rows), rows.dropDuplicates(["record_id"])).collect()
     assert {(r.record_id, r.refers_to, bytes(r.body), r.headers["date"]) for r in done} == {("two", "one", b"body\r\n\r\nmore", "d2")}
 
@@ -127,7 +136,7 @@ def test_cotraining_teaches_from_the_pool():
     truth = np.where(labels >= 0, labels, r.integers(0, 2, len(labels)))
     words = [[("fine" if t else "bad") + str(r.integers(0, 30)) for _ in range(12)] for t in truth]
     meta = np.stack([np.ones(len(truth)), truth + r.normal(0, 0.6, len(truth)), r.normal(0, 1, len(truth))], axis=1)
-    model = quality_model.cotrain(words, meta, labels)
+    model = quality_model.cotrain([[f for w in ws for f in quality_model.word_features(w)] for ws in words], meta, labels)
     _, _, score = model.scores(model.content({}, [" ".join(w) for w in words]), meta @ model.meta)
     assert ((score >= 0.5) == truth).mean() > 0.95
 

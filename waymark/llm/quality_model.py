@@ -35,8 +35,7 @@ _KINDS = [re.compile(p) for p in (r"[A-ZÀ-Þ]+", r"[a-zß-ÿ]+", r"[0-9]+")]
 
 def word_features(word: str) -> list[int]:
     """Buckets of a word, its shape, its first three and its last three characters."""
-    w = word[:40]
-    shape = w
+    w = shape = word
     for mark, kind in zip("Xx9", _KINDS):
         shape = kind.sub(mark, shape)
     return [crc32(x.encode()) % BUCKETS for x in (f"w{w.lower()}", f"s{shape}", f"p{w[:3]}", f"e{w[-3:]}")]
@@ -122,15 +121,15 @@ class Model:
         return _logit(a), _logit(b), _logit(self.combine[0] + self.combine[1] * a + self.combine[2] * b)
 
 
-def cotrain(words: Iterable[list[str]], meta: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> Model:
-    """labels: 1, 0, or -1 for the unlabelled pool. With one class only, every document gets that class's share."""
+def cotrain(features: Iterable[list[int]], meta: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> Model:
+    """features of the words of each document; labels: 1, 0, or -1 for the unlabelled pool. With one class only, every document gets that class's share."""
     known = np.flatnonzero(labels >= 0)
     share = float((labels[known] == 1).sum() + 1) / (len(known) + 2)
     if not len(known) or len(set(labels[known].tolist())) < 2:
         z = float(np.log(share / (1 - share)))
         width = meta.shape[1] if meta.ndim == 2 else len(metadata("", None, None))
         return Model(np.zeros(BUCKETS), z, np.eye(1, width)[0] * z, np.array([1.0, 0, 1, 0]), np.array([0, 0.5, 0.5]))
-    rows = [np.array([f for w in ws for f in word_features(w)], np.int32) for ws in words]
+    rows = [np.array(fs, np.int32) for fs in features]
     rng = np.random.default_rng(seed)
     apart = np.zeros(len(labels), bool)
     apart[rng.permutation(known)[: len(known) // 4]] = True
@@ -161,24 +160,26 @@ def cotrain(words: Iterable[list[str]], meta: np.ndarray, labels: np.ndarray, ro
     return Model(gain, bias, w, np.concatenate(scaled), newton(both, y, 0.01))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from docs(doc_id, text, lang, source) and labels(doc_id, quality), without held-out labels."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = POOL, words_each: int = WORDS) -> Model:
+    """A model from docs(doc_id, text, lang, source) and labels(doc_id, quality), without held-out labels. At most `labelled`
+    and `unlabelled` documents, `words_each` words of each, reach the driver."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = known.orderBy(*order).limit(LABELLED)
-    pool = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(POOL).select("doc_id", F.lit(-1).alias("quality"))
+    chosen = known.orderBy(*order).limit(labelled)
+    pool = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(unlabelled).select("doc_id", F.lit(-1).alias("quality"))
     picked = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").join(F.broadcast(chosen.union(pool)), "doc_id")
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             texts = b.column("text").fill_null("").to_pylist()
             words = [t.split() for t in texts]
-            few = [[w[i * len(w) // WORDS] for i in range(WORDS)] if len(w) > WORDS else w for w in words]
-            few = [[x[:40] for x in w] for w in few]
+            few = [[w[i * len(w) // words_each] for i in range(words_each)] if len(w) > words_each else w for w in words]
+            seen = {x: word_features(x) for w in few for x in w}
+            few = [[f for x in w for f in seen[x]] for w in few]  # whole words are hashed here, whatever their length
             meta = [metadata(t, a, s) for t, a, s in zip(texts, b.column("lang").to_pylist(), b.column("source").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(few, pa.list_(pa.string())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "quality", "words", "meta"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(few, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "quality", "words", "meta"])
 
-    found = picked.mapInArrow(view, "doc_id long, quality int, words array<string>, meta array<double>").toArrow().combine_chunks()
+    found = picked.mapInArrow(view, "doc_id long, quality int, words array<int>, meta array<double>").toArrow().combine_chunks()
     quality = found.column("quality").to_numpy()
     order = np.lexsort((quality, found.column("doc_id").to_numpy()))
     words = found.column("words")

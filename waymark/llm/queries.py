@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import media, mixing, pieces, quality_model, quality_rules, secrets, simhash, suffixes, toxicity, warc
 from .common import table
 
+NFKC = "nmt_nfkc"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,16 +39,15 @@ v as (
          array_to_string(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
                                      lambda x: not regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)=')), '&') as query
   from u),
-k as (select page_id, tag, size, host || path || case when query <> '' then '?' || query else '' end as key from v),
-j as (select b.page_id, b.tag as new_tag, a.page_id as hit, a.tag as old_tag, a.size
-      from (select *, page_id + 1099511627776 as t from k) b asof left join k a on a.key = b.key and a.page_id < b.t)
-select page_id,
-       case when hit is null then 'missing' when new_tag <> old_tag then 'mismatch' else 'resolved' end as outcome,
-       case when new_tag = old_tag then hit end as refers_to,
-       case when new_tag = old_tag then cast(page_id + 1099511627776 as varchar) end as date,
-       case when new_tag = old_tag then size end as content_length,
-       case when new_tag = old_tag then 'W/' || new_tag end as etag
-from j
+k as (select page_id, tag, size, page_id * 1800 as ts, case when page_id % 7 = 3 then page_id * 1800 - 900 else page_id * 1800 + 900 + 1800 * ((page_id * 7919) % 97) end as t, host || path || case when query <> '' then '?' || query else '' end as key from v),
+j as (select b.page_id, b.t, b.tag as new_tag, a.page_id as hit, a.tag as old_tag, a.size from k b asof left join k a on a.key = b.key and a.ts < b.t),
+o as (select *, case when hit is null then 'missing' when page_id % 11 = 5 then 'unvalidated' when new_tag <> old_tag then 'mismatch' else 'resolved' end as outcome from j)
+select page_id, outcome,
+       case when outcome = 'resolved' then hit end as refers_to,
+       case when outcome = 'resolved' then cast(t as varchar) end as date,
+       case when outcome = 'resolved' then size end as content_length,
+       case when outcome = 'resolved' then 'W/' || new_tag end as etag
+from o
 """
 
 
@@ -129,6 +130,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pieces_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_pieces behind the library's NFKC map: every text normalised by longest prefixes before it is encoded."""
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), normaliser=NFKC)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -141,6 +149,7 @@ def queries() -> dict[str, Query]:
         "op8_media": op8_media,
         "op9_quality_rules": op9_quality_rules,
         "op10_pieces": op10_pieces,
+        "pieces_nfkc": pieces_nfkc,
     }
 
 

@@ -8,8 +8,10 @@ last before a slice comes from one row a slice, so a URL with very many captures
 
 from __future__ import annotations
 
-import gzip
+import datetime
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,46 +39,96 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path, "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The contents of a plain or gzipped file in pieces, gzip member by member; what follows a broken place is left out."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    at, member = 0, None
+    while at < len(data):
+        member = member or zlib.decompressobj(31)
+        try:
+            piece = member.decompress(member.unconsumed_tail or data[at : at + step], step)
+        except zlib.error:
+            return
+        if not member.unconsumed_tail:
+            at += step
+        if member.eof:
+            at, member = min(at, len(data)) - len(member.unused_data), None
+        if piece:
+            yield piece
+
+
+def _head(block: bytes) -> tuple[str, dict[str, str]]:
+    first, *rest = block.decode("utf-8", "replace").split("\r\n")
+    pairs = (line.split(":", 1) for line in rest if ":" in line)
+    return first, {k.strip().lower(): v.strip() for k, v in pairs}
+
+
+def blocks(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of every whole record; what is no record is skipped up to the next that begins a line."""
+    held = bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while not held.lstrip(b"\r\n"):
+            if not more():
+                return
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        while (cut := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        version, named = _head(bytes(held[:cut]))
+        size = named.get("content-length", "")
+        if not version.startswith("WARC/") or not size.isdigit():
+            while (at := held.find(b"\nWARC/")) < 0:
+                if not more():
+                    return
+            del held[: at + 1]
+            continue
+        end = cut + 4 + int(size)
+        while len(held) < end:
+            if not more():
+                return
+        yield named, bytes(held[cut + 4 : end])
+        del held[:end]
+
+
+def _captures(data: bytes) -> Iterator[tuple]:
+    for named, block in blocks(inflated(data)):
+        top, _, body = block.partition(b"\r\n\r\n")
+        status, headers = _head(top)
+        code, kind = re.match(r"HTTP/\S+ (\d{3})", status), named.get("warc-type")
+        if kind in ("response", "revisit") and code:
+            try:
+                when = datetime.datetime.fromisoformat(named.get("warc-date", "").replace("Z", "+00:00"))
+            except ValueError:
+                continue
+            when = when if when.tzinfo else when.replace(tzinfo=datetime.timezone.utc)
+            yield named.get("warc-record-id"), kind, named.get("warc-target-uri"), int(when.timestamp()), int(code[1]), headers, body
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Response and revisit records of WARC files, plain or gzipped: RECORD columns, header names in lower case.
 
-    ts is the WARC date in seconds. Other record types and records without an HTTP status are passed over; a file that
-    breaks off gives the whole records before the break.
+    ts is the WARC date in seconds. Other record types and records without an HTTP status or a date are passed over; a file
+    that breaks off, compressed or not, gives the whole records before the break. A task holds one file as it is stored, at
+    most 2 GB as Spark reads it, and one record of its contents. A folder without files is an error of Spark's.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def head(block: bytes) -> tuple[str, dict[str, str]]:
-        first, *rest = block.decode("utf-8", "replace").split("\r\n")
-        pairs = (line.split(":", 1) for line in rest if ":" in line)
-        return first, {k.strip().lower(): v.strip() for k, v in pairs}
-
-    def records(data: bytes) -> Iterator[tuple]:
-        import datetime
-
-        at = 0
-        while (cut := data.find(b"\r\n\r\n", at)) >= 0:
-            version, named = head(data[at:cut].lstrip(b"\r\n"))
-            size = int(named.get("content-length", 0))
-            block, at = data[cut + 4 : cut + 4 + size], cut + 4 + size + 4
-            if not version.startswith("WARC/") or len(block) < size:
-                return
-            kind = named.get("warc-type")
-            top, _, body = block.partition(b"\r\n\r\n")
-            status, headers = head(top)
-            code = re.match(r"HTTP/\S+ (\d{3})", status)
-            if kind in ("response", "revisit") and code:
-                when = datetime.datetime.fromisoformat(named["warc-date"].replace("Z", "+00:00"))
-                yield named.get("warc-record-id"), kind, named.get("warc-target-uri"), int(when.timestamp()), int(code[1]), headers, body
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "kind", "url", "ts", "status", "headers", "body"]
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
         for b in batches:
             for data in b.column("content").to_pylist():
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(*r[:5], list(r[5].items()), r[6]) for r in records(data)]
-                for i in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256]), types)], names)
+                found = ((*r[:5], list(r[5].items()), r[6]) for r in _captures(data))
+                while rows := list(itertools.islice(found, 256)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return files.mapInArrow(run, RECORD)
 
@@ -140,19 +192,27 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
     return resolved.join(bodies, "refers_to")
 
 
+#: Of the crawl that captures() makes: seconds between pages, and at most so many pages until a page is asked for again.
+STEP, LAG = 1800, 97
+
+
 def captures(pages: DataFrame) -> DataFrame:
-    """The pages table as a crawl: every page is fetched once, in order of page_id, and asked for again after the crawl.
+    """The pages table as a crawl: a page every half hour, in order of page_id, and second requests in between.
 
-    The second request carries the validators of its own page, and its answer new dates; so it resolves unless a later
-    page of the same canonical URL had other contents.
+    A page is asked for again up to two days after it was fetched, every seventh page a quarter of an hour before. The request
+    carries the validators of its own page, every eleventh none, and the answer has new dates. So a revisit resolves to the
+    latest capture of its canonical URL until then, unless that had other contents, there is none yet, or nothing validates it.
     """
-    etag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    etag, ident = F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.col("page_id").cast("long")
+    fetched = ident * STEP
+    asked = F.when(F.pmod(ident, F.lit(7)) == 3, fetched - 900).otherwise(fetched + 900 + STEP * F.pmod(ident * 7919, F.lit(LAG)))
     first = pages.select(
-        F.format_string("a%019d", "page_id").alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").cast("long").alias("ts"), F.lit(200).alias("status"),
-        F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string"), F.lit("content-length"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string")).alias("headers"),
+        F.format_string("a%019d", "page_id").alias("record_id"), F.lit("response").alias("kind"), "url", fetched.alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), fetched.cast("string"), F.lit("content-length"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string")).alias("headers"),
     )
+    plain = F.create_map(F.lit("date"), asked.cast("string"), F.lit("content-length"), F.lit("0"))
     again = pages.select(
-        F.format_string("b%019d", "page_id").alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") + F.lit(1 << 40)).cast("long").alias("ts"), F.lit(304).alias("status"),
-        F.create_map(F.lit("etag"), F.concat(F.lit("W/"), etag), F.lit("date"), (F.col("page_id") + F.lit(1 << 40)).cast("string"), F.lit("content-length"), F.lit("0")).alias("headers"),
+        F.format_string("b%019d", "page_id").alias("record_id"), F.lit("revisit").alias("kind"), "url", asked.alias("ts"), F.lit(304).alias("status"),
+        F.when(F.pmod(ident, F.lit(11)) == 5, plain).otherwise(F.map_concat(plain, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), etag)))).alias("headers"),
     )
     return first.union(again)
