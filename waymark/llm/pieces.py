@@ -62,6 +62,9 @@ class CharMap:
         (size,) = struct.unpack_from("<I", blob) if blob else (0,)
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.texts = blob[4 + size :]
+        # Runs of ASCII in which no prefix is known: neither a character alone nor with what ASCII may follow.
+        quiet = bytes(b for b in range(128) if self.units and not any(self.longest(bytes([b, c]), 0) for c in range(128)))
+        self.quiet = re.compile(b"[" + re.escape(quiet) + rb"]+(?![\x80-\xff])") if quiet else None
 
     def longest(self, data: bytes, i: int) -> tuple[int, bytes] | None:
         """Length of the longest known prefix of data[i:] and its replacement; None if none is known."""
@@ -81,8 +84,15 @@ class CharMap:
         return best[0], self.texts[best[1] : self.texts.index(b"\0", best[1])]
 
 
+def normaliser_spec(name: str) -> bytes:
+    """The normaliser of a rule that the library knows, as its model has it."""
+    return dict(fields(sentencepiece.SentencePieceNormalizer(rule_name=name).serialized_model_proto()))[3]
+
+
 class Model:
-    def __init__(self, data: bytes):
+    """A model read from its file. normaliser names a rule of the library that takes the place of the model's own map."""
+
+    def __init__(self, data: bytes, normaliser: str | None = None):
         self.pieces: list[tuple[str, float, int]] = []
         spec = {}
         byte_fallback, kind, suffix = 0, 1, 0
@@ -95,7 +105,7 @@ class Model:
                 byte_fallback, kind, suffix = trainer.get(35, 0), trainer.get(3, 1), trainer.get(24, 0)
             elif number == 3:
                 spec = dict(fields(value))
-        self.map = CharMap(spec.get(2, b""))
+        self.map = CharMap((dict(fields(normaliser_spec(normaliser))) if normaliser else spec).get(2, b""))
         self.prefix, self.trim, self.escape = spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)
         if kind != 2 or suffix or not byte_fallback or not self.escape or any(k in (USER, UNUSED) or BLANK in p.lstrip(BLANK) for p, _, k in self.pieces):
             raise ValueError("only BPE models with byte fallback, escaped blanks at the start of pieces, and no user or unused pieces")
@@ -118,11 +128,16 @@ class Model:
         else:
             out, marks, i = [], [], 0
             while i < len(data):
+                if self.map.quiet and (run := self.map.quiet.match(data, i)):
+                    out.append(run[0])
+                    marks.append(np.arange(i, run.end()))
+                    i = run.end()
+                    continue
                 hit = self.map.longest(data, i)
                 n = hit[0] if hit else 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
                 new = hit[1] if hit else data[i : i + n]
                 out.append(new)
-                marks += [(i, i + n)] * len(new)
+                marks.append(np.full(len(new), i))
                 i += n
             joined = b"".join(out)
             keep = np.ones(len(joined), bool)
@@ -133,7 +148,7 @@ class Model:
                 keep[(last[-1] + 1 if len(last) else 0) :] = False
             kept = np.frombuffer(joined, np.uint8)[keep]
             body = kept.tobytes().decode().replace(" ", BLANK)
-            starts = np.array([a for a, _ in marks], np.int64)[keep]
+            starts = np.concatenate([*marks, np.zeros(0, np.int64)])[keep]
             offsets = np.repeat(starts, np.where(kept == 0x20, 3, 1))
         if offsets is None:
             offsets = np.arange(len(data))
@@ -220,18 +235,18 @@ def decode_all(model: Model, rows: list[np.ndarray]) -> list[str]:
     return [t[1:] if model.prefix and t.startswith(" ") else t for t in texts]
 
 
-def encode(docs: DataFrame, model_file: str) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, normaliser: str | None = None) -> DataFrame:
     """(doc_id, ids, starts, ends, decoded): for every row of docs(doc_id, text) its ids, each piece's span in the
     original UTF-8 bytes (end exclusive), and the ids decoded again.
 
     A null text is an empty one: no ids, decoded "". Repeated rows stay; extra columns are ignored. The model is read
-    on the driver, is of fixed size, and goes with the task.
+    on the driver, is of fixed size, and goes with the task. normaliser: see Model.
     """
     with open(model_file, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(data.value)
+        model = Model(data.value, normaliser)
         ints = lambda rows: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
         for b in slices(batches, "text", 2_000_000):
             ids, starts, ends = model.encode(b.column("text").fill_null("").to_pylist())
@@ -240,11 +255,12 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded string")
 
 
-def digests(docs: DataFrame, model_file: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode()."""
-    return encode(docs, model_file).select(
+def digests(docs: DataFrame, model_file: str, normaliser: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans) of encode(); spans is a 64-bit hash of all starts, then ends."""
+    return encode(docs, model_file, normaliser).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.lower(F.lpad(F.hex(F.xxhash64("starts", "ends")), 16, "0")).alias("spans"),
     )

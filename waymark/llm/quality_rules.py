@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, WORD
 
-#: Phrases that mark a line as boilerplate, whole words, in lower case, in capitals or with a first capital.
+#: Phrases that mark a line as boilerplate, whole words, letters A to Z in either case.
 BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "licensed under", "powered by")
-#: The word of each phrase whose absence from a text rules the phrase out.
-TRIGGERS = ("rights", "terms", "privacy", "cookie", "cookies", "licensed", "powered")
+#: A part of each phrase whose absence from a text rules the phrase out.
+TRIGGERS = ("rights reserved", "terms of", "privacy", "cookie", "licensed", "powered")
 #: A line fails on punctuation if more than this share of its words hold a symbol or end in two exclamation marks.
 MAX_ODD_WORDS = 0.3
 #: A line fails as navigation if it has at least this many separators a word.
@@ -32,8 +32,8 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def phrases() -> str:
-    """The forms of the phrases as one pattern."""
-    return "|".join(f for x in BOILERPLATE for f in (f"[{x[0].upper()}{x[0]}]{x[1:]}", x.upper()))
+    """The phrases as one pattern, which any engine reads alike."""
+    return "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in x) for x in BOILERPLATE)
 
 
 def has_phrase(text: Column) -> Column:
@@ -53,14 +53,16 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def may_fail(text: Column, words: Column) -> Column:
+def may_fail(text: Column) -> Column:
     """False only if no line of the text can fail: it spares line_fails on most texts and changes no result.
 
-    A phrase needs its trigger as a word. Only "accept cookies" has its trigger last, where a sign and anything may
-    follow, so it is looked for as it stands.
+    A phrase holds its trigger, and lower() makes A to Z small wherever they stand.
     """
-    forms = [f for x in TRIGGERS for f in (x, x.capitalize(), x.upper())]
-    return text.rlike("[#*$%&<>|»›•]|!!") | text.contains("ccept cookies") | text.contains("ACCEPT COOKIES") | F.arrays_overlap(words, F.array(*[F.lit(f) for f in forms]))
+    low = F.lower(text)
+    found = text.rlike("[#*$%&<>|»›•]|!!")
+    for trigger in TRIGGERS:
+        found = found | low.contains(trigger)
+    return found
 
 
 def with_windows(df: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def rules(docs: DataFrame) -> DataFrame:
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("grams")) == F.size("grams"), F.lit(0)).otherwise(covered_words(F.col("grams"))).cast("long").alias("n_repeat_words"),
         "text",
-        F.when(may_fail(F.col("text"), F.col("words")), judged).alias("judged"),
+        F.when(may_fail(F.col("text")), judged).alias("judged"),
     )
     lost = F.filter("judged", lambda x: x["rule"].isNotNull())
     kept_lines = F.transform(F.filter("judged", lambda x: x["rule"].isNull()), lambda x: x["line"])
