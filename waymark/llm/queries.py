@@ -39,7 +39,7 @@ v as (
          array_to_string(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
                                      lambda x: not regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)=')), '&') as query
   from u),
-k as (select page_id, tag, size, page_id * 1800 as ts, case when page_id % 7 = 3 then page_id * 1800 - 900 else page_id * 1800 + 900 + 1800 * ((page_id * 7919) % 97) end as t, host || path || case when query <> '' then '?' || query else '' end as key from v),
+k as (select page_id, tag, size, page_id * 1800 as ts, case when page_id % 7 = 3 then page_id * 1800 - 900 else page_id * 1800 + 900 + 1800 * ((page_id * 7919) % 997) end as t, host || path || case when query <> '' then '?' || query else '' end as key from v),
 j as (select b.page_id, b.t, b.tag as new_tag, a.page_id as hit, a.tag as old_tag, a.size from k b asof left join k a on a.key = b.key and a.ts < b.t),
 o as (select *, case when hit is null then 'missing' when page_id % 11 = 5 then 'unvalidated' when new_tag <> old_tag then 'mismatch' else 'resolved' end as outcome from j)
 select page_id, outcome,

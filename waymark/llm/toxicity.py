@@ -41,8 +41,8 @@ PASSAGES = {1: 64, 0: 16}
 BATCH = 3072
 #: Pull of a touched vector towards zero.
 DECAY = 3e-5
-#: Uses in the sample under which a bucket keeps the zero vector.
-LEAST = 20
+#: Uses in the sample under which a bucket keeps the zero vector: a part of the documents, and the most and least of it.
+LEAST = (400, 20, 3)
 #: Scores of words that a worker remembers before it forgets them all.
 REMEMBERED = 400_000
 
@@ -114,7 +114,7 @@ class Model:
         return [1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * x + self.shift)))) for x in self.logits(words, texts)]
 
 
-def _fit(bags: list[list[str]], labels: np.ndarray, epochs: int, rng: np.random.Generator) -> Model:
+def _fit(bags: list[list[str]], labels: np.ndarray, epochs: int, rng: np.random.Generator, n_docs: int) -> Model:
     """Adam over mini-batches of passages; only the rows of the table that a batch touches are updated. Both classes
     weigh the same together."""
     n_toxic = max(1, int(labels.sum()))
@@ -128,7 +128,7 @@ def _fit(bags: list[list[str]], labels: np.ndarray, epochs: int, rng: np.random.
     soft = rng.normal(0, 1, (2, WIDTH)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     often = np.bincount([w for bag in ids for w in bag], minlength=len(parts))
-    active = np.bincount(flat, np.repeat(often, sizes), BUCKETS) >= LEAST
+    active = np.bincount(flat, np.repeat(often, sizes), BUCKETS) >= max(LEAST[2], min(LEAST[1], n_docs // LEAST[0]))
     table[~active] = 0  # what is this rare could only be learnt by heart
     lookup = np.zeros(BUCKETS, np.int64)
     m, v = np.zeros_like(table), np.zeros_like(table)
@@ -193,12 +193,12 @@ def train(texts: list[list[list[str]]], labels: np.ndarray, seed: int = 7) -> Mo
         for side in (0, 1):  # passages are chosen by a model that has not seen their documents
             use = np.flatnonzero(chosen & (half[owner] == side))
             other = np.flatnonzero(half[owner] != side)
-            logit[other] = _fit([bags[i] for i in use], labels[owner[use]], epochs, rng).of_bags([bags[i] for i in other])
+            logit[other] = _fit([bags[i] for i in use], labels[owner[use]], epochs, rng, len(labels)).of_bags([bags[i] for i in other])
         best = np.full(len(labels), -np.inf)
         np.maximum.at(best, owner, logit)
         chosen = (labels[owner] == 0) | (logit >= best[owner]) | (logit > 0)
     use = np.flatnonzero(chosen)
-    return _fit([bags[i] for i in use], labels[owner[use]], 8, rng)
+    return _fit([bags[i] for i in use], labels[owner[use]], 8, rng, len(labels))
 
 
 def calibrated(model: Model, best: np.ndarray, labels: np.ndarray) -> Model:

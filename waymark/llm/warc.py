@@ -193,13 +193,13 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
 
 
 #: Of the crawl that captures() makes: seconds between pages, and at most so many pages until a page is asked for again.
-STEP, LAG = 1800, 97
+STEP, LAG = 1800, 997
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """The pages table as a crawl: a page every half hour, in order of page_id, and second requests in between.
 
-    A page is asked for again up to two days after it was fetched, every seventh page a quarter of an hour before. The request
+    A page is asked for again up to three weeks after it was fetched, every seventh page a quarter of an hour before. The request
     carries the validators of its own page, every eleventh none, and the answer has new dates. So a revisit resolves to the
     latest capture of its canonical URL until then, unless that had other contents, there is none yet, or nothing validates it.
     """
