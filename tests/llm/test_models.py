@@ -130,15 +130,93 @@ def test_warc_files(spark, tmp_path):
     assert {(r.record_id, r.refers_to, bytes(r.body), r.headers["date"]) for r in done} == {("two", "one", b"body\r\n\r\nmore", "d2")}
 
 
-def test_cotraining_teaches_from_the_pool():
+@pytest.fixture(scope="module")
+def pool(spark):
     r = np.random.default_rng(1)
-    labels = np.array(([1] * 9 + [0] * 3) * 3 + [-1] * 300)
-    truth = np.where(labels >= 0, labels, r.integers(0, 2, len(labels)))
-    words = [[("fine" if t else "bad") + str(r.integers(0, 30)) for _ in range(12)] for t in truth]
-    meta = np.stack([np.ones(len(truth)), truth + r.normal(0, 0.6, len(truth)), r.normal(0, 1, len(truth))], axis=1)
-    model = quality_model.cotrain([[f for w in ws for f in quality_model.word_features(w)] for ws in words], meta, labels)
-    _, _, score = model.scores(model.content({}, [" ".join(w) for w in words]), meta @ model.meta)
-    assert ((score >= 0.5) == truth).mean() > 0.95
+    labels = [1] * 9 * 3 + [0] * 3 * 3 + [-1] * 400
+    truth = [int(t) if t >= 0 else int(r.integers(0, 2)) for t in labels]
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5][: len(labels)]
+    docs = [(i, " ".join(("fine" if t else "bad") + str(r.integers(0, 30)) for _ in range(12)), "en", ("a", "b")[t if r.random() < 0.8 else 1 - t]) for i, t in zip(ids, truth)]
+    docs += [(None, "bad1 bad2", "en", "b"), docs[-1], docs[0]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    known = spark.createDataFrame([(i, t, 0) for i, t in zip(ids, labels) if t >= 0], "doc_id long, quality int, toxic int")
+    return docs, df, known, dict(zip(ids, truth)), quality_model.views(df)
+
+
+def test_cotraining_teaches_from_all_unlabelled(pool):
+    _, df, known, truth, _ = pool
+    rows = quality_model.judge(df, known).collect()
+    assert len(rows) == len(truth) + 3
+    assert np.mean([r.predicted == truth[r.doc_id] for r in rows if r.doc_id is not None]) > 0.95
+
+
+def plain_logits(model, text, lang, source):
+    features = [f for w in text.split() for f in quality_model.word_features(w)]
+    mean = sum(model.gain[f] for f in features) / len(features) if features else 0.0
+    meta = sum(a * b for a, b in zip(quality_model.metadata(text, lang, source), model.meta))
+    return [max(-30.0, min(30.0, x)) for x in (mean + model.bias, meta)]
+
+
+def any_model(seed):
+    r = np.random.default_rng(seed)
+    width = len(quality_model.metadata("", None, None))
+    return quality_model.Model(r.normal(0, 4, quality_model.BUCKETS), -0.1, r.normal(0, 1, width), np.array([1.5, 0.1, 0.5, -0.2]), np.array([0.1, 0.7, 0.4]))
+
+
+def test_quality_scores_against_one_document_at_a_time(spark, pool):
+    model = any_model(5)
+    docs = [(i, t, a, s) for i, (_, t, a, s) in enumerate(pool[0])] + [(9001, None, None, None), (9002, "", "en", "a"), (9003, " ".join(f"w{i}" for i in range(60_000)), "de", "b"), (9004, "Ж9x" * 9000, "ru", "a")]
+    got = {r.doc_id: r for r in quality_model.score(quality_model.views(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(4)), model).collect()}
+    assert len(got) == len(docs)
+    squash = lambda z: 1 / (1 + np.exp(-z))
+    for i, text, lang, source in docs:
+        a, b = plain_logits(model, text or "", lang, source)
+        a, b = 1.5 * a + 0.1, 0.5 * b - 0.2
+        want = (squash(a), squash(b), squash(0.1 + 0.7 * a + 0.4 * b))
+        assert np.allclose((got[i].content_score, got[i].metadata_score, got[i].score), want, atol=1e-5)
+
+
+@pytest.mark.parametrize("taught", [1000, 20])
+def test_confident_documents_against_a_plain_search(pool, taught):
+    docs, _, known, _, seen = pool
+    model, share, part = any_model(6), 0.7, 0.2
+    labelled = {r.doc_id for r in known.collect()}
+    z = [(i, plain_logits(model, *rest)) for i, *rest in docs if i is not None and i not in labelled]
+    got = {(r.doc_id, r.view, r.quality) for r in quality_model.confident(seen, known, model, part, share, taught).collect()}
+    want = set()
+    for v in (0, 1):
+        bins = {(i, k): int((x[v] + 30) * quality_model.BINS / 60) for k, (i, x) in enumerate(z)}
+        order = sorted(bins.values())
+        low = order[int(np.ceil(max(1, part * (1 - share) * len(z)))) - 1]
+        high = order[::-1][int(np.ceil(max(1, part * share * len(z)))) - 1]
+        half = quality_model.BINS // 2
+        want |= {(i, v, 0) for (i, _), x in bins.items() if x <= low and x < half} | {(i, v, 1) for (i, _), x in bins.items() if x >= high and x >= half}
+    if taught == 1000:
+        assert len(got ^ want) <= 2 and len(want) > 50  # a logit at a bin's edge may round either way
+    else:
+        assert got <= want and all(sum(g[1:] == (v, q) for g in got) <= (14 if q else 6) for v in (0, 1) for q in (0, 1))
+
+
+def test_content_view_descends():
+    """The fitted weights beat any small step away from them on the loss that they are fitted to."""
+    r = np.random.default_rng(2)
+    rows = [r.integers(0, 50, 8).astype("<u2") for _ in range(200)]
+    y = np.array([float((x < 25).mean() > 0.5) for x in rows])
+    w = quality_model.newton(np.stack([np.bincount(x, minlength=50) / 8 for x in rows]), y)
+    loss = lambda w: sum(np.logaddexp(0, -(2 * t - 1) * (w[x].mean())) for x, t in zip(rows, y)) + 0.5 * (w**2).sum()
+    assert all(abs(loss(w + 1e-4 * e) - loss(w - 1e-4 * e)) / 2e-4 < 1e-3 for e in np.eye(50)[:10])
+    gain, bias = quality_model.fit_content(rows, y, 1, epochs=40)
+    found = quality_model.means(gain, [x.tobytes() for x in rows]) + bias
+    assert ((found > 0) == y).mean() > 0.95
+
+
+def test_quality_of_odd_tables(spark, pool):
+    _, df, known, _, _ = pool
+    assert quality_model.judge(df.limit(0), known).count() == 0
+    wide = df.withColumn("words", df.text).withColumn("meta", df.text).withColumn("view", df.source).withColumn("quality", df.source).withColumn("score", df.source)
+    assert quality_model.judge(wide, known).count() == df.count()
+    every = spark.createDataFrame([(r[0], r[0] % 2, 0) for r in df.where("doc_id is not null").select("doc_id").distinct().collect()], "doc_id long, quality int, toxic int")
+    assert quality_model.judge(df, every).count() == df.count()
 
 
 def test_pipeline(spark, tmp_path, docs):
