@@ -11,6 +11,7 @@ everything.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -135,13 +136,15 @@ def views(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, bytes] = {}
+        pack = struct.Struct("<4H").pack
         for b in slices(batches, "text"):
             texts, bags = b.column("text").fill_null("").to_pylist(), []
             for words in (t.split() for t in texts):
                 if len(memory) > REMEMBERED:
                     memory.clear()
-                for w in set(words) - memory.keys():
-                    memory[w] = np.array(word_features(w), "<u2").tobytes()
+                for w in words:
+                    if w not in memory:
+                        memory[w] = pack(*word_features(w))
                 bags.append(b"".join(map(memory.__getitem__, words)))
             meta = [np.array(metadata(t, a, s), "<f4").tobytes() for t, a, s in zip(texts, b.column("lang").to_pylist(), b.column("source").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "words", "meta"])
