@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import FIRING, firing, path_pairs, pattern_pairs
+from .matching import FIRING, firing, path_pairs, pattern_pairs, symbol_pairs
 from .tables import placed
 
 
@@ -95,8 +95,9 @@ def author_drift(authors: DataFrame) -> DataFrame:
 
 
 def lost_symbols(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Firing symbol anchors that no definition has."""
-    return firing(anchors).where("kind = 'symbol'").join(symbols.select(F.col("name").alias("value")).distinct(), "value", "left_anti")
+    """Firing symbol anchors that mean no definition of symbols(path, name)."""
+    asked = firing(anchors).where("kind = 'symbol'")
+    return asked.join(symbol_pairs(asked.select("kind", "value").distinct(), symbols.select("path", "name")).select("value").distinct(), "value", "left_anti")
 
 
 def brief(records: DataFrame, budget: int) -> DataFrame:

@@ -66,11 +66,27 @@ def rows_hit(patterns: DataFrame, targets: DataFrame, text: str, flags: str = "(
     return reduce(DataFrame.union, parts).join(mine, "_hit").drop("_hit", "_rx")
 
 
+def symbol_pairs(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
+    """anchors(value, ...) of kind symbol joined to the symbols(path, name, ...) that they may mean.
+
+    `a.b` is any b at any depth inside any a; `path::` before it holds it to one file. Last parts of the names are the key
+    of a hash join; what it brings together is verified.
+    """
+    last = lambda c: F.substring_index(c, ".", -1)
+    here = F.contains("value", F.lit("::"))
+    file = F.when(here, F.substring_index("value", "::", 1)).otherwise("")
+    asked = anchors.where("kind = 'symbol'").withColumn("_file", file).withColumn("_name", F.when(here, F.expr("substring(value, locate('::', value) + 2)")).otherwise(F.col("value")))
+    parts = F.transform(F.split("_name", r"\."), lambda p: F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))
+    inside = F.rlike("name", F.concat(F.lit(r"^(?:.*\.)?"), F.array_join(parts, r"\.(?:.*\.)?"), F.lit("$")))
+    joined = asked.withColumn("_last", last("_name")).join(symbols.withColumn("_last", last("name")), "_last")
+    return joined.where(F.col("_file").isin("") | (F.col("_file") == F.col("path"))).where(inside).drop("_last", "_file", "_name")
+
+
 def signals(anchors: DataFrame, targets: DataFrame, content: bool = True, symbols: DataFrame | None = None) -> DataFrame:
     """(id, source, severity, confidence, ord, path, strength, matched_by) of firing anchors and targets(ord, path, content).
 
     strength is the greatest of the signals, matched_by their names in the order of the record's anchors. symbols(path,
-    name) adds symbol signals.
+    name) adds symbol signals; of several symbols that an anchor may mean, any will do.
     """
     live = firing(anchors)
     record = ["id", "source", "severity", "confidence"]
@@ -80,7 +96,7 @@ def signals(anchors: DataFrame, targets: DataFrame, content: bool = True, symbol
     if content:
         found = found.union(named(pattern_pairs(live, targets.where("content <> ''"), "content"), "content_pattern", 2 * F.col("anchor_ord") + 3))
     if symbols is not None:
-        hits = live.where("kind = 'symbol'").join(symbols.select("path", F.col("name").alias("value")).distinct(), "value").join(slim, "path")
+        hits = symbol_pairs(live, symbols.select("path", "name").distinct()).join(slim, "path")
         found = found.union(named(hits, "symbol", F.lit(1)))
     one = found.groupBy(*record, "ord", "path", "name").agg(F.max("strength").alias("strength"), F.min("at").alias("at"))
     return one.groupBy(*record, "ord", "path").agg(

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import scripts
+
 #: Largest file whose content is loaded.
 MAX_FILE = 1 << 20
 
@@ -64,16 +66,28 @@ def diff_targets(diffs: DataFrame) -> DataFrame:
 
 
 def definitions(sources: DataFrame) -> DataFrame:
-    """Python sources(path, content) -> (path, name, first, last, shingles): every function and class with its dotted
-    name, lines, and the distinct triples of node types below it. Files that do not parse have none."""
+    """Python, JavaScript and TypeScript sources(path, content) -> (path, name, first, last, shingles): every definition with
+    its dotted name, lines, and the distinct triples of what it consists of, names and literals with their text.
+
+    Python files that do not parse have none."""
     schema = "path string, name string, first int, last int, shingles array<string>"
 
+    def parts(node: ast.AST) -> Iterator[str]:
+        yield type(node).__name__
+        for field, value in ast.iter_fields(node):
+            for v in value if isinstance(value, list) else [value]:
+                if isinstance(v, ast.AST):
+                    if not isinstance(v, ast.expr_context):
+                        yield from parts(v)
+                elif v is not None or field == "value":
+                    yield f"{field}={str(v)[: scripts.TOKEN_MOST]}"
+
     def of(node: ast.AST, outer: str) -> Iterator[tuple]:
         for child in ast.iter_child_nodes(node):
             inner = outer
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 inner = f"{outer}.{child.name}" if outer else child.name
-                kinds = [type(x).__name__ for x in ast.walk(child)]
+                kinds = list(parts(child))
                 grams = {"|".join(kinds[i : i + 3]) for i in range(len(kinds) - 2)} or set(kinds)
                 yield inner, child.lineno, child.end_lineno, sorted(grams)
             yield from of(child, inner)
@@ -83,14 +97,15 @@ def definitions(sources: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 try:
-                    rows += [(path, *d) for d in of(ast.parse(content or ""), "")]
+                    found = of(ast.parse(content or ""), "") if path.endswith(".py") else scripts.definitions(content or "")
+                    rows += [(path, *d) for d in found]
                 except (SyntaxError, ValueError, RecursionError):
                     continue
             columns = list(zip(*rows)) or [[], [], [], [], []]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "name", "first", "last", "shingles"])
 
-    return sources.where(F.col("path").endswith(".py")).select("path", "content").mapInArrow(run, schema)
+    return sources.where(F.col("path").rlike(r"\.(?:py|tsx?|jsx?)$")).select("path", "content").mapInArrow(run, schema)
 
 
 def git_log(lines: DataFrame) -> DataFrame:
