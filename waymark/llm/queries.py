@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, quality_model, quality_rules, secrets, simhash, suffixes, toxicity, warc
+from . import media, merkle, mixing, packing, periodic, pieces, quality_model, quality_rules, secrets, simhash, suffixes, toxicity, warc
 from .common import table
 
 NFKC = "nmt_nfkc"
@@ -137,6 +137,74 @@ def pieces_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), normaliser=NFKC)
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.planted(table(spark, sf_dir, "documents")))
+
+
+#: crc32 of the UTF-8 bytes of decimal digits, by its table of 256 values, which is built in the statement.
+CRC = "crc as (select list(list_reduce([i::ubigint] || [0::ubigint, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end) order by i) as t from range(256) r(i))"
+CRC_OF = "xor(list_reduce([4294967295::ubigint] || list_transform(string_split({x}, ''), lambda a: ascii(a)::ubigint), lambda c, b: xor(c // 256, t[xor(c % 256, b)::bigint + 1])), 4294967295::ubigint)::bigint"
+
+OP11_SQL = rf"""
+with {CRC},
+d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w, {CRC_OF.format(x="doc_id::varchar")} as h from documents, crc),
+e as (select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as changed, case when len(w) > 0 then (h // 10) % len(w) end as a, (h // 10) % 8 + 3 as parts from d),
+f as (select doc_id, n, case when changed then list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (n - a) // parts) + 1] end) else w end as w from e),
+x as (select doc_id, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from f),
+m as (select a.doc_id, a.i, b.i - a.i as q from x a join x b on a.doc_id = b.doc_id and a.word = b.word and b.i > a.i and 2 * (b.i - a.i) <= a.n),
+l as (select doc_id, q from m group by doc_id, q having count(*) >= greatest(12 - q, q)),
+s as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from m semi join l using (doc_id, q)),
+r as (select doc_id, min(i) as start, count(*) + q as length, q as period from s group by doc_id, q, island having count(*) >= greatest(12 - q, q)),
+u as (select doc_id, start, length, min(period) as period from r group by doc_id, start, length),
+g as (select doc_id, count(*) as n_runs, min(struct_pack(back := -length, start := start, period := period)) as best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from u group by doc_id),
+k as (select distinct u.doc_id, i from u, lateral (select unnest(range(u.start + u.period, u.start + u.length)) as i)),
+c as (select doc_id, string_agg(word, ' ' order by i) as text from x anti join k using (doc_id, i) group by doc_id)
+select f.doc_id, coalesce(n_runs, 0) as n_runs, best.start::bigint as start, (-best.back)::bigint as length, best.period::bigint as period,
+       (-1000 * best.back // best.period)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(c.text, '')) as collapsed_sha256
+from f left join g using (doc_id) left join c using (doc_id)
+"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
+def merkle_field(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')"
+
+
+MERKLE_HEAD = " || ".join(merkle_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: Nodes of tree 0 are those of each source, of tree 1 the sources' roots; a level holds as many sixteenths as are left.
+OP12_SQL = rf"""
+with recursive {CRC},
+d as (select *, coalesce('s' || source, '') as key, case when {CRC_OF.format(x="doc_id::varchar")} % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as changed from documents, crc),
+l as (select doc_id, key, sha256({MERKLE_HEAD} || {merkle_field("text")}) as leaf, sha256({MERKLE_HEAD} || {merkle_field("changed")}) as now from d),
+p as (select *, row_number() over (partition by key order by doc_id, leaf) - 1 as pos, count(*) over (partition by key) as n from l),
+t as (select key, 0 as level, pos, n, leaf as h from p
+      union all select key, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from t where n > 1 group by key, level, pos // 16, n),
+b as (select key, h as subroot, row_number() over (order by key) - 1 as place, count(*) over () as trees from t where n = 1),
+v as (select 0 as level, place as pos, trees as n, subroot as h from b
+      union all select level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from v where n > 1 group by level, pos // 16, n),
+o as (select h as root from v where n = 1),
+y as (select p.pos as leaf_pos, p.key, t.level, t.pos, t.h, t.pos = p.pos // (16 ** t.level)::bigint as own from p join t on t.key = p.key and t.n > 1 and t.pos // 16 = p.pos // (16 ** (t.level + 1))::bigint
+      union all select p.pos, p.key, 100 + v.level, v.pos, v.h, v.pos = b.place // (16 ** v.level)::bigint from p join b using (key) join v on v.n > 1 and v.pos // 16 = b.place // (16 ** (v.level + 1))::bigint),
+q as (select key, leaf_pos, sha256(coalesce(string_agg(h, '' order by level, pos) filter (not own), '')) as proof_sha256 from y group by all),
+z as (select *, dense_rank() over (partition by key, leaf_pos order by level) as step from y),
+f as (select key, pos as leaf_pos, 0::bigint as step, now as h from p
+      union all select f.key, f.leaf_pos, f.step + 1, sha256(string_agg(case when z.own then f.h else z.h end, '' order by z.pos)) from f join z on z.key = f.key and z.leaf_pos = f.leaf_pos and z.step = f.step + 1 group by f.key, f.leaf_pos, f.step),
+e as (select key, leaf_pos, arg_max(h, step) as folded_root from f group by all)
+select p.doc_id, p.leaf, b.subroot, o.root, coalesce(q.proof_sha256, sha256('')) as proof_sha256, e.folded_root, e.folded_root = o.root as verified
+from p join b using (key) join o on true join e on e.key = p.key and e.leaf_pos = p.pos left join q on q.key = p.key and q.leaf_pos = p.pos
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -149,9 +217,12 @@ def queries() -> dict[str, Query]:
         "op8_media": op8_media,
         "op9_quality_rules": op9_quality_rules,
         "op10_pieces": op10_pieces,
+        "op11_periodic": op11_periodic,
+        "op12_merkle": op12_merkle,
+        "op13_packing": op13_packing,
         "pieces_nfkc": pieces_nfkc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op5_mixing": OP5_SQL, "op9_quality_rules": OP9_SQL.replace("{PHRASES}", quality_rules.phrases())}
+    return {"op4_warc": OP4_SQL, "op5_mixing": OP5_SQL, "op9_quality_rules": OP9_SQL.replace("{PHRASES}", quality_rules.phrases()), "op11_periodic": OP11_SQL, "op12_merkle": OP12_SQL}
