@@ -32,3 +32,25 @@ def placed(df: DataFrame, *order: Column | str) -> DataFrame:
     before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.col("_row") - F.shiftleft("_part", 33)
     return rows.join(F.broadcast(before), "_part").withColumn("pos", F.col("_before") + inside + 1).drop("_part", "_row", "_before")
+
+
+def last_before(asked: DataFrame, facts: DataFrame, keys: list[str], at: str, value: str, width: int = 4096) -> DataFrame:
+    """asked(keys, at, ...) with value: that of the fact of the same keys with the greatest `at` not after it; null if none.
+
+    Keys are cut into slices of `width`, so a key with very many rows is many groups: inside a slice one window finds the
+    last fact, and what is the first of its slice takes over from the slices before, of which only the last fact each is
+    looked at. Of facts with equal keys and `at` any one counts.
+    """
+    part = F.floor(F.col(at) / width).cast("long")
+    left = asked.withColumn("_slice", part).withColumn("_row", F.struct(*asked.columns))
+    right = facts.select(*keys, F.col(at), value).withColumn("_slice", part)
+    both = left.select(*keys, "_slice", at, F.lit(1).alias("_kind"), "_row", F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(
+        right.select(*keys, "_slice", at, F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
+    )
+    inside = Window.partitionBy(*keys, "_slice").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("_kind = 1")
+    ends = right.groupBy(*keys, "_slice").agg(F.max_by(value, at).alias("_end"))
+    wanted = left.select(*keys, "_slice").distinct().withColumn("_end", F.lit(None).cast(right.schema[value].dataType))
+    before = Window.partitionBy(*keys).orderBy("_slice", F.col("_asked").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_asked", F.lit(False)).unionByName(wanted.withColumn("_asked", F.lit(True))).withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).where("_asked").select(*keys, "_slice", "_carry")
+    return near.join(carried, [*keys, "_slice"], "left").select("_row.*", F.coalesce("_v", "_carry").alias(value))
