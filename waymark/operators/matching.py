@@ -82,12 +82,9 @@ def symbol_pairs(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.where(F.col("_file").isin("") | (F.col("_file") == F.col("path"))).where(inside).drop("_last", "_file", "_name")
 
 
-def signals(anchors: DataFrame, targets: DataFrame, content: bool = True, symbols: DataFrame | None = None) -> DataFrame:
-    """(id, source, severity, confidence, ord, path, strength, matched_by) of firing anchors and targets(ord, path, content).
-
-    strength is the greatest of the signals, matched_by their names in the order of the record's anchors. symbols(path,
-    name) adds symbol signals; of several symbols that an anchor may mean, any will do.
-    """
+def signal_rows(anchors: DataFrame, targets: DataFrame, content: bool = True, symbols: DataFrame | None = None) -> DataFrame:
+    """(id, source, severity, confidence, ord, path, name, strength, at): every hit of a firing anchor on a target, without any
+    grouping, so targets(ord, path, content) may be a stream."""
     live = firing(anchors)
     record = ["id", "source", "severity", "confidence"]
     named = lambda df, name, at: df.select(*record, "ord", "path", F.lit(name).alias("name"), F.lit(STRENGTH[name]).alias("strength"), at.alias("at"))
@@ -98,7 +95,17 @@ def signals(anchors: DataFrame, targets: DataFrame, content: bool = True, symbol
     if symbols is not None:
         hits = symbol_pairs(live, symbols.select("path", "name").distinct()).join(slim, "path")
         found = found.union(named(hits, "symbol", F.lit(1)))
-    one = found.groupBy(*record, "ord", "path", "name").agg(F.max("strength").alias("strength"), F.min("at").alias("at"))
+    return found
+
+
+def signals(anchors: DataFrame, targets: DataFrame, content: bool = True, symbols: DataFrame | None = None) -> DataFrame:
+    """(id, source, severity, confidence, ord, path, strength, matched_by) of firing anchors and targets(ord, path, content).
+
+    strength is the greatest of the signals, matched_by their names in the order of the record's anchors. symbols(path,
+    name) adds symbol signals; of several symbols that an anchor may mean, any will do.
+    """
+    record = ["id", "source", "severity", "confidence"]
+    one = signal_rows(anchors, targets, content, symbols).groupBy(*record, "ord", "path", "name").agg(F.max("strength").alias("strength"), F.min("at").alias("at"))
     return one.groupBy(*record, "ord", "path").agg(
         F.max("strength").alias("strength"), F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("matched_by")
     )
