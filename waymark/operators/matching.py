@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ..functions.patterns import java_udf
-from ..functions.text import fire_key, pattern_hits, rank
+from ..functions.patterns import folded, fragments, java, java_udf
+from ..functions.text import MAX_SCAN, fire_key, pattern_hits, rank
 
 FIRING = ("active", "challenged")
 #: Strength of each signal.
 STRENGTH = {"path": 2.0, "symbol": 2.25, "path_pattern": 1.5, "content_pattern": 2.5, "command": 2.5}
 ACT_PROOF = ("content_pattern", "symbol", "command")
-#: Different patterns that one pass over the texts has as literals, which Java compiles once, and passes at most; more
-#: patterns are joined, broadcast if there are at most so many.
-LITERALS, PASSES = 64, 16
+#: Different patterns that one pass over the texts has as literals, which Java compiles once, and passes of them at most; more
+#: go by their fragments, so many at a time.
+LITERALS, PASSES = 64, 1
+PATTERNS_MOST = 100_000
+#: Rows of a broadcast side at most.
 BROADCAST_MOST = 10_000
 
 
@@ -42,30 +48,63 @@ def path_pairs(anchors: DataFrame, targets: DataFrame, path: str = "path") -> Da
 
 
 def pattern_pairs(anchors: DataFrame, targets: DataFrame, text: str, kind: str = "pattern") -> DataFrame:
-    """Usable patterns of a kind joined to the targets whose text they hit.
+    """Usable patterns of a kind joined to the targets whose text they hit."""
+    return rows_hit(anchors.where(F.col("kind") == kind), targets, text)
 
-    Patterns are written by hand. Up to LITERALS * PASSES of them go into the plan as literals, one pass over the targets for
-    every LITERALS; with more, every text meets every pattern in a join.
+
+def rows_hit(patterns: DataFrame, targets: DataFrame, text: str, flags: str = "(?iu)", value: str = "value") -> DataFrame:
+    """patterns(value, ...) joined to the targets whose text they hit; those without a Java counterpart hit nothing.
+
+    Up to LITERALS * PASSES different patterns go into the plan as literals, which Java compiles once. More are looked for
+    all at once: one automaton of their literal fragments reads each text, and only patterns of which a text holds a
+    fragment are tried on it. Those without a fragment are literals again. The driver gets PATTERNS_MOST different ones at
+    a time; a table with more is as many passes.
     """
-    return rows_hit(anchors.where(F.col("kind") == kind).withColumn("_rx", java_udf("value")), targets, text)
-
-
-def rows_hit(patterns: DataFrame, targets: DataFrame, text: str, flags: str = "(?iu)") -> DataFrame:
-    """patterns(_rx, ...) joined to the targets whose text they hit; rows without _rx hit nothing. _rx is dropped."""
-    usable = patterns.where(F.col("_rx").isNotNull())
-    few = sorted(r["_rx"] for r in usable.select("_rx").distinct().limit(LITERALS * PASSES + 1).collect())
-    if len(few) > LITERALS * PASSES:
-        return targets.join(hinted(usable), pattern_hits(F.col("_rx"), F.col(text), flags)).drop("_rx")
-    parts = []
-    for at in range(0, max(len(few), 1), LITERALS):
-        some = few[at : at + LITERALS]
-        hits = F.array_compact(F.array(*[F.when(pattern_hits(F.lit(rx), F.col(text), flags), F.lit(at + i)) for i, rx in enumerate(some)]).cast("array<int>"))
+    different = patterns.select(F.col(value).alias("_value")).where("_value is not null").distinct()
+    few = [r["_value"] for r in different.limit(PATTERNS_MOST + 1).collect()]
+    if len(few) <= PATTERNS_MOST:
+        return _hit_by(few, patterns, targets, text, flags, value)
+    parts = -(-different.count() // PATTERNS_MOST) + 1  # one more, as hashing does not part evenly
+    of = F.pmod(F.xxhash64("_value"), F.lit(parts))
+    return reduce(DataFrame.union, [_hit_by([r["_value"] for r in different.where(of == i).collect()], patterns, targets, text, flags, value) for i in range(parts)])
+
+
+def _hit_by(values: list[str], patterns: DataFrame, targets: DataFrame, text: str, flags: str, value: str) -> DataFrame:
+    known = sorted((v, rx) for v in values if (rx := java(v)) is not None)
+    named = targets.sparkSession.createDataFrame([(v, rx, i) for i, (v, rx) in enumerate(known)], "_value string, _rx string, _hit int")
+    mine = patterns.join(F.broadcast(named), F.col(value) == F.col("_value")).drop("_value")
+    whole, parts = list(enumerate(rx for _, rx in known)), []
+    if len(known) > LITERALS * PASSES:
+        held = [(f, i) for i, (v, _) in enumerate(known) for f in fragments(v)]
+        found = {i for _, i in held}
+        whole = [(i, rx) for i, rx in whole if i not in found]
+        tried = _holding(targets, text, held).withColumn("_hit", F.explode("_hits")).drop("_hits").join(F.broadcast(named.select("_hit", "_rx")), "_hit")
+        parts.append(tried.where(pattern_hits(F.col("_rx"), F.col(text), flags)).select(*targets.columns, "_hit"))
+    for at in range(0, max(len(whole), not parts), LITERALS):
+        hits = F.array_compact(F.array(*[F.when(pattern_hits(F.lit(rx), F.col(text), flags), F.lit(i)) for i, rx in whole[at : at + LITERALS]]).cast("array<int>"))
         parts.append(targets.withColumn("_hit", F.explode(hits)))
-    named = targets.sparkSession.createDataFrame([(rx, i) for i, rx in enumerate(few)], "_rx string, _hit int")
-    mine = F.broadcast(usable.join(F.broadcast(named), "_rx"))
     return reduce(DataFrame.union, parts).join(mine, "_hit").drop("_hit", "_rx")
 
 
+def _holding(targets: DataFrame, text: str, held: list[tuple[str, int]]) -> DataFrame:
+    """targets with _hits: the numbers of held(fragment, number) of which the text's first MAX_SCAN characters hold a fragment."""
+    sent = targets.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list[int]] = {}
+        for fragment, i in sent.value:
+            by.setdefault(fragment, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for fragment, numbers in by.items():
+            automaton.add_word(fragment, numbers)
+        automaton.make_automaton()
+        for b in batches:
+            hits = [sorted({i for _, numbers in automaton.iter(folded(t[:MAX_SCAN])) for i in numbers}) if t else [] for t in b.column(text).to_pylist()]
+            yield b.append_column("_hits", pa.array(hits, pa.list_(pa.int32())))
+
+    return targets.mapInArrow(run, StructType([*targets.schema.fields, StructField("_hits", ArrayType(IntegerType()))]))
+
+
 def symbol_pairs(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     """anchors(value, ...) of kind symbol joined to the symbols(path, name, ...) that they may mean.
 
