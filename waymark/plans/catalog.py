@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import activity, health, matching, mining, reanchor
+from ..operators import activity, health, matching, mining, reanchor, similarity
 from ..operators.tables import placed
 from ..sources import logs, records
 from . import adapters as A
@@ -304,11 +304,25 @@ def benchmark_overlap(spark, sf_dir):
     return reanchor.line_overlap(dead, A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
 
 
-@query(f"""with o as (select doc_id, {LINES} as lines from documents), x as (select doc_id as id, len(lines) as n, unnest(lines) as line from o), y as (select doc_id as path, unnest(lines) as line from o)
+CLASSED = f"o as (select doc_id, {LINES} as lines from documents), c as (select min(doc_id) as rep, first(lines) as lines, count(*) as members, list(doc_id) as ids from o where len(lines) > 0 group by list_sort(lines))"
+
+
+@query(f"""with {CLASSED}, x as (select rep as id, len(lines) as n, unnest(lines) as line from c), y as (select rep as path, unnest(lines) as line from c)
 select id, path, count(*) / cast(n as double) as ratio, case when count(*) / cast(n as double) >= 0.6 then 'high' else 'low' end as tier from x join y using (line) group by id, path, n having count(*) / cast(n as double) >= 0.2""")
 def overlap_tier(spark, sf_dir):
+    """Every document against every other, between the representatives of equal line sets."""
     d = A.table(spark, sf_dir, "documents")
-    return reanchor.line_overlap(d.select(F.col("doc_id").alias("id"), "text"), d.select(F.col("doc_id").alias("path"), "text"))
+    pairs, _, _ = reanchor.overlap_classes(d.select(F.col("doc_id").alias("id"), "text"), d.select(F.col("doc_id").alias("path"), "text"))
+    return pairs.select(F.col("left").alias("id"), F.col("right").alias("path"), "ratio", "tier")
+
+
+@query(f"with {CLASSED} select unnest(ids) as doc_id, rep as class, members from c")
+def line_classes(spark, sf_dir):
+    """Who belongs to which representative of overlap_tier, and how many do."""
+    d = A.table(spark, sf_dir, "documents").select("doc_id", X.signature_lines(F.col("text")).alias("lines"))
+    _, members = similarity.classes(d, "doc_id", "lines")
+    sizes = members.groupBy("set").agg(F.count("*").alias("members"))
+    return members.join(sizes, "set").select("doc_id", F.col("set").alias("class"), "members")
 
 
 WORDS = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')"
