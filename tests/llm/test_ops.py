@@ -1,10 +1,14 @@
 """Every operator against a plain statement of what it must give, on a table with all the odd cases."""
 
 import hashlib
+import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -280,26 +284,126 @@ def test_battery_has_power_and_few_false_discoveries():
     assert hits >= 0.9 * total
 
 
+ENCODINGS = [
+    ("digits", "0123456789"), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("base62", string.digits + string.ascii_uppercase + string.ascii_lowercase),
+    ("base64", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"), ("base64url", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"), ("signs", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/-_"),
+]
+
+
+@lru_cache(None)
+def ways(name):
+    """Of each way of writing in an alphabet: its share, and the chances of a character alone, after another, and after two."""
+    alphabet = dict(ENCODINGS)[name]
+    kind = lambda c: "digit" if c.isdigit() else "lower" if c.islower() else "upper" if c.isupper() else "sign"
+    rows, style = secrets.written(name)
+    out = []
+    for way in sorted(set(style.tolist())):
+        tokens = ["".join(alphabet[i] for i in row) for row, w in zip(rows.tolist(), style.tolist()) if w == way]
+        once, pairs, triples = Counter(), Counter(), Counter()
+        for t in tokens:
+            once.update(t)
+            pairs.update(zip(t, t[1:]))
+            triples.update((kind(x), y, z) for x, y, z in zip(t, t[1:], t[2:]))
+        n, before_pair, before_triple = sum(once.values()), Counter(), Counter()
+        for (x, _), c in pairs.items():
+            before_pair[x] += c
+        for (x, y, _), c in triples.items():
+            before_triple[x, y] += c
+        p1 = lambda z, once=once, n=n: once[z] / n
+        p2 = lambda y, z, pairs=pairs, b=before_pair, p1=p1: (pairs[y, z] + 20 * p1(z)) / (b[y] + 20)
+        p3 = lambda x, y, z, triples=triples, b=before_triple, p2=p2: (triples[kind(x), y, z] + 20 * p2(y, z)) / (b[kind(x), y] + 20)
+        out.append((len(tokens) / len(rows), p1, p2, p3))
+    return len(alphabet), out
+
+
+@lru_cache(None)
+def neighbours(name):
+    """log odds of each pair of neighbours in written tokens, and over uniform tokens their mean, variance and covariance."""
+    alphabet = dict(ENCODINGS)[name]
+    rows, _ = secrets.written(name)
+    pairs = Counter((alphabet[a], alphabet[b]) for row in rows.tolist() for a, b in zip(row, row[1:]))
+    total = sum(pairs.values()) + 2 * len(alphabet) ** 2
+    odds = {(a, b): math.log((pairs[a, b] + 2) / total * len(alphabet) ** 2) for a in alphabet for b in alphabet}
+    mean = sum(odds.values()) / len(odds)
+    both = sum((sum(odds[a, b] - mean for a in alphabet) / len(alphabet)) * (sum(odds[b, c] - mean for c in alphabet) / len(alphabet)) for b in alphabet) / len(alphabet)
+    return odds, mean, sum((v - mean) ** 2 for v in odds.values()) / len(odds), both
+
+
+def plainly(token):
+    """(encoding, p of uniformity, log10 p of written tokens) of a token, character by character."""
+    body = token.rstrip("=")
+    name, alphabet = next((n, a) for n, a in ENCODINGS if set(body) <= set(a))
+    m, k = len(body), len(alphabet)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    pairs = sum(a == b for a, b in combinations(body, 2))
+    up = [alphabet.index(c) >= k // 2 for c in body]
+    runs = sum(a != b for a, b in zip(up, up[1:]))
+    odds, mean, variance, both = neighbours(name)
+    follows = sum(odds[p] for p in zip(body, body[1:]))
+    all_pairs = m * (m - 1) / 2
+    uniform = 3 * min(tail((pairs - all_pairs / k) / math.sqrt(all_pairs / k * (1 - 1 / k))), 2 * tail(abs(runs - (m - 1) / 2) / math.sqrt((m - 1) / 4)), tail((follows - (m - 1) * mean) / math.sqrt((m - 1) * variance + 2 * (m - 2) * both)))
+    _, styles = ways(name)
+    mixed = lambda p: 0.98 * p + 0.02 / k
+    logs = [math.log(s) + math.log(mixed(p1(body[0]))) + math.log(mixed(p2(body[0], body[1]))) + sum(math.log(mixed(p3(*x))) for x in zip(body, body[1:], body[2:])) for s, p1, p2, p3 in styles]
+    top = max(logs)
+    return name, uniform, min(0.0, (top + math.log(sum(math.exp(x - top) for x in logs)) + m * math.log(k)) / math.log(10))
+
+
+def test_tests_equal_a_plain_count():
+    rng = np.random.default_rng(21)
+    tokens = ["".join(rng.choice(list(a), n)) for _, a in ENCODINGS[1:] for n in (20, 37)] + ["getUserAccountById12345", "see-the_long-name_of_it", "usr/local/lib/python3/dist-packages", "AAAAAAAAAAAAAAAAAAAAAAAA=="]
+    for t in tokens:
+        name, uniform, written = plainly(t)
+        got = secrets.battery(t)
+        assert got[0] == name and np.isclose(min(uniform, 1), got[1], rtol=1e-6) and np.isclose(written, np.log10(got[2]), atol=1e-6), t
+
+
 def test_every_span_by_brute_force(spark):
     rng = np.random.default_rng(12)
-    draw = lambda a, n: "".join(rng.choice(list(secrets.ALPHABETS[a]), n))
-    texts = [f"x {draw('base62', 20 + i % 30)} y token={draw('base64', 30)} some_long_identifier_of_words_{i} é{draw('HEX', 32)}" for i in range(60)] + ["", "plain text", None]
+    draw = lambda a, n: "".join(rng.choice(list(dict(ENCODINGS)[a]), n))
+    texts = [f"x {draw('base62', 20 + i % 30)} y token={draw('base64', 30)} some_long_identifier_of_words_{i} é{draw('HEX', 32)} z {draw('signs', 40)}" for i in range(60)] + ["", "plain text", None]
     plain, tested = [], []
     for i, t in enumerate(texts):
         base = secrets.base_spans(t or "")
         plain.append({(("assign", "access", "hex")[k], s, e) for s, k, e in base})
         for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])", t or ""):
-            if all(e <= m.start() or s >= m.end() for s, _, e in base) and (b := secrets.battery(m[0])) and b[0] != "digits":
-                tested.append((sum(m.end() - m.start() >= c for c in (20, 24, 32, 48, 96)), int(-10 * np.log10(b[2])), b[1], i, m.start(), m.end()))
-    for size in range(1, 6):
-        mine = [x for x in tested if x[0] == size]
+            if all(e <= m.start() or s >= m.end() for s, _, e in base) and (b := plainly(m[0]))[0] != "digits":
+                tested.append(((b[0], sum(m.end() - m.start() >= c for c in (20, 24, 32, 48, 96))), int(-10 * b[2] + 1e-9), b[1], i, m.start(), m.end()))
+    for stratum in {x[0] for x in tested}:
+        mine = [x for x in tested if x[0] == stratum]
         cut = min((b for _, b, *_ in mine if 10 ** (-b / 10) * len(mine) <= 0.01 * sum(x[1] >= b for x in mine)), default=1000)
         for _, b, uniform, i, s, e in mine:
             if b >= cut and uniform >= 0.001:
                 plain[i].add(("random", s, e))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in secrets.find(df).collect()}
-    assert got == dict(enumerate(plain)) and sum(k == "random" for x in plain for k, _, _ in x) >= 90
+    assert got == dict(enumerate(plain)) and sum(k == "random" for x in plain for k, _, _ in x) >= 160
+
+
+def test_one_key_in_a_thousand_is_found_without_false_ones(spark):
+    rng = np.random.default_rng(31)
+    words = "get user account by id internationalization configuration server handler request payload database string value index parse token stream buffer width height".split()
+    forms = [lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), "_".join, "/".join, lambda w: "-".join(x.capitalize() for x in w), lambda w: "_".join(w).upper() + "_1", lambda w: "".join(x.capitalize() for x in w) + "2"]
+    lines = [" ".join(t for t in (forms[int(rng.integers(6))](list(rng.choice(words, int(rng.integers(3, 8))))) for _ in range(40))) for _ in range(1000)]
+    keys = {}
+    for name, n in (("base62", 20), ("base64", 24), ("HEX", 32), ("base62", 40)):
+        for _ in range(10):
+            i = int(rng.integers(1000))
+            key = "".join(rng.choice(list(dict(ENCODINGS)[name]), n))
+            lines[i] += " " + key
+            keys[key] = i
+    found = [(r.doc_id, lines[r.doc_id][s.start : s.end]) for r in secrets.find(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)).collect() for s in r.spans if s.kind == "random"]
+    right = [x for x in found if x[1] in keys]
+    assert len(right) >= 36 and len(found) - len(right) <= 1
+
+
+@pytest.mark.parametrize("n", [10_000, 20_000, 40_000, 80_000])
+def test_uniform_tokens_of_any_length_are_not_rejected(n):
+    rng = np.random.default_rng(n)
+    for name in ("base64", "base62", "hex"):
+        got = [secrets.battery("".join(rng.choice(list(dict(ENCODINGS)[name]), n))) for _ in range(20)]
+        assert sum(b[1] >= secrets.REJECT and b[2] < 1e-20 for b in got) >= 19
 
 
 def test_redaction_keeps_rows_and_columns(docs):

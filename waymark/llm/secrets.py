@@ -2,12 +2,15 @@
 
 For a token the smallest alphabet that holds its characters is inferred (hex, base 32, letters, base 64 and so on). Three
 tests ask whether it may be uniform there: chi-squared over the alphabet, by pairs of equal characters; runs above and below
-the middle; and serial correlation, by how much more often neighbours as these follow one another in written tokens. Fisher's
-sum of their logarithms is the one statistic. Short tokens allow no approximation and the tests share the characters, so
-nothing is read off a formula: for each alphabet and length the statistic of simulated uniform tokens says whether the
-battery rejects a token, and that of simulated written tokens (words, in the ways in which identifiers and paths join them)
-gives the p-value that false discoveries are controlled on: how seldom what is written looks as random as this.
-Benjamini and Hochberg's rule runs on it over all candidates of the corpus, apart for each class of length.
+the middle; and serial correlation, by how much more often neighbours as these follow one another in written tokens. Their
+means and variances under uniformity are exact at any length, and one that rejects clears the token.
+
+False discoveries are controlled on how seldom what is written looks so random. Written tokens are a mixture of ways of
+writing (words with and without capitals, with and without numbers, numbers alone, joined as in identifiers and paths),
+each a chain in which a character depends on the one before and on the kind of the one before that. If a token has probability u as a uniform one and w as a written one, then by Markov's
+inequality written tokens have a ratio of at least u / w with probability w / u at most: that is the p-value, an exact
+bound under the mixture, which falls exponentially with the length. Benjamini and Hochberg's rule runs on it over all
+candidates of the corpus, apart for each alphabet and class of length, as what is written fills some and hardly others.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import released, slices, stash
 
 #: The base kinds in their order, and the least length of group 2 or of the match.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -46,16 +49,17 @@ ALPHABETS = {
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "signs": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 PLACES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 #: How often English uses each letter, in percent, from the commonest; vowels.
 LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.15, 0.15, 0.1, 0.07)))
 VOWELS = "aeiouy"
-#: Simulated tokens of each alphabet, and their length; longer tokens are scaled to it.
+#: Simulated written tokens of each alphabet, from which the chains are counted, and their length.
 SIMULATED = 20_000
 SIMULATED_LENGTH = 64
-#: By how much the fitted tail of written tokens is wider than theirs.
-WIDER = 1.25
+#: Share of a written token's characters that may be anything.
+ANYTHING = 0.02
 #: Digits alone are amounts, dates and account numbers; written hex repeats little, so both need the base patterns.
 UNTESTED = ("digits",)
 #: Level under which the battery rejects uniformity, and the false discovery rate.
@@ -65,12 +69,17 @@ MASK = "[secret]"
 #: Least lengths of the length classes, and the bins of -10 log10 p that the corpus is counted in.
 CLASSES = (20, 24, 32, 48, 96)
 BINS = 400
+#: Where an alphabet's classes begin: discoveries are controlled apart for each alphabet and class of length.
+STRATA = {name: i * len(CLASSES) for i, name in enumerate(ALPHABETS)}
 
 
-@cache
-def written(name: str) -> np.ndarray:
-    """Tokens as people write them in an alphabet, as rows of places: words of letters by their frequency, vowels and
-    consonants in turns more often than not, some with numbers behind, joined as in identifiers and paths."""
+#: How often a number follows a word, in three ways of writing; a fourth is numbers alone.
+NUMBERS = (0.05, 0.3, 0.6)
+
+
+def written(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens as people write them in an alphabet, as rows of places, and the way each is written: words of letters by their
+    frequency, vowels and consonants in turns more often than not, some with numbers behind, joined as in identifiers."""
     alphabet, rng, rows = ALPHABETS[name], np.random.default_rng(1), SIMULATED
     hexadecimal = name.lower() == "hex"
     letters = [c for c in LETTERS if not hexadecimal or c in "abcdef"]
@@ -83,7 +92,8 @@ def written(name: str) -> np.ndarray:
     signs = np.array([at[c] for c in alphabet if not c.isalnum() and c != "+"])
     # Of a token: its way of capitals (none, first letters, all), how often a number follows a word, and its sign.
     way = rng.integers(3, size=rows) if lower[0] >= 0 and upper[0] >= 0 else np.full(rows, 0 if lower[0] >= 0 else 2)
-    often = rng.choice((0.05, 0.3, 0.6), rows) if len(number) else np.zeros(rows)
+    numbers = rng.integers(len(NUMBERS), size=rows) if len(number) else np.zeros(rows, np.int64)
+    often = np.array(NUMBERS)[numbers] if len(number) else np.zeros(rows)
     sign = rng.choice(signs, rows) if len(signs) else np.full(rows, -1)
     left, digits, new = rng.integers(2, 6 if hexadecimal else 11, rows), np.zeros(rows, np.int64), np.ones(rows, bool)
     last = rng.random(rows) < 0.5
@@ -101,57 +111,97 @@ def written(name: str) -> np.ndarray:
         letter = ~joins & ~counts
         left, last, new = left - letter, np.where(letter, vowel[pick], last), new & ~letter
         digits = np.where(letter & (left == 0) & (rng.random(rows) < often), rng.integers(1, 5, rows), np.maximum(digits - 1, 0))
-    return out
+    style = way * len(NUMBERS) + numbers
+    if len(number):  # numbers alone, joined by the token's sign
+        alone = rng.random(rows) < 0.15
+        figures = np.where((rng.random(out.shape) < 0.15) & (sign >= 0)[:, None], sign[:, None], rng.choice(number, out.shape))
+        out[alone], style[alone] = figures[alone], 3 * len(NUMBERS)
+    return out.astype(np.int8), style
 
 
-def measures(x: np.ndarray, k: int, odds: np.ndarray) -> np.ndarray:
-    """Of tokens, rows of places in an alphabet of k: equal pairs, runs of halves, and the mean log odds of neighbours."""
-    n = x.shape[1]
-    s = np.sort(x, axis=1)
-    pairs, run = np.zeros(len(x)), np.zeros(len(x))
-    for i in range(1, n):  # the r-th of equal characters makes r - 1 pairs; their number is the chi-squared statistic, scaled
-        run = np.where(s[:, i] == s[:, i - 1], run + 1, 0)
-        pairs += run
-    up = x >= k / 2
-    runs = (up[:, 1:] != up[:, :-1]).sum(axis=1)
-    return np.stack([pairs, runs, odds[x[:, :-1], x[:, 1:]].mean(axis=1)], axis=1)
+@cache
+def kinds(name: str) -> np.ndarray:
+    """Which of small letter, capital, digit and sign each character of an alphabet is."""
+    return np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in ALPHABETS[name]])
 
 
-def _log_tail(z: np.ndarray) -> np.ndarray:
-    """Minus the logarithm of a normal's upper tail."""
-    z = np.maximum(z, -3)
-    return np.where(z < 5, -np.log(np.maximum([0.5 * math.erfc(v / math.sqrt(2)) for v in z.ravel()], 1e-300)).reshape(z.shape), z * z / 2 + np.log(np.maximum(z, 1) * math.sqrt(2 * math.pi)))
+class Writing:
+    """What is counted in an alphabet's written tokens.
 
+    share, first, second, onward: of each way of writing, as logarithms, its share, the first character, the second after
+    each, and the next after each that follows each kind. odds: how much more often two characters are neighbours in
+    written tokens than in uniform ones, as logarithms; mean and variance over uniform pairs, and shared, the covariance
+    of two pairs that share a character.
+    """
 
-@cache
-def odds_of(name: str) -> np.ndarray:
-    """How much more often two characters are neighbours in written tokens than in uniform ones, as logarithms."""
-    k, x = len(ALPHABETS[name]), written(name)
-    counts = np.bincount((x[:, :-1] * k + x[:, 1:]).ravel(), minlength=k * k).reshape(k, k) + 2.0
-    return np.log(counts / counts.sum() * k * k)
+    def __init__(self, name: str):
+        k, (x, style), kind = len(ALPHABETS[name]), written(name), kinds(name)
+        share, first, second, onward = [], [], [], []
+
+        def counted(context: np.ndarray, after: np.ndarray, contexts: int) -> np.ndarray:
+            return np.bincount((context.astype(np.int64) * k + after).ravel(), minlength=contexts * k).reshape(contexts, k)
+
+        def follows(counts: np.ndarray, backed: np.ndarray) -> np.ndarray:
+            return (counts + 20 * backed) / (counts.sum(axis=1, keepdims=True) + 20)
+
+        every = np.zeros((k, k))
+        for way in np.unique(style):
+            own = x[style == way]
+            once = np.bincount(own.ravel(), minlength=k) / own.size
+            beside = counted(own[:, :-1], own[:, 1:], k)
+            every += beside
+            pairs = follows(beside, once)
+            triples = follows(counted(kind[own[:, :-2]] * k + own[:, 1:-1], own[:, 2:], 4 * k), np.tile(pairs, (4, 1)))
+            share.append(len(own) / len(x))
+            for out, p in ((first, once), (second, pairs), (onward, triples)):
+                out.append((1 - ANYTHING) * p + ANYTHING / k)
+        self.share, self.first, self.second, self.onward = np.log(share), np.log(first), np.log(second), np.log(onward)
+        self.odds = np.log((every + 2) / (every + 2).sum() * k * k)
+        self.mean, self.variance = float(self.odds.mean()), float(self.odds.var())
+        self.shared = float(((self.odds.mean(axis=0) - self.mean) * (self.odds.mean(axis=1) - self.mean)).mean())
 
 
 @cache
-def nulls(name: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """(mean and spread of the measures, the statistic of uniform tokens, of written ones, and a fit of its root)."""
-    k, odds, tokens = len(ALPHABETS[name]), odds_of(name), written(name)[:, :n]
-    uniform = measures(np.random.default_rng(n).integers(0, k, (SIMULATED, n)), k, odds)
-    mean, spread = uniform.mean(axis=0), np.maximum(uniform.std(axis=0), 1e-9)
-    own = np.ones(len(tokens), bool)  # tokens that a smaller alphabet holds are not tested in this one
-    for smaller in ALPHABETS:
-        if smaller == name:
-            break
-        own &= ~np.array([c in PLACES[smaller] for c in ALPHABETS[name]])[tokens].all(axis=1)
-    tokens = tokens[own] if own.sum() >= SIMULATED // 20 else tokens
-    text = statistic(measures(tokens, k, odds), mean, spread)
-    root = np.sqrt(text)
-    return mean, spread, np.sort(statistic(uniform, mean, spread)), np.sort(text), float(root.mean()), float(root.std()) * WIDER
-
-
-def statistic(found: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Fisher's sum over the tests: too many equal pairs, runs too few or too many, neighbours as in written tokens."""
-    z = (found - mean) / spread
-    return _log_tail(z[:, 0]) + np.maximum(_log_tail(np.abs(z[:, 1])) - math.log(2), 0) + _log_tail(z[:, 2])
+def writing(name: str) -> Writing:
+    """Worked out once a worker; the simulated tokens are not kept."""
+    return Writing(name)
+
+
+def upper_tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def uniform_p(x: np.ndarray, name: str) -> float:
+    """The least p-value of the three tests that places x are uniform in an alphabet, times three.
+
+    Too many equal pairs (of m characters: mean m(m - 1) / 2k), runs of the alphabet's halves too few or too many (mean
+    (m - 1) / 2), neighbours as in written tokens. All alphabets have an even number of characters, so halves are equal.
+    """
+    k, m = len(ALPHABETS[name]), len(x)
+    counts = np.bincount(x, minlength=k).astype(float)
+    pairs, all_pairs = float((counts * (counts - 1)).sum() / 2), m * (m - 1) / 2
+    up = x >= k // 2
+    runs = float(np.count_nonzero(up[1:] != up[:-1]))
+    w = writing(name)
+    follows = float(w.odds[x[:-1], x[1:]].sum())
+    spread = math.sqrt((m - 1) * w.variance + 2 * (m - 2) * w.shared)
+    return min(1.0, 3 * min(
+        upper_tail((pairs - all_pairs / k) / math.sqrt(all_pairs / k * (1 - 1 / k))),
+        2 * upper_tail(abs(runs - (m - 1) / 2) / math.sqrt((m - 1) / 4)),
+        upper_tail((follows - (m - 1) * w.mean) / spread),
+    ))
+
+
+def written_p(x: np.ndarray, name: str) -> float:
+    """log10 of the bound of how probable it is that a written token looks as random as places x."""
+    w = writing(name)
+    context = kinds(name)[x[:-2]] * len(ALPHABETS[name]) + x[1:-1]
+    each = w.share + w.first[:, x[0]] + w.second[:, x[0], x[1]]
+    for i in range(0, len(context), 100_000):
+        each = each + w.onward[:, context[i : i + 100_000], x[2 + i : 100_002 + i]].sum(axis=1)
+    most = each.max()
+    likely = most + math.log(np.exp(each - most).sum())
+    return min(0.0, (likely + len(x) * math.log(len(ALPHABETS[name]))) / math.log(10))
 
 
 def encoding(token: str) -> str | None:
@@ -162,21 +212,13 @@ def encoding(token: str) -> str | None:
 def battery(token: str) -> tuple[str, float, float] | None:
     """(encoding, p that it is uniform, p that what is written looks so random), or None if no alphabet holds it."""
     body, name = token.rstrip("="), encoding(token)
-    if name is None or len(body) < 2:
+    if name is None or len(body) < 3:
         return None
     if name in UNTESTED:
         return name, 0.0, 1.0
-    m, n = len(body), min(len(body), SIMULATED_LENGTH)
-    mean, spread, uniform, text, middle, width = nulls(name, n)
-    own = measures(np.array([[PLACES[name][c] for c in body]]), len(ALPHABETS[name]), odds_of(name))[0]
-    # Equal pairs go with the square of the length, runs with the length; so a longer token is scaled to its nulls.
-    z = (own - mean * [m * (m - 1) / (n * (n - 1)), (m - 1) / (n - 1), 1]) / (spread * [m / n, math.sqrt(m / n), math.sqrt(n / m)])
-    t = float(statistic(z[None, :], np.zeros(3), np.ones(3))[0])
-    p_uniform = (1 + len(uniform) - np.searchsorted(uniform, t, "left")) / (1 + len(uniform))
-    rank = np.searchsorted(text, t, "right")
-    fitted = 0.5 * math.erfc((middle - math.sqrt(max(t, 0))) / width / math.sqrt(2))
-    p_written = (1 + rank) / (1 + len(text)) if rank >= 10 else min(fitted, 11 / (1 + len(text)))
-    return name, float(p_uniform), float(p_written)
+    place = PLACES[name]
+    x = np.fromiter((place[c] for c in body), np.int64, len(body))
+    return name, uniform_p(x, name), 10 ** max(written_p(x, name), -300)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -193,8 +235,8 @@ def _tested(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> li
     tested = battery(text[start:end])
     if not tested or tested[0] in UNTESTED:
         return []
-    size = sum(end - start >= c for c in CLASSES) - 1
-    return [{"spans": [{"start": s, "end": e} for s, e in spans], "encoding": tested[0], "class": size, "bin": min(BINS, int(-10 * math.log10(max(tested[2], 1e-300)))), "uniform": tested[1]}]
+    size = STRATA[tested[0]] + sum(end - start >= c for c in CLASSES) - 1
+    return [{"spans": [{"start": s, "end": e} for s, e in spans], "encoding": tested[0], "class": size, "bin": min(BINS, int(-10 * math.log10(tested[2]))), "uniform": tested[1]}]
 
 
 def text_spans(text: str) -> tuple[list[tuple[int, int, str]], list[dict]]:
@@ -261,17 +303,17 @@ def scan(docs: DataFrame) -> DataFrame:
                 others.append(mine)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bases, base_type), pa.array(others, kind)], ["doc_id", "base", "candidates"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPANS}, candidates {CANDIDATES}")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPANS}, candidates {CANDIDATES}")
 
 
 def cutoffs(scanned: DataFrame, rate: float = RATE) -> list[int]:
-    """For each class of length the least bin whose candidates are discoveries; BINS + 1 if none.
+    """For each alphabet and class of length the least bin whose candidates are discoveries; BINS + 1 if none.
 
-    The counts cover the whole corpus and come to the driver as at most len(CLASSES) * (BINS + 1) rows.
+    The counts cover the whole corpus and come to the driver as at most len(ALPHABETS) * len(CLASSES) * (BINS + 1) rows.
     """
     rows = scanned.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.bin").count().collect()
     out = []
-    for k in range(len(CLASSES)):
+    for k in range(len(ALPHABETS) * len(CLASSES)):
         mine = {r["bin"]: r["count"] for r in rows if r["class"] == k}
         total, above, least = sum(mine.values()), 0, BINS + 1
         for at in sorted(mine, reverse=True):
@@ -339,4 +381,4 @@ def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
                 new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, b.column("n_chars").to_pylist())], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for i, c in enumerate(fields)], fields)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
