@@ -20,12 +20,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import released, slices
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Different chunks that a worker remembers; beyond it forgets them and merges anew, with the same result.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 CHUNKS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, model_file: str, normaliser: str | None = None) -> D
             ids, starts, ends = model.encode(b.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ints(ids), ints(starts), ints(ends), pa.array(decode_all(model, ids), pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model_file: str, normaliser: str | None = None) -> DataFrame:
