@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MARKED_COMMENT, REVERT_SUBJECT, VENDORED, candidate_id, candidate_score, has_segment, strip
+from .tables import kept, placed
 
 #: Names of lock files, whose comments are not mined, in order of the alphabet, and the order of sections.
 LOCKFILES = ("Cargo.lock", "Gemfile.lock", "Pipfile.lock", "composer.lock", "go.sum", "package-lock.json", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "yarn.lock")
@@ -34,19 +35,35 @@ def deleted_components(deletions: DataFrame, live: DataFrame) -> DataFrame:
     return died.join(there, "component", "left_anti").select(F.lit("deleted_component").alias("section"), "component", F.col("last.date").alias("died"), F.col("last.sha").alias("death_commit"), F.col("last.subject").alias("death_subject"), "files_deleted", "seq")
 
 
-def oscillations(history: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def oscillations(history: DataFrame, keys: list[str], order: list[str], width: int = 4096) -> DataFrame:
     """history(keys, order, value) -> keys, oscillation_count, first: how often a value goes and comes back.
 
     A cycle is A, B, A; it uses up its first two places, and the next may begin at its last. In a run of consecutive
-    places where cycles could begin, every other one counts, so a run of n counts half of n, rounded up: runs are found
-    by windows and summed. first is the values and order of the first cycle.
+    places where cycles could begin, every other one counts, so a run of n counts half of n, rounded up. first is the
+    values and order of the first cycle.
+
+    All rows are put in one order by ranges and cut into slices of `width`, at least two, each with the two rows after it, so
+    a key of any length is many tasks. Runs inside a slice are counted there; of those that touch an edge, two a slice at
+    most, what goes on in the next slice is put together first.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    placed = history.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.lead("value", 1).over(w)).withColumn("_c", F.lead("value", 2).over(w))
-    begins = placed.where((F.col("value") == F.col("_c")) & (F.col("value") != F.col("_b")))
-    runs = begins.withColumn("_run", F.col("_n") - F.row_number().over(w))
-    sized = runs.groupBy(*keys, "_run").agg(F.ceil(F.count("*") / 2).alias("cycles"), F.min_by(F.struct("value", F.col("_b").alias("back"), *order), "_n").alias("first"), F.min("_n").alias("at"))
-    return sized.groupBy(*keys).agg(F.sum("cycles").cast("long").alias("oscillation_count"), F.min_by("first", "at").alias("first"))
+    rows = placed(history.select(F.struct(*keys).alias("_key"), *order, "value"), "_key", *order).withColumn("_slice", F.floor((F.col("pos") - 1) / width))
+    after = rows.where((F.col("pos") - 1) % width < 2).withColumn("_slice", F.col("_slice") - 1)
+    inside = Window.partitionBy("_slice").orderBy("pos")
+    lead = lambda c, i: F.when(F.lead("_key", i).over(inside).eqNullSafe(F.col("_key")), F.lead(c, i).over(inside))
+    seen = rows.withColumn("_own", F.lit(True)).union(after.withColumn("_own", F.lit(False))).withColumn("_b", lead("value", 1)).withColumn("_c", lead("value", 2))
+    begins = seen.where(F.col("_own") & (F.col("value") == F.col("_c")) & (F.col("value") != F.col("_b")))
+    by = Window.partitionBy("_slice").orderBy("pos")
+    runs = begins.withColumn("_run", F.col("pos") - F.row_number().over(by))
+    found = F.min_by(F.struct("value", F.col("_b").alias("back"), *order), "pos").alias("first")
+    pieces = kept(runs.groupBy("_key", "_slice", "_run").agg(F.count("*").alias("n"), F.min("pos").alias("at"), F.max("pos").alias("end"), found))
+    low, high = F.col("_slice") * width + 1, (F.col("_slice") + 1) * width
+    edge = (F.col("at") == low) | (F.col("end") == high)
+    order_of = Window.partitionBy("_key").orderBy("at")
+    goes_on = F.lag("end").over(order_of) == F.col("at") - 1
+    linked = pieces.where(edge).withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(order_of))
+    whole = linked.groupBy("_key", "_chain").agg(F.sum("n").alias("n"), F.min_by("first", "at").alias("first"), F.min("at").alias("at"))
+    every = pieces.where(~edge).select("_key", "n", "first", "at").union(whole.select("_key", "n", "first", "at"))
+    return every.groupBy("_key").agg(F.sum(F.ceil(F.col("n") / 2)).cast("long").alias("oscillation_count"), F.min_by("first", "at").alias("first")).select("_key.*", "oscillation_count", "first")
 
 
 def flapping(history: DataFrame) -> DataFrame:
@@ -73,8 +90,8 @@ def harvest(parts: list[DataFrame], now_months: int) -> DataFrame:
             every = every.withColumn(column, F.lit(None).cast(kind))
     path = F.coalesce(F.element_at(F.split("location", ":"), 1), "file", "component", F.lit(""))
     lock = (F.col("section") == "comment") & F.element_at(F.split(path, "/"), -1).isin(*LOCKFILES)
-    kept = every.where(~(has_segment(path, (".scars", *VENDORED)) | lock))
-    scored = kept.withColumn("id", candidate_id()).withColumn("score", candidate_score(now_months))
+    mined = every.where(~(has_segment(path, (".scars", *VENDORED)) | lock))
+    scored = mined.withColumn("id", candidate_id()).withColumn("score", candidate_score(now_months))
     place = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
     return scored.withColumn("_section", place)
 

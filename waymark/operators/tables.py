@@ -54,3 +54,20 @@ def last_before(asked: DataFrame, facts: DataFrame, keys: list[str], at: str, va
     before = Window.partitionBy(*keys).orderBy("_slice", F.col("_asked").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("_asked", F.lit(False)).unionByName(wanted.withColumn("_asked", F.lit(True))).withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).where("_asked").select(*keys, "_slice", "_carry")
     return near.join(carried, [*keys, "_slice"], "left").select("_row.*", F.coalesce("_v", "_carry").alias(value))
+
+
+def running_count(rows: DataFrame, keys: list[str], at: str, name: str, width: int = 4096) -> DataFrame:
+    """rows(keys, at, ...) with how many rows of the same keys come before, in order of `at`. Counts of slices of `width` are
+    added up, so no task sees all rows of a key."""
+    cut = rows.withColumn("_slice", F.floor(F.col(at) / width).cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(at)) - 1
+    return cut.withColumn("_inside", inside).join(before, [*keys, "_slice"]).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_slice", "_inside", "_before")
+
+
+def newest_of(rows: DataFrame, keys: list[str], at: str, most: int, parts: int = 64) -> DataFrame:
+    """The `most` rows of each key with the greatest `at`: of each of so many parts of a key first, then of all."""
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(at).desc()))
+    few = rows.withColumn("_part", F.pmod(F.xxhash64(at), F.lit(parts))).withColumn("_r", rank(*keys, "_part")).where(F.col("_r") <= most)
+    return few.withColumn("_r", rank(*keys)).where(F.col("_r") <= most).drop("_r", "_part")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import last_before, newest_of, running_count
 from . import scripts
 
 #: Largest file whose content is loaded.
@@ -40,8 +41,7 @@ def firings(lines: DataFrame) -> DataFrame:
 def transcript_blocks(lines: DataFrame, last: int = 4000) -> DataFrame:
     """Transcript lines(session, line_no, value) -> blocks(session, role, kind, text, file, is_error), of each session's
     last `last` lines. A message whose content is text is one text block."""
-    w = Window.partitionBy("session").orderBy(F.col("line_no").desc())
-    tail = lines.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last)
+    tail = newest_of(lines, ["session"], "line_no", last)
     v = tail.select("session", "line_no", F.try_parse_json("value").alias("v")).where("v is not null")
     role = F.try_variant_get("v", "$.type", "string")
     content = F.try_variant_get("v", "$.message.content", "variant")
@@ -112,14 +112,16 @@ def git_log(lines: DataFrame) -> DataFrame:
     """lines(repo, n, line) of `git log --format=%x02%H%x01%ad%x01%s` with any of --name-only, --name-status or -p
     -> (repo, n, seq, sha, date, subject, rest): every other line with the commit it belongs to, seq 0 the first printed.
 
-    Commits without other lines have one row with rest null. One repository's log is one ordered text, so it is one
-    window; repositories spread.
+    Commits without other lines have one row with rest null; lines before the first commit have none. A log is read in
+    ranges of its numbers n, and each range goes on with the commit that was open before it.
     """
-    head = F.when(F.startswith("line", F.lit("\x02")), F.split(F.expr("substring(line, 2)"), "\x01", 3))
-    w = Window.partitionBy("repo").orderBy("n")
-    placed = lines.withColumn("head", head).withColumn("seq", F.count("head").over(w) - 1).withColumn("at", F.last("head", ignorenulls=True).over(w))
-    rest = F.when(F.col("head").isNull() & (F.col("line") != ""), F.col("line"))
-    return placed.where(F.col("at").isNotNull() & (F.col("head").isNotNull() | rest.isNotNull())).select("repo", "n", "seq", F.col("at")[0].alias("sha"), F.col("at")[1].alias("date"), F.col("at")[2].alias("subject"), rest.alias("rest"))
+    parts = F.split(F.expr("substring(line, 2)"), "\x01", 3)
+    heads = running_count(lines.where(F.startswith("line", F.lit("\x02"))).select("repo", "n", parts.alias("at")), ["repo"], "n", "seq")
+    open_ = heads.select("repo", "n", F.struct("seq", "at").alias("open"))
+    rest = lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("\x02"))).select("repo", "n", F.col("line").alias("rest"))
+    placed = last_before(rest, open_, ["repo"], "n", "open").where("open is not null")
+    each = placed.unionByName(open_.withColumn("rest", F.lit(None).cast("string")))
+    return each.select("repo", "n", "open.seq", F.col("open.at")[0].alias("sha"), F.col("open.at")[1].alias("date"), F.col("open.at")[2].alias("subject"), "rest")
 
 
 def git_commits(log: DataFrame) -> DataFrame:
@@ -138,12 +140,12 @@ def git_renames(log: DataFrame) -> DataFrame:
 
 
 def git_patch_lines(log: DataFrame) -> DataFrame:
-    """(repo, seq, sha, date, n, file, sign, text): changed lines of a log made with -p."""
-    w = Window.partitionBy("repo").orderBy("n")
-    file = F.when(F.startswith("rest", F.lit("+++ ")), F.regexp_replace(F.expr("substring(rest, 5)"), "^b/", ""))
-    placed = log.where("rest is not null").withColumn("file", F.last(file, ignorenulls=True).over(w))
-    changed = placed.where(F.col("rest").rlike("^[+-]") & ~F.col("rest").rlike("^(\\+\\+\\+|---) ") & F.col("file").isNotNull())
-    return changed.select("repo", "seq", "sha", "date", "n", "file", F.substring("rest", 1, 1).alias("sign"), F.expr("substring(rest, 2)").alias("text"))
+    """(repo, seq, sha, date, n, file, sign, text): changed lines of a log made with -p. The file is that of the last header
+    before a line, looked up as commits are in git_log()."""
+    changed = log.where(F.col("rest").rlike("^[+-]") & ~F.col("rest").rlike("^(\\+\\+\\+|---) "))
+    files = log.where(F.startswith("rest", F.lit("+++ "))).select("repo", "n", F.regexp_replace(F.expr("substring(rest, 5)"), "^b/", "").alias("file"))
+    placed = last_before(changed, files, ["repo"], "n", "file").where("file is not null")
+    return placed.select("repo", "seq", "sha", "date", "n", "file", F.substring("rest", 1, 1).alias("sign"), F.expr("substring(rest, 2)").alias("text"))
 
 
 def tracked_values(patches: DataFrame, keys: tuple[str, ...] = ("image", "replicas", "tag", "version", "cpu", "memory")) -> DataFrame:
