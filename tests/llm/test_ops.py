@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waymark.llm import components, media, mixing, near_copies, pieces, quality_rules, secrets, simhash, suffixes
+from waymark.llm import components, media, mixing, near_copies, pieces, quality_model, quality_rules, secrets, simhash, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -583,3 +583,46 @@ def test_phrases_with_any_signs_behind_them_are_judged(spark):
     footers = ["Privacy Policy", "Terms Of Use", "All Rights Reserved.", "Cookie POLICY", "no terms ofuse here"]
     out = quality_rules.rules(spark.createDataFrame(list(enumerate(footers)), "doc_id long, text string"))
     assert {r.doc_id: r.n_failed_lines for r in out.collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def named(data, spark, docs):
+    """The rows with text ids, in the order of the numbers, and the number of each id."""
+    name = lambda i: None if i is None else f"d{i:05d}"
+    schema = docs.schema.simpleString()[7:-1].replace("doc_id:bigint", "doc_id:string")
+    return spark.createDataFrame([(name(r[0]), *r[1:]) for r in data], schema).repartition(4), lambda i: None if i is None else int(i[1:])
+
+
+@pytest.mark.parametrize("call, ids", [(simhash.near_duplicates, ("doc_id", "component_id")), (suffixes.dedup, ("doc_id",)), (near_copies.keep_one, ("doc_id",)), (mixing.mix, ("doc_id",))])
+def test_text_ids_give_what_numbers_give(spark, docs, data, call, ids):
+    texts, number = named(data, spark, docs)
+    drop = {"components", "source_size", "target", "copies", "taken"}  # the mix hashes ids, so it takes others
+    plain = lambda rows, of: Counter(tuple(of(r[c]) if c in ids else bytes(r[c]) if isinstance(r[c], bytearray) else r[c] for c in r.__fields__ if c not in drop) for r in rows)
+    assert plain(call(texts).collect(), number) == plain(call(docs).collect(), lambda i: i)
+
+
+def test_models_take_text_ids(spark, docs, data):
+    texts, _ = named(data, spark, docs)
+    labels = spark.createDataFrame([(f"d{i:05d}", i % 2, int(i % 3 == 0)) for i in range(40)], "doc_id string, quality int, toxic int")
+    assert toxicity.judge(texts, labels).count() == quality_model.judge(texts, labels).count() == len(data)
+
+
+def test_the_mix_leaves_columns_of_any_name(spark, docs):
+    odd = docs
+    for name in ("__copy", "__s", "__whole", "__copies", "mix_", "whole", "below", "s"):
+        odd = odd.withColumn(name, F.lit(name))
+    taken = mixing.take_mix(odd)
+    assert taken.columns == odd.columns and taken.count() == mixing.take_mix(docs).count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    assert taken.where("__copy <> '__copy' or whole <> 'whole' or s <> 's'").isEmpty()
+
+
+def test_forward_pass_by_hand():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), 0.25, 1.5, -0.5)
+    texts = ["", "one", "You are a horrible, horrible person! " * 9, "x" * 100 + " end", "ça va? 12 a_b"]
+    for text, got in zip(texts, model.scores({}, texts)):
+        best = None
+        for passage in toxicity.passages(text) or [[]]:
+            gains = [sum(float(model.gain[g]) for g in toxicity.grams(w)) / len(toxicity.grams(w)) for w in passage]
+            logit = sum(gains) / max(len(passage), toxicity.PASSAGE // 2) + model.bias
+            best = logit if best is None else max(best, logit)
+        assert abs(got - 1 / (1 + math.exp(-(1.5 * best - 0.5)))) < 1e-5, text

@@ -111,8 +111,9 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     A row's copies follow from its own doc_id and its source's row of the plan, which is broadcast if sources are few; so no
     text is shuffled.
     """
-    names = {c: f"__{c}" for c in ("s", "source_size", "target", "whole", "budget", "below")}
-    per_source = hinted(stash(plan(measured(docs, seed), weights, cap).select("s", "whole", "below").withColumnsRenamed(names)))
-    copies = F.col("__whole") + ((hash_of(docs.doc_id, seed) < F.col("__below")) & (F.col("__whole") < cap)).cast("long")
-    joined = docs.join(per_source, docs.source.eqNullSafe(per_source["__s"])).withColumn("__copies", copies).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    own = "mix" + "_" * max(map(len, docs.columns))  # no column of docs has a name so long
+    per_source = hinted(stash(plan(measured(docs, seed), weights, cap).select(F.struct("s", "whole", "below").alias(own))))
+    p = F.col(own)
+    copies = p["whole"] + ((hash_of(docs.doc_id, seed) < p["below"]) & (p["whole"] < cap)).cast("long")
+    joined = docs.join(per_source, docs.source.eqNullSafe(p["s"])).where(copies > 0)
+    return joined.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[docs[c] for c in docs.columns])

@@ -149,7 +149,7 @@ def views(docs: DataFrame) -> DataFrame:
             meta = [np.array(metadata(t, a, s), "<f4").tobytes() for t, a, s in zip(texts, b.column("lang").to_pylist(), b.column("source").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "words", "meta"])
 
-    return stash(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(run, "doc_id long, words binary, meta binary"))
+    return stash(docs.select("doc_id", "text", "lang", "source").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary, meta binary"))
 
 
 def _rows(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
@@ -168,7 +168,7 @@ def _mapped(seen: DataFrame, model: Model, names: list[str], of: str) -> DataFra
                 found = shared.value.scores(*found)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.float64()) for x in found)], ["doc_id", *names])
 
-    return seen.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} double" for n in names)]))
+    return seen.mapInArrow(run, ", ".join([f"doc_id {seen.schema['doc_id'].dataType.simpleString()}", *(f"{n} double" for n in names)]))
 
 
 def cuts(counts: np.ndarray, part: float, share: float) -> tuple[int, int]:

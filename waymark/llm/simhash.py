@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stash
+from .common import as_bytes, in_tasks, slices, stash
 from .components import components
 
 BLOCKS = 5
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, words) for t in as_bytes(b.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return in_tasks(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def pivot_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +127,14 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
     Texts are lower-cased in A-Z only; fewer words than a shingle make one shingle; none give fingerprint zero, linked
     like any other. Repeated rows stay repeated. A null doc_id gets the component of its fingerprint's other documents,
-    null if it has none, and links no others. Extra columns are ignored; an empty table gives no rows.
+    null if it has none, and links no others. Ids may be of any type with an order. Extra columns are ignored; an empty
+    table gives no rows.
     """
     prints = stash(fingerprints(docs, words))
     reps = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    found = components(links(reps))
-    labels = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
+    found = stash(components(links(reps.select("fp", F.col("fp").alias("rep")))))
+    least = reps.join(found, reps.fp == found.node).groupBy("label").agg(F.min("rep").alias("least"))
+    labels = reps.join(found.join(least, "label").select("node", "least"), reps.fp == F.col("node"), "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return prints.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

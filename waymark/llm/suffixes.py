@@ -311,9 +311,12 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Every byte covered by a LENGTH-byte string that starts at two places of the corpus goes, judged on the input. Null
     texts are empty; rows with equal id and text are copies of one another like any others; matches never cross rows.
-    Extra columns are ignored; an empty table gives no rows.
+    Extra columns are ignored; an empty table gives no rows. Ids that are no integers go by their 64-bit hash, and with it
+    that of the text.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"))
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    of = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce(of, F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"))
     removed = spans(keyed.select("did", "th", "text")).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return keyed.join(removed, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)
