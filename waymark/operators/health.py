@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.records import anchors as anchors_of
 from .matching import FIRING, firing, path_pairs, pattern_pairs, symbol_pairs
 from .tables import placed
 
@@ -57,6 +58,11 @@ def revived(anchors: DataFrame, files: DataFrame) -> DataFrame:
     return record_liveness(anchors.where("status = 'orphaned'"), files, own_file=False).where("not all_dead")
 
 
+def born_orphans(promoted: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, source) of records, fresh from promotion, whose anchors all resolve to nothing: to be told, not refused."""
+    return record_liveness(anchors_of(promoted), files).where("all_dead").select("id", "source")
+
+
 def overbroad(anchors: DataFrame, files: DataFrame, share: float = 0.25, least: int = 20) -> DataFrame:
     """Firing path anchors that cover at least `share` of the tracked files, where there are at least `least` files."""
     covered = path_pairs(firing(anchors), files.select("path")).groupBy("id", "value").agg(F.count("*").alias("covered"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.patterns import folded, fragments, java, java_udf
-from ..functions.text import MAX_SCAN, fire_key, pattern_hits, rank
+from ..functions.text import MAX_SCAN, fire_key, full_block, label_line, pattern_hits, rank, short_block
 
 FIRING = ("active", "challenged")
 #: Strength of each signal.
@@ -245,6 +245,20 @@ def shown(found: DataFrame, recent: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).withColumn("full", reason.isNull()).drop("_lately")
 
 
+def contexts(shown: DataFrame, records: DataFrame, broken: DataFrame) -> DataFrame:
+    """shown(ord, path, id, pos, full, reason) with records(id, type, status, severity, confidence, title, body) and
+    broken(source) -> (ord, path, context): one text for each target, records in full first, then those that one line
+    stands for and why, then which record files cannot be read."""
+    label = label_line(F.col("type"), F.col("status"), F.col("id"), F.col("severity"), F.col("confidence"), F.col("title"))
+    block = F.when(F.col("full"), full_block(label, F.col("body"))).otherwise(short_block(label, F.col("reason")))
+    each = shown.join(records, "id").select("ord", "path", F.struct(~F.col("full"), "pos", block.alias("block")).alias("b"))
+    told = each.groupBy("ord", "path").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    lost = broken.agg(F.count("*").alias("_lost"), F.array_join(F.sort_array(F.collect_set("source")), ", ").alias("_names"))
+    head = F.format_string("%d record(s) apply to what is about to change. Honor these unless the user says otherwise.", F.size("b"))
+    notice = F.when(F.col("_lost") > 0, F.format_string("%d record file(s) cannot be read and never apply: %s", F.col("_lost"), F.col("_names")))
+    return told.crossJoin(F.broadcast(lost)).select("ord", "path", F.concat_ws("\n\n", head, F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), notice).alias("context"))
+
+
 def respond(found: DataFrame, fired: DataFrame, trajectory: str = "trajectory") -> DataFrame:
     """found(trajectory, path, id, act_proof, ...) with key and block: a record blocks an action once, if the edit itself proves
     it and fired(key) has no earlier block of that record on that target in that trajectory; otherwise it is only shown."""

@@ -23,6 +23,28 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", text.alias("content"))
 
 
+def tracked_files(spark: SparkSession, path: str, tracked: DataFrame) -> DataFrame:
+    """files() of tracked(path), paths below the folder `path`: a row for each, content null also for those that are not there.
+    What is in the folder but not tracked has no row."""
+    there = files(spark, path).select(F.substring_index("path", path.rstrip("/") + "/", -1).alias("path"), "content")
+    return tracked.select("path").distinct().join(there, "path", "left")
+
+
+def payloads(lines: DataFrame) -> DataFrame:
+    """lines(ord, value) of requests as JSON -> (ord, session, folder, path, command, content).
+
+    path is the file or notebook that an edit names, content all that the edit brings, its parts' texts too. What is no
+    object, or has another type than it should, counts as not given; a line without path and command has no row.
+    """
+    v = lines.select("ord", F.try_parse_json("value").alias("v"), "value").where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
+    of = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    told = lambda name: F.when(of(f"tool_input.{name}") != "", of(f"tool_input.{name}"))
+    parts = F.from_json(F.get_json_object("value", "$.tool_input.edits"), "array<string>")
+    brought = F.concat_ws(" ", told("content"), told("new_string"), told("new_source"), F.transform(parts, lambda e: F.get_json_object(e, "$.new_string")))
+    each = v.select("ord", of("session_id").alias("session"), of("cwd").alias("folder"), F.coalesce(told("file_path"), told("notebook_path")).alias("path"), told("command").alias("command"), brought.alias("content"))
+    return each.where("path is not null or command is not null")
+
+
 def json_objects(lines: DataFrame) -> DataFrame:
     """lines(line_no, value) -> (line_no, v) as VARIANT; blank, malformed and non-object lines are passed over."""
     parsed = lines.select("line_no", F.try_parse_json("value").alias("v"))

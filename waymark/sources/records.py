@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import empty_udf, prone_udf, valid_udf
-from ..operators.tables import placed
+from ..operators.tables import placed, running_count
 
 #: The domains of type, severity and status, evidence kinds, and unsupported anchors.
 TYPES = ("deadend", "fence", "landmine")
@@ -130,6 +130,23 @@ def lint(parsed: DataFrame, today: str, symbols: bool = True) -> DataFrame:
     return plain.union(broken).union(bad)
 
 
+def free_names(drafts: DataFrame, taken: DataFrame) -> DataFrame:
+    """drafts(ord, stem, ...) with name: the stem, or the stem and the least number from 2 on that taken(name) and earlier drafts
+    leave free.
+
+    The bare name of every stem is its first draft's, so no other stem's numbers reach it. A draft's place among those of
+    its stem gives its number: the place-th of those that are free.
+    """
+    placed_ = running_count(drafts, ["stem"], "ord", "_place")
+    used = taken.select("name").union(drafts.select(F.col("stem").alias("name"))).distinct()
+    numbered = used.select(F.regexp_replace("name", r"-\d+$", "").alias("stem"), F.regexp_extract("name", r"-(\d+)$", 1).try_cast("long").alias("k")).where("k >= 2")
+    bare = taken.select(F.col("name").alias("stem"), F.lit(1).cast("long").alias("k")).distinct()
+    gone = numbered.union(bare).join(drafts.select("stem").distinct(), "stem", "left_semi").groupBy("stem").agg(F.sort_array(F.collect_set("k")).alias("_gone"))
+    number = F.aggregate(F.coalesce("_gone", F.array().cast("array<bigint>")), F.col("_place") + 1, lambda x, t: F.when(t <= x, x + 1).otherwise(x))
+    named = placed_.join(gone, "stem", "left").withColumn("_number", number)
+    return named.select(*drafts.columns, F.when(F.col("_number") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("_number").cast("string"))).alias("name"))
+
+
 def transition(records: DataFrame, ident: int, status: str, reason: str, date: str) -> DataFrame:
     """The records with one at a new status and a note of the reason. Raises if the id is unknown or has the status."""
     mine = records.where((F.col("id") == ident) & ~F.col("broken")).select("status").limit(1).collect()
