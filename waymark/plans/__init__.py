@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them in catalog."""
 
-from . import catalog, history  # noqa: F401
+from . import catalog, history, stores  # noqa: F401

@@ -25,9 +25,8 @@ ANCHORS = [
     (13, "command", "clown|the ", 0, "low", 0.3, "active"),
     (14, "path", "src4/", 0, "high", 0.9, "archived"),
 ]
-#: Violation patterns by record id, and review dates.
+#: Violation patterns by record id.
 RULES = [(1, "stupid|loser"), (2, "worthless"), (5, "le[ ]la"), (12, "scum")]
-REVIEWS = [(i, "" if i % 3 == 0 else f"2026-{i % 12 + 1:02d}-01") for i in range(1, 15)]
 
 ANCHOR_SCHEMA = "id long, kind string, value string, anchor_ord int, severity string, confidence double, status string"
 

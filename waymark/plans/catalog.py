@@ -134,21 +134,6 @@ def overbroad(spark, sf_dir):
     return health.overbroad(A.anchors(spark), A.files(spark, sf_dir)).select("id", "value", "covered", "n_files", "share")
 
 
-def record_rows(spark):
-    reviews = spark.createDataFrame(A.REVIEWS, "id long, review_after string")
-    return A.anchors(spark).groupBy("id", "severity", "confidence", "status").agg(F.min("value").alias("title")).join(reviews, "id")
-
-
-@query(f"with {RECORDS}, v as (select * from ({A.values(A.REVIEWS)}) v(id, review_after)) select distinct id, review_after from live join v using (id) where review_after <> '' and review_after < '{TODAY}'")
-def review_due(spark, sf_dir):
-    return health.review_due(record_rows(spark), TODAY).select("id", "review_after")
-
-
-@query(f"with {RECORDS} select status, count(distinct id) as n from a group by status")
-def status_counts(spark, sf_dir):
-    return health.status_counts(record_rows(spark))
-
-
 FIRES = "e as (select event_id, user_id as repo, json_extract_string(props, '$.k') as target, event_type as record_id, event_type = 'error' as violated, ts, epoch(ts)::bigint as t from events)"
 STATS = "count(*) filter (not violated) as fired, count(*) filter (violated) as violations, max(ts) as last_fired"
 
