@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import last_before, newest_of, running_count
-from . import scripts
+from . import indented, scripts
 
 #: Largest file whose content is loaded.
 MAX_FILE = 1 << 20
@@ -91,37 +90,17 @@ def definitions(sources: DataFrame) -> DataFrame:
     """Python, JavaScript and TypeScript sources(path, content) -> (path, name, first, last, shingles): every definition with
     its dotted name, lines, and the distinct triples of what it consists of, names and literals with their text.
 
-    Python files that do not parse have none."""
+    An error in a Python file costs no definition; one that holds it is described by its tokens."""
     schema = "path string, name string, first int, last int, shingles array<string>"
 
-    def parts(node: ast.AST) -> Iterator[str]:
-        yield type(node).__name__
-        for field, value in ast.iter_fields(node):
-            for v in value if isinstance(value, list) else [value]:
-                if isinstance(v, ast.AST):
-                    if not isinstance(v, ast.expr_context):
-                        yield from parts(v)
-                elif v is not None or field == "value":
-                    yield f"{field}={str(v)[: scripts.TOKEN_MOST]}"
-
-    def of(node: ast.AST, outer: str) -> Iterator[tuple]:
-        for child in ast.iter_child_nodes(node):
-            inner = outer
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                inner = f"{outer}.{child.name}" if outer else child.name
-                kinds = list(parts(child))
-                grams = {"|".join(kinds[i : i + 3]) for i in range(len(kinds) - 2)} or set(kinds)
-                yield inner, child.lineno, child.end_lineno, sorted(grams)
-            yield from of(child, inner)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                of = indented if path.endswith(".py") else scripts
                 try:
-                    found = of(ast.parse(content or ""), "") if path.endswith(".py") else scripts.definitions(content or "")
-                    rows += [(path, *d) for d in found]
-                except (SyntaxError, ValueError, RecursionError):
+                    rows += [(path, *d) for d in of.definitions(content or "")]
+                except (ValueError, RecursionError):
                     continue
             columns = list(zip(*rows)) or [[], [], [], [], []]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
