@@ -12,9 +12,11 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
+from conftest_rows import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -626,3 +628,50 @@ def test_forward_pass_by_hand():
             logit = sum(gains) / max(len(passage), toxicity.PASSAGE // 2) + model.bias
             best = logit if best is None else max(best, logit)
         assert abs(got - 1 / (1 + math.exp(-(1.5 * best - 0.5)))) < 1e-5, text
+
+
+def plain_audio(samples):
+    """log-mel frames and hysteresis segments of 8-bit samples, sum by sum in double precision."""
+    x = (np.frombuffer(samples, np.uint8).astype(float) - 128) / 128
+    taps = [np.sinc((i - 7.5) / 2) * (0.5 - 0.5 * math.cos(2 * math.pi * (i + 1) / 17)) for i in range(16)]
+    taps = [t / sum(taps) for t in taps]
+    slow = [sum(t * x[2 * j + k - 8] for k, t in enumerate(taps) if 0 <= 2 * j + k - 8 < len(x)) for j in range(-(-len(x) // 2))]
+    slow += [0.0] * (256 - len(slow))
+    mel, back = (lambda f: 2595 * math.log10(1 + f / 700)), (lambda m: 700 * (10 ** (m / 2595) - 1))
+    edges = [back(mel(2000) * i / 17) for i in range(18)]
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 255) for i in range(256)]
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    frames = []
+    for at in range(0, len(slow) - 255, 128):
+        power = np.abs(wave @ (np.array(slow[at : at + 256]) * window)) ** 2
+        frames.append([math.log(sum(p * max(0.0, min((f * 4000 / 256 - a) / (b - a), (c - f * 4000 / 256) / (c - b))) for f, p in enumerate(power)) + 1e-6) for a, b, c in zip(edges, edges[1:], edges[2:])])
+    energy = [math.log(sum(math.exp(v) for v in row)) for row in frames]
+    middle, spans, open_at = float(np.median(energy)), [], None
+    for i, e in enumerate([*energy, -math.inf]):
+        if open_at is None and e >= middle + 0.5:
+            open_at = i
+        elif open_at is not None and e < middle + 0.2:
+            spans.append((open_at, i))
+            open_at = None
+    return np.array(frames), spans
+
+
+def test_audio_features_equal_plain_sums(spark):
+    rng = np.random.default_rng(8)
+    texts = ["", "short", "abc " * 60, "".join(chr(int(c)) for c in rng.integers(32, 127, 1500)) + " " * 900 + "".join(chr(int(c)) for c in rng.integers(32, 127, 700)), prose(5, 500)]
+    noise = ["".join(chr(int(c)) for c in rng.integers(32, 127, 900)) for _ in range(2)]
+    texts.append("a" * 4000 + noise[0] + "a" * 4000 + noise[1] + "a" * 2000)
+    rows = {r.doc_id: r for r in media.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    strings = {r.doc_id: r.feature for r in media.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    several = 0
+    for i, t in enumerate(texts):
+        frames, spans = plain_audio(media.payload(t.encode()))
+        blocks = pa.ipc.open_stream(bytes(rows[i].tensors)).read_all()
+        got = np.concatenate([c.to_numpy_ndarray().reshape(-1, media.MELS) for c in blocks.column("log_mel").chunks])
+        assert rows[i].n_frames == len(frames) and np.allclose(got[: len(frames)], frames, atol=2e-3)
+        assert np.array_equal(got[len(frames) :], np.repeat(got[len(frames) - 1 : len(frames)], len(got) - len(frames), axis=0))
+        assert [(s.start, s.end) for s in rows[i].segments_ms] == [(32.0 * a, 32.0 * b) for a, b in spans]
+        longest = max([32 * (b - a) for a, b in spans], default=0)
+        assert strings[i] == f"{len(frames)}:{len(spans)}:{longest}:{hashlib.sha256(bytes(rows[i].tensors)).hexdigest()}"
+        several += len(spans)
+    assert several >= 2
