@@ -230,3 +230,14 @@ def showing_log(spark, sf_dir):
     shown = e.select(F.date_trunc("minute", "ts").cast("string").alias("ts"), F.col("user_id").cast("string").alias("repo"), F.lit("t").alias("target"), F.col("event_id").alias("id"), w.alias("pos"), F.lit(True).alias("full"))
     lines = appends.showing_lines(shown, "x").select(F.from_json("value", "ts string, repo string, scar_ids array<long>, count int").alias("v"))
     return lines.select("v.repo", "v.count").groupBy("repo").agg(F.count("*").alias("showings"), F.sum("count").alias("ids"))
+
+
+@query("""select 'f' || doc_id || case when doc_id % 3 = 2 then '.js' else '.py' end as path, unnest(['F' || doc_id, 'F' || doc_id || '.bar', 'baz']) as name, unnest(case doc_id % 3 when 2 then [1, 2, 4] else [1, 2, 5] end) as first from documents""")
+def definitions_in_broken_files(spark, sf_dir):
+    """Python, every other file with an error in its last definition, and JavaScript."""
+    i = F.col("doc_id")
+    sound = joined("'class F", "doc_id", "':\n    def bar(self):\n        return ", "doc_id", "'\n\ndef baz(x):\n    return [y for y in x]\n")
+    broken = joined("'class F", "doc_id", "':\n    def bar(self):\n        return ", "doc_id", "'\n\ndef baz(x):\n    return (y = = x\n")
+    script = joined("'class F", "doc_id", "' {\n  bar() { return ", "doc_id", "' }\n}\nfunction baz(x) { return x }\n")
+    path = joined("'f", "doc_id", F.when(i % 3 == 2, ".js").otherwise(".py"))
+    return logs.definitions(doc(spark, sf_dir).select(path.alias("path"), F.when(i % 3 == 0, sound).when(i % 3 == 1, broken).otherwise(script).alias("content"))).select("path", "name", "first")
