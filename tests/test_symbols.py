@@ -11,12 +11,12 @@ def frame(spark, rows, schema):
 ANCHOR = "id long, source string, severity string, confidence double, status string, kind string, value string, anchor_ord int"
 SCRIPT = """import {x} from "y";
 // function no() {}
-export const Foo = () => {
-    return compute();
+export const Lantern = (oil) => {
+    while (oil > 0) { oil -= burn(oil) }
 };
-const a = 1, b: Map<string, number> = new Map();
-let c = 2
-let d = a < b ? 'const e = 1' : /const [f]{2} = "/.test(c)
+const wick = "w".repeat(3), shades: Map<string, number> = new Map();
+let hours = 2
+let glow = wick < hours ? 'const soot = 1' : /const [f]{2} = "/.test(hours)
 for (const g of []) { if (g) { h() } }
 export default async function run<T>(p: {q: T}): Promise<void> {
     function inner() { return 1; }
@@ -42,9 +42,9 @@ def names(text):
 
 
 def test_script_definitions():
-    assert names(SCRIPT) == ["Foo", "a", "b", "c", "d", "run", "run.inner", "Box", "Box.open", "Box.#hidden", "area", "obj", "obj.go", "u"]
+    assert names(SCRIPT) == ["Lantern", "wick", "shades", "hours", "glow", "run", "run.inner", "Box", "Box.open", "Box.#hidden", "area", "obj", "obj.go", "u"]
     lines = {d[0]: d[1:3] for d in scripts.definitions(SCRIPT)}
-    assert (lines["Foo"], lines["run"], lines["c"], lines["u"]) == ((3, 5), (10, 12), (7, 7), (22, 22))
+    assert (lines["Lantern"], lines["run"], lines["hours"], lines["u"]) == ((3, 5), (10, 12), (7, 7), (22, 22))
 
 
 def test_odd_scripts():
@@ -66,9 +66,9 @@ def test_shingles_tell_bodies_of_one_shape_apart(spark):
 
 
 def test_what_an_anchor_means(spark):
-    code = "class A:\n    class M:\n        def foo(self):\n            return 1\nclass B:\n    def foo(self):\n        return 2\n"
-    d = logs.definitions(frame(spark, [("a.py", code), ("b.tsx", "export const Foo = () => 1;"), ("c.txt", "def foo(): pass")], "path string, content string"))
-    asked = {1: "foo", 2: "A.foo", 3: "a.py::B.foo", 4: "b.tsx::foo", 5: "Foo", 6: "A.B", 7: "::M.foo", 8: "fo.", 9: "", 10: "[", 11: "M.A.foo"}
+    code = "class Mill:\n    class Wheel:\n        def turn(self, water):\n            return water * 2\nclass Lathe:\n    def turn(self):\n        return None\n"
+    d = logs.definitions(frame(spark, [("a.py", code), ("b.tsx", "export const Turn = () => 1;"), ("c.txt", "def turn(): pass")], "path string, content string"))
+    asked = {1: "turn", 2: "Mill.turn", 3: "a.py::Lathe.turn", 4: "b.tsx::turn", 5: "Turn", 6: "Mill.Lathe", 7: "::Wheel.turn", 8: "tu.", 9: "", 10: "[", 11: "Wheel.Mill.turn"}
     a = frame(spark, [symbol(*x) for x in asked.items()], ANCHOR)
     files = frame(spark, [(0, "a.py", code), (1, "b.tsx", "")], "ord long, path string, content string")
     got = {(r.id, r.path) for r in matching.signals(a, files, symbols=d.select("path", "name")).collect()}
@@ -78,8 +78,8 @@ def test_what_an_anchor_means(spark):
 
 def test_drift_refuses_names_of_several(spark):
     src = lambda text: logs.definitions(frame(spark, [("a.py", text)], "path string, content string"))
-    two = "class A:\n    def foo(self):\n        return {}\nclass B:\n    def foo(self):\n        return 2\n"
-    asked = frame(spark, [(1, "symbol", "foo", "a.py"), (2, "symbol", "A.foo", "a.py"), (3, "symbol", "B.foo", "a.py"), (4, "symbol", "A.foo", "b.py")], "id long, kind string, value string, path string")
+    two = "class Mill:\n    def turn(self, water):\n        return water * {}\nclass Lathe:\n    def turn(self):\n        return None\n"
+    asked = frame(spark, [(1, "symbol", "turn", "a.py"), (2, "symbol", "Mill.turn", "a.py"), (3, "symbol", "Lathe.turn", "a.py"), (4, "symbol", "Mill.turn", "b.py")], "id long, kind string, value string, path string")
     was, now = (reanchor.symbol_prints(asked, src(two.replace("{}", x))) for x in ("1", "7"))
     assert {r.id for r in was.collect()} == {2, 3}
-    assert [(r.id, r.name) for r in reanchor.symbol_drift(was, now).collect()] == [(2, "A.foo")]
+    assert [(r.id, r.name) for r in reanchor.symbol_drift(was, now).collect()] == [(2, "Mill.turn")]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import REVERT_SPEECH, USER_NEGATION
@@ -27,7 +27,7 @@ def never_fired(records: DataFrame, fires: DataFrame) -> DataFrame:
 
 def advisories(stats: DataFrame, least: int = 20, share: float = 0.5) -> DataFrame:
     """Records that make up more than `share` of more than `least` firings."""
-    whole = stats.withColumn("total", F.sum("fired").over(Window.partitionBy()))
+    whole = stats.crossJoin(F.broadcast(stats.agg(F.sum("fired").alias("total"))))
     return whole.where((F.col("total") > least) & (F.col("fired") / F.col("total") > share)).withColumn("share", F.col("fired") / F.col("total"))
 
 
