@@ -92,3 +92,15 @@ def test_edits_without_a_time_are_always_full(spark, tmp_path):
     a = anchors(spark)
     got = run(spark, tmp_path, "ord long, path string, content string", [rows], lambda s, out, cp: streaming.on_edits(s, a, out, cp))
     assert sorted((r.ord, r.full) for r in got) == list(zip(range(3), itertools.repeat(True)))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4, 5, 6, 7), (3, 1, 0, 2, 5, 4, 7, 6), (7, 6, 5, 4, 3, 2, 1, 0)])
+@pytest.mark.parametrize("size", [3, 8])
+def test_showings_of_edits_in_any_order(spark, tmp_path, order, size):
+    a, rows = anchors(spark), edits()
+    mixed = [rows[i] for i in order]
+    last = [(99, "end", "", "T", 200 * H)]  # carries the watermark past all others
+    batches = [mixed[i : i + size] for i in range(0, len(mixed), size)] + [last, [(100, "end", "", "T", 201 * H)]]
+    got = run(spark, tmp_path, EDITS, batches, lambda s, out, cp: streaming.on_edits(s, a, out, cp, wait="30 hours"))
+    assert {r.ord: r.full for r in got if r.id == 2} == fold(rows) and len(got) == len({(r.ord, r.id) for r in got})
+    assert {(r.ord, r.id): (r.pos, r.matched_by) for r in got if r.ord == 0} == {(0, 2): (1, ["content_pattern"]), (0, 1): (2, ["path"]), (0, 5): (3, ["path_pattern"])}

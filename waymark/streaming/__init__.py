@@ -124,6 +124,41 @@ class _Showings(StatefulProcessor):
         pass
 
 
+#: What _signals() makes of an event, and so what waits for its time.
+SIGNAL = "id long, source string, path string, name string, rank double, at int, ord long, t long"
+
+
+class _InTime(_Showings):
+    """_Showings that waits: an event is shown when the watermark has passed it, in order of time however events came, and
+    what was shown in full is forgotten when it no longer counts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle, self.waiting = handle, handle.getListState("waiting", SIGNAL)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, times = _names(SIGNAL), set()
+        for part in rows:
+            times |= set(part["t"].tolist())
+            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in row) for row in part[names].astype(object).itertuples(index=False)])
+        for t in times:  # one that is late already runs out at once
+            self.handle.registerTimer(int(t) * 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        names = _names(SIGNAL)
+        held = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        due = [row for row in held if row[-1] <= now]
+        if due:
+            later = [row for row in held if row[-1] > now]
+            self.waiting.put(later) if later else self.waiting.clear()
+            yield from super().handleInputRows(key, iter([pd.DataFrame(due, columns=names)]), timerValues)
+            self.handle.registerTimer((now + self.seconds + 1) * 1000)
+        elif self.state.exists() and all(now - t > self.seconds for t in _remembered(self.state).values()):
+            self.state.clear()
+
+
 class _Blocks(StatefulProcessor):
     """Keeps for an owner which keys have blocked, the newest `most` of those that have not run out."""
 
@@ -168,15 +203,22 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def showings(edits: DataFrame, anchors: DataFrame, k: int = 3, seconds: int = COOLDOWN) -> DataFrame:
+def showings(edits: DataFrame, anchors: DataFrame, k: int = 3, seconds: int = COOLDOWN, wait: str | None = None) -> DataFrame:
     """A stream of edits(ord, path, content[, t]) -> the k best records for each, and whether each is shown in full.
 
     full is false, and reason says why, if the edit itself proves nothing, or if the record was shown in full on that path at
     most `seconds` before; t in seconds, without it nothing is remembered. A path's last full showings are state, so how
     the edits fall into batches makes no difference as long as a path's edits come in order; inside a batch they are put
     in order. Records are joined as a static side. It needs the RocksDB state store, as cooldown() does.
+
+    With wait, a time such as "10 minutes", edits may come in any order within it: each is shown when the watermark, that
+    far behind the newest t, has passed it, by event-time timers, which also clear a path's state when nothing in it counts
+    any longer. An edit that is later than that is shown at the next batch, after those of its time.
     """
-    return _signals(edits, anchors).groupBy("path").transformWithStateInPandas(_Showings(k, seconds, _names(SHOWN)), SHOWN, "Append", "None")
+    if wait:
+        edits = edits.withColumn("_ts", F.timestamp_seconds(F.col("t"))).withWatermark("_ts", wait)
+    processor = (_InTime if wait else _Showings)(k, seconds, _names(SHOWN))
+    return _signals(edits, anchors).groupBy("path").transformWithStateInPandas(processor, SHOWN, "Append", "EventTime" if wait else "None")
 
 
 def command_showings(commands: DataFrame, anchors: DataFrame, k: int = 3, seconds: int = COOLDOWN) -> DataFrame:
@@ -218,10 +260,10 @@ def _start(rows: DataFrame, sink: str, checkpoint: str):
     return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def on_edits(edits: DataFrame, anchors: DataFrame, sink: str, checkpoint: str, k: int = 3, seconds: int = COOLDOWN, rules: DataFrame | None = None, violations_sink: str | None = None) -> _All:
+def on_edits(edits: DataFrame, anchors: DataFrame, sink: str, checkpoint: str, k: int = 3, seconds: int = COOLDOWN, rules: DataFrame | None = None, violations_sink: str | None = None, wait: str | None = None) -> _All:
     """Starts a query that logs showings() in the Parquet folder `sink`, and with rules(id, violation) one that logs in
     violations_sink what the edits violate, batch by batch: that has no state, and a batch run again replaces its folder."""
-    started = [_start(showings(edits, anchors, k, seconds), sink, checkpoint)]
+    started = [_start(showings(edits, anchors, k, seconds, wait), sink, checkpoint)]
     if rules is not None and violations_sink:
 
         def write(batch: DataFrame, number: int) -> None:
