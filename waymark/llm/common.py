@@ -13,10 +13,14 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
+#: Spark's setting for the bytes of an Arrow batch, its default, and what operators take in place of that default: documents are
+#: long, and a task holds several copies of a batch, in the JVM and in Python.
+BATCH_BYTES, BATCH_DEFAULT, BATCH_MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
 #: The six characters between words, for translate().
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -74,7 +78,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], count: str
     return rows.join(hot, on).union(rows.join(hot.select(*on), on, "left_anti").join(counted.join(hot.select(*on), on, "left_anti"), on))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `most` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -112,3 +116,11 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
             trim(0)
 
     return wrapped
+
+
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow() of a released() function, in batches of BATCH_MOST bytes where the session has Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES).rstrip("b") == str(BATCH_DEFAULT):
+        conf.set(BATCH_BYTES, str(BATCH_MOST))
+    return df.mapInArrow(released(run), schema)

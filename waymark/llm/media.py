@@ -160,7 +160,7 @@ def features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4_000_000):
             rows: dict[str, list] = {f: [] for f in fields}
             for text in as_bytes(b.column("text")):
                 media = to_wav(payload(text))

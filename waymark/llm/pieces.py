@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices
+from .common import in_tasks, slices
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -248,11 +248,11 @@ def encode(docs: DataFrame, model_file: str, normaliser: str | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(data.value, normaliser)
         ints = lambda rows: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
-        for b in slices(batches, "text", 2_000_000):
+        for b in slices(batches, "text", 500_000):
             ids, starts, ends = model.encode(b.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ints(ids), ints(starts), ints(ends), pa.array(decode_all(model, ids), pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return in_tasks(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model_file: str, normaliser: str | None = None) -> DataFrame:

@@ -137,7 +137,7 @@ def views(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, bytes] = {}
         pack = struct.Struct("<4H").pack
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4_000_000):
             texts, bags = b.column("text").fill_null("").to_pylist(), []
             for words in (t.split() for t in texts):
                 if len(memory) > REMEMBERED:
@@ -162,7 +162,7 @@ def _mapped(seen: DataFrame, model: Model, names: list[str], of: str) -> DataFra
     shared = seen.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "words"):
+        for b in slices(batches, "words", 4_000_000):
             found = shared.value.logits(*_rows(b))
             if of == "scores":
                 found = shared.value.scores(*found)
@@ -211,7 +211,7 @@ def sample(seen: DataFrame, chosen: DataFrame, words_each: int) -> tuple[np.ndar
     the same id one counts."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "words"):
+        for b in slices(batches, "words", 4_000_000):
             # a word has four features of two bytes
             bags = [np.frombuffer(x, "<u8") for x in b.column("words").to_pylist()]
             few = [(w[np.arange(words_each) * len(w) // words_each] if len(w) > words_each else w).tobytes() for w in bags]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices, stash
+from .common import in_tasks, slices, stash
 
 #: The base kinds in their order, and the least length of group 2 or of the match.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -303,7 +303,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 others.append(mine)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bases, base_type), pa.array(others, kind)], ["doc_id", "base", "candidates"])
 
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPANS}, candidates {CANDIDATES}")
+    return in_tasks(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPANS}, candidates {CANDIDATES}")
 
 
 def cutoffs(scanned: DataFrame, rate: float = RATE) -> list[int]:
@@ -381,4 +381,4 @@ def redact(docs: DataFrame, rate: float = RATE) -> DataFrame:
                 new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, b.column("n_chars").to_pylist())], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for i, c in enumerate(fields)], fields)
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return in_tasks(docs, run, docs.schema)

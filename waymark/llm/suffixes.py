@@ -113,7 +113,7 @@ def _packed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, in
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of each buffer, each kind once; twice says that it was met again. What else is of that kind is removed:
     rows without key, neighbours joined."""
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", 4_000_000):
         for data, held in _packed(as_bytes(b.column("text"))):
             first, last, a, key = anchors(data, [(s, e) for _, _, s, e in held])
             if not len(first):
@@ -257,7 +257,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", 4_000_000):
         rows = []
         for text, spans in zip(as_bytes(b.column("text")), b.column("spans").to_pylist()):
             kept, at, removed, runs = [], 0, 0, 0

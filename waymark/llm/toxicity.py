@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, slices
+from .common import in_tasks, slices
 
 TOKEN = re.compile(r"\w+")
 #: Rows of the hashed table, their width, and lengths of the n-grams.
@@ -254,8 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, see
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "toxic", "passages"])
 
     both = some(known.where((part > 1) & (F.col("toxic") == 1)), sample[1]).union(some(known.where((part > 1) & (F.col("toxic") == 0)), sample[0]))
-    learnt = texts.join(F.broadcast(both), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
-    rows = learnt.mapInArrow(released(cut), "doc_id long, toxic int, passages array<string>").collect()
+    learnt = texts.join(F.broadcast(both), "doc_id").select("doc_id", "toxic", "text")
+    rows = in_tasks(learnt, cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, passages array<string>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["passages"]))
     rows = [r for r in rows if r["passages"]]
     one: dict[str, str] = {}  # of equal words one copy
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Model, logit: bool = False) -> DataFrame:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(call(words, b.column("text").fill_null("").to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_tasks(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -298,4 +298,4 @@ def reject(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
         for b in slices(batches, "text"):
             yield b.filter(pa.array([s < at for s in m.scores(words, b.column("text").fill_null("").to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return in_tasks(docs, run, docs.schema)
