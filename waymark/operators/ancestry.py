@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .tables import kept, last_before
 
-CONTENT = "content string"
-
 
 def first_parents(parents: DataFrame) -> DataFrame:
     """(repo, sha, parent): the first parent of every commit of parents(repo, sha, nth, parent), null if the table has no
@@ -82,7 +80,7 @@ def reachable(parents: DataFrame, heads: DataFrame, shallow: DataFrame | None =
     found = placed.join(upto, ["repo", "line"], "left").withColumn("reachable", F.coalesce(F.col("pos") <= F.col("upto"), F.lit(False)))
     if shallow is not None:
         cut = shallow.select("repo", F.lit(True).alias("_cut")).distinct()
-        found = found.join(F.broadcast(cut), "repo", "left").withColumn("reachable", F.when(F.col("_cut").isNull(), F.col("reachable")))
+        found = found.join(cut, "repo", "left").withColumn("reachable", F.when(F.col("_cut").isNull(), F.col("reachable")))
     return found.select("repo", "sha", "reachable")
 
 

@@ -40,6 +40,7 @@ def reachable_commits(spark, sf_dir):
     return ancestry.reachable(*commit_graph(spark, sf_dir))
 
 
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 EVIDENCE = "v as (select c_custkey as id, n, p.repo, substr(md5((c_custkey * 8 + n)::varchar), 1, 7 + c_custkey % 9) as sha from customer, (values (0), (1), (2)) x(n), (select distinct o_orderpriority as repo from orders) p)"
 STATES = f"""with recursive {REACHED}, {EVIDENCE},
 j as (select v.id, v.n, v.repo, v.sha, min(m.sha) as found, count(m.sha) as names, bool_or(m.reachable) as ok from v left join m on m.repo = v.repo and substr(m.sha, 1, 7) = substr(v.sha, 1, 7) and starts_with(m.sha, v.sha) group by all),
@@ -47,8 +48,8 @@ s as (select id, n, repo, sha, case when repo = '5-LOW' then 'unknown' when name
 
 
 def customer_evidence(spark, sf_dir):
-    repos = A.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("repo")).distinct()
-    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("n")).crossJoin(F.broadcast(repos))
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("n"))
+    c = c.withColumn("repo", F.explode(F.array(*[F.lit(x) for x in PRIORITIES])))
     return c.select("id", "n", "repo", F.substring(sha(F.col("id") * 8 + F.col("n")), F.lit(1), (F.col("id") % 9 + 7).cast("int")).alias("sha"))
 
 
@@ -64,8 +65,7 @@ def evidence_states(spark, sf_dir):
 
 @query(f"""{STATES} select id, arg_min(repo, p) as repo, arg_min(f, p) as sha from (select id, repo, "full" as f, n as p from s where state = 'reachable') group by id""")
 def first_evidence(spark, sf_dir):
-    one = customer_states(spark, sf_dir)
-    return ancestry.first_evidence(one)
+    return ancestry.first_evidence(customer_states(spark, sf_dir))
 
 
 @query(f"""with recursive {GRAPH}, v as (select repo, sha, case when k % 5 <> 0 then md5('b' || k) end as blob from o where k % 4 = 0 and k // 4 % 2 = 0),
