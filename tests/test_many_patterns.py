@@ -86,3 +86,14 @@ def test_more_patterns_than_the_driver_takes_at_a_time(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"word{i:03d}") for i in range(40)], SCHEMA)
     targets = spark.range(40).select(F.col("id").alias("ord"), F.concat(F.lit("a WORD"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("content"))
     assert {(x.id, x.ord) for x in matching.rows_hit(rows, targets, "content").collect()} == {(i, i) for i in range(40)}
+
+
+def test_lines_without_words_are_found_in_one_pass(spark):
+    from waymark.operators import reanchor
+
+    lines = ["{ };  //--", "=> [[ ]]", "Σ", "ab {", "long_enough_word here now"]
+    texts = ["x { };  //-- y", "=> [[ ]]", "ΑΣ", "Σα", "AB {", "cab {{", "z" * 70_000 + "=> [[ ]]", "a long_enough_word here now"]
+    patches = spark.createDataFrame([(i, f"s{i}", f"f{i}", "+", t) for i, t in enumerate(texts)], "seq long, sha string, file string, sign string, text string")
+    asked = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {(r.id, r.file) for r in reanchor.pickaxe(patches, asked, patches.selectExpr("file as path")).collect()}
+    assert got == {(i, f"f{k}") for i, line in enumerate(lines) for k, t in enumerate(texts) if line in t}

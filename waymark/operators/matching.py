@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -88,6 +88,11 @@ def _hit_by(values: list[str], patterns: DataFrame, targets: DataFrame, text: st
 
 def _holding(targets: DataFrame, text: str, held: list[tuple[str, int]]) -> DataFrame:
     """targets with _hits: the numbers of held(fragment, number) of which the text's first MAX_SCAN characters hold a fragment."""
+    return holding(targets, text, held, lambda t: folded(t[:MAX_SCAN]))
+
+
+def holding(targets: DataFrame, text: str, held: list[tuple[str, int]], read: Callable[[str], str] = str) -> DataFrame:
+    """targets with _hits: the numbers of held(fragment, number), fragments not empty, that read(text) holds, in one pass."""
     sent = targets.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +104,7 @@ def _holding(targets: DataFrame, text: str, held: list[tuple[str, int]]) -> Data
             automaton.add_word(fragment, numbers)
         automaton.make_automaton()
         for b in batches:
-            hits = [sorted({i for _, numbers in automaton.iter(folded(t[:MAX_SCAN])) for i in numbers}) if t else [] for t in b.column(text).to_pylist()]
+            hits = [sorted({i for _, numbers in automaton.iter(read(t)) for i in numbers}) if t and by else [] for t in b.column(text).to_pylist()]
             yield b.append_column("_hits", pa.array(hits, pa.list_(pa.int32())))
 
     return targets.mapInArrow(run, StructType([*targets.schema.fields, StructField("_hits", ArrayType(IntegerType()))]))
