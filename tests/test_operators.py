@@ -198,6 +198,20 @@ def test_fold_against_a_plain_loop(spark, call, seconds, again):
     assert got.columns == ["k", "ord", "stands"] and {x.ord: x.stands for x in got.collect()} == want
 
 
+def test_fold_marks_one_of_equal_events(spark):
+    rows = [("k", 1, 0), ("k", 1, 0), ("k", 1, 50), ("k", 2, 100), ("k", 2, 100)]
+    got = activity.block_once(frame(spark, rows, "k string, ord long, t long"), ["k"], ["ord"], 100).collect()
+    assert sorted((r.ord, r.stands) for r in got) == [(1, False), (1, False), (1, True), (2, False), (2, True)]
+
+
+def test_seconds_of_events_are_the_nearest(spark, tmp_path):
+    times = ["2024-01-01 00:00:00.4", "2024-01-01 00:00:00.5", "2024-01-01 00:00:01.5", "2024-01-01 00:00:01.7"]
+    e = frame(spark, [(i, 1, "view", '{"k": 1}', t) for i, t in enumerate(times)], "event_id long, user_id long, event_type string, props string, at string")
+    e.withColumn("ts", F.expr("cast(at as timestamp)")).drop("at").write.parquet(f"{tmp_path}/events.parquet")
+    rows = A.fires(spark, str(tmp_path)).withColumn("base", F.expr("unix_timestamp(timestamp'2024-01-01 00:00:00')")).collect()
+    assert sorted((r.event_id, r.t - r.base) for r in rows) == [(0, 0), (1, 0), (2, 2), (3, 2)]
+
+
 def test_stream_keeps_state_between_batches(spark, tmp_path):
     from waymark import streaming
 

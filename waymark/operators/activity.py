@@ -42,8 +42,8 @@ def _fold(events: DataFrame, keys: list[str], order: list[str], seconds: int, ag
 
     What an event does depends on the last event that stood, not on the last event, so this is a fold in order. Only the
     first event of a second can stand, so the fold passes over a key's different seconds, which Spark sorts and hands on
-    batch by batch: a task remembers one time, never a key's events. Events alike in keys and order are marked alike;
-    without a time none stands. again: an event exactly `seconds` later still waits.
+    batch by batch: a task remembers one time, never a key's events. Of events alike in keys, order and time one stands;
+    without a time none does. again: an event exactly `seconds` later still waits.
     """
     firsts = events.where("t is not null").groupBy(*keys, "t").agg(F.min(F.struct(*order)).alias("_first"))
 
@@ -60,10 +60,12 @@ def _fold(events: DataFrame, keys: list[str], order: list[str], seconds: int, ag
             yield b.take(pa.array(hits, pa.int64()))
 
     standing = firsts.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(stand, firsts.schema)
-    marks = standing.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_first.{c}").alias(f"_first_{c}") for c in order], F.lit(True).alias("_stands"))
-    pairs = [(k, f"_{k}") for k in keys] + [(c, f"_first_{c}") for c in order]
+    marks = standing.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("t").alias("_t"), *[F.col(f"_first.{c}").alias(f"_first_{c}") for c in order], F.lit(True).alias("_stands"))
+    pairs = [(k, f"_{k}") for k in keys] + [("t", "_t")] + [(c, f"_first_{c}") for c in order]
     same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
-    return events.join(marks, same & events.t.isNotNull(), "left").select(*keys, *order, F.coalesce("_stands", F.lit(False)).alias("stands"))
+    different = events.groupBy(*keys, "t", *order).agg(F.count("*").alias("_n"))
+    each = different.join(marks, same, "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return each.select(*keys, *order, (F.coalesce("_stands", F.lit(False)) & (F.col("_i") == 1)).alias("stands"))
 
 
 def cooldown(events: DataFrame, keys: list[str], order: list[str], seconds: int = COOLDOWN) -> DataFrame:
