@@ -198,6 +198,15 @@ def test_fold_against_a_plain_loop(spark, call, seconds, again):
     assert got.columns == ["k", "ord", "stands"] and {x.ord: x.stands for x in got.collect()} == want
 
 
+def test_liveness_asks_each_value_once(spark):
+    a = frame(spark, [anchor(i, "path", "src/") for i in range(300)] + [anchor(i, "pattern", "fence[s]") for i in range(300)] + [anchor(300, "pattern", "records/300")], ANCHOR)
+    f = files(spark, *[(f"src/{i}", "two fences") for i in range(300)], ("records/300.md", ""))
+    live = health.anchor_liveness(a, f)
+    assert {(r.id, r.kind) for r in live.where("not live").collect()} == {(300, "pattern")} and live.count() == 601
+    values = matching.path_values(a, f.select("path"))
+    assert [tuple(r) for r in values.collect()] == [("path", "src/")]
+
+
 def test_fold_marks_one_of_equal_events(spark):
     rows = [("k", 1, 0), ("k", 1, 0), ("k", 1, 50), ("k", 2, 100), ("k", 2, 100)]
     got = activity.block_once(frame(spark, rows, "k string, ord long, t long"), ["k"], ["ord"], 100).collect()

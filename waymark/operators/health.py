@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.records import anchors as anchors_of
-from .matching import FIRING, firing, path_pairs, pattern_pairs, symbol_pairs
+from .matching import FIRING, firing, path_pairs, path_values, pattern_pairs, symbol_pairs
 from .tables import placed
 
 
@@ -15,14 +15,16 @@ def anchor_liveness(anchors: DataFrame, files: DataFrame, own_file: bool = True)
 
     With own_file a pattern's hits in its record's own file do not count. files(path, content), content null if not loaded.
     """
-    key = ["id", "source", "kind", "value"]
-    slim = files.select("path")
-    hits = path_pairs(anchors, slim).select(*key)
-    for text, side in (("path", slim), ("content", files.where("content <> ''"))):
-        found = pattern_pairs(anchors, side, text)
-        hits = hits.union((found.where("path <> source") if own_file else found).select(*key))
     kinds = anchors.where(F.col("kind").isin("path", "pattern"))
-    return kinds.join(hits.distinct().withColumn("live", F.lit(True)), key, "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    # What an anchor hits depends on its value; of a value's hits two paths say whether one is not the record's own file.
+    different = kinds.select("kind", "value").distinct()
+    slim = files.select("path")
+    hits = [pattern_pairs(different, side, text).select("kind", "value", "path") for text, side in (("path", slim), ("content", files.where("content <> ''")))]
+    found = hits[0].union(hits[1]).groupBy("kind", "value").agg(F.count("*").alias("_n"), F.min("path").alias("_first"), F.max("path").alias("_last"))
+    other = (F.col("_first") != F.col("source")) | (F.col("_last") != F.col("source")) if own_file else F.col("_n") > 0
+    covered = path_values(different, slim).withColumn("_covers", F.lit(True))
+    judged = kinds.join(found, ["kind", "value"], "left").join(covered, ["kind", "value"], "left")
+    return judged.select(*anchors.columns, F.coalesce("_covers", other, F.lit(False)).alias("live"))
 
 
 def record_liveness(anchors: DataFrame, files: DataFrame, own_file: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import empty_udf, prone_udf, valid_udf
-from ..operators.tables import placed, running_count
+from ..operators.tables import kept, placed, running_count
 
 #: The domains of type, severity and status, evidence kinds, and unsupported anchors.
 TYPES = ("deadend", "fence", "landmine")
@@ -159,6 +159,9 @@ def transition(records: DataFrame, ident: int, status: str, reason: str, date: s
 
 def promote(candidates: DataFrame, records: DataFrame, reviewer: str, today: str) -> DataFrame:
     """Candidates without lint errors, active, numbered on from the greatest id, with the reviewer among the authors."""
+    same = records is candidates
+    candidates = kept(candidates)  # each rule of lint() reads them again
+    records = candidates if same else records
     bad = lint(candidates, today).where("level = 'error'").select("source").distinct()
     top = records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     known = F.exists("authors", lambda a: F.lower(a) == reviewer.lower())
