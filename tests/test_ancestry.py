@@ -108,7 +108,7 @@ def test_last_before_equals_a_search(spark, width):
 def test_size_estimates_do_not_grow_with_rounds(spark):
     rows = [("a", f"m{i:03d}", 0, f"m{i - 1:03d}" if i else None) for i in range(40)]
     placed = ancestry.lines(spark.createDataFrame(rows, PARENTS))
-    assert int(placed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 20
+    assert int(str(placed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
 
 
 def test_nothing_of_empty_tables(spark):
