@@ -572,6 +572,24 @@ def test_near_copies_leave_one(spark, monkeypatch, small):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([*want, None, 3])
 
 
+def test_a_short_text_in_a_key_hides_no_pair_of_longer_ones(spark):
+    sets = {1: range(60), 2: range(100), 3: range(2, 102)}
+    rows = [(i, i, i, 0, len(x), [7], list(x)) for i, x in sets.items()]
+    seen = spark.createDataFrame(rows, "doc_id long, row long, sid long, fp long, n int, keys array<long>, found array<long>")
+    assert {(r.sid, r.label) for r in near_copies.groups(seen).collect()} == {(2, 2), (3, 2)}
+
+
+def test_settled_keys_are_left_out_of_later_rounds(spark):
+    """Key 1 is one group, of key 2 each member outside the largest group was a hub, in key 3 one still waits."""
+    keys = {1: {1: True, 2: False, 3: False}, 2: {1: False, 2: False, 4: True}, 3: {1: False, 2: False, 4: True, 5: False}}
+    rows = [(k, i, i, False, True, 100) for k, x in keys.items() for i in x]
+    members = spark.createDataFrame(rows, "key long, sid long, label long, was boolean, waiting boolean, size long")
+    hubs = spark.createDataFrame([(k, i) for k, x in keys.items() for i, hub in x.items() if hub], "key long, hub long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, label long")
+    left = near_copies.unsettled(members, hubs, labels).collect()
+    assert {(r.key, r.sid, r.label, r.was, r.waiting) for r in left} == {(3, 1, 1, False, False), (3, 2, 1, False, False), (3, 4, 4, True, False), (3, 5, 5, False, True)}
+
+
 def test_phrases_with_any_signs_behind_them_are_judged(spark):
     signs = ["", *".,;:!?)"]
     ends = [a + b + c for a in signs for b in signs for c in ("", ".", "x")]
