@@ -579,6 +579,25 @@ def test_a_short_text_in_a_key_hides_no_pair_of_longer_ones(spark):
     assert {(r.sid, r.label) for r in near_copies.groups(seen).collect()} == {(2, 2), (3, 2)}
 
 
+def test_whole_sets_are_chosen_without_a_shuffle(spark, monkeypatch):
+    """Repeated rows of a document give one set, and no exchange carries sets but the one that verifies pairs."""
+    plans, stash = {}, near_copies.stash
+    monkeypatch.setattr(near_copies, "stash", lambda df: plans.setdefault(tuple(df.columns), df._jdf.queryExecution().executedPlan().toString()) and stash(df))
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:199], "x"])
+    rows = [(1, " ".join(words))] * 3 + [(2, near)] * 2 + [(3, near), (4, "something else"), (None, near)]
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 3, 4: 1, None: 1})
+    assert "hashpartitioning" not in plans["sid", "found"] and "BroadcastHashJoin" in plans["sid", "found"]
+
+
+@pytest.mark.parametrize("links", [[], [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (5, 5)]])
+def test_components_by_broadcast_are_the_same(spark, links):
+    edges = spark.createDataFrame(links, "a long, b long")
+    by = [{(r.node, r.label) for r in components.components(edges, most).collect()} for most in (0, 3, 100)]
+    assert by[0] == by[1] == by[2] and len(by[0]) == 6 * bool(links)
+
+
 def test_settled_keys_are_left_out_of_later_rounds(spark):
     """Key 1 is one group, of key 2 each member outside the largest group was a hub, in key 3 one still waits."""
     keys = {1: {1: True, 2: False, 3: False}, 2: {1: False, 2: False, 4: True}, 3: {1: False, 2: False, 4: True, 5: False}}

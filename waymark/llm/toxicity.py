@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_tasks, slices
+from .common import in_tasks, release, slices
 
 TOKEN = re.compile(r"\w+")
 #: Rows of the hashed table, their width, and lengths of the n-grams.
@@ -291,6 +291,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores under `at`, columns unchanged."""
     model = fit(docs, labels)
+    release()  # later stages share the driver
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
