@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from waymark.operators import ancestry
+from waymark.operators import ancestry, tables
 from waymark.operators.tables import last_before
 
 PARENTS = "repo string, sha string, nth int, parent string"
@@ -116,3 +116,21 @@ def test_nothing_of_empty_tables(spark):
     placed = ancestry.lines(none)
     assert placed.count() == 0 and ancestry.reachable(none, none.select("repo", "sha")).count() == 0
     assert ancestry.at(placed, spark.createDataFrame([], "repo string, sha string, path string, blob string"), spark.createDataFrame([("a", "b", "c")], "repo string, sha string, path string")).first().blob is None
+
+
+def test_rows_that_take_little_parquet_are_not_broadcast(spark):
+    """A million rows of a few values are some kilobytes, which Spark would send through the driver."""
+    many = tables.kept(spark.range(1_000_000).selectExpr("id", "id % 3 as kind"))
+    held = spark.range(2_000_000).withColumnRenamed("id", "kind").join(many, "kind")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    few = tables.kept(spark.range(10))
+    assert "BroadcastHashJoin" in spark.range(2_000_000).join(few, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_of_a_small_table_is_not_broadcast(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "few"))
+    rows = spark.read.parquet(str(tmp_path / "few")).selectExpr("id", "explode(sequence(0, 999)) as n", "'a' as repo", "substring(md5(cast(id * 1000 + n as string)), 1, 9) as sha")
+    commits = spark.range(1000).selectExpr("'a' as repo", "md5(cast(id as string)) as sha", "true as reachable")
+    plan = ancestry.evidence_states(rows, commits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
