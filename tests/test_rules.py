@@ -1,6 +1,7 @@
 """Patterns in two dialects, texts of findings, logs written and read again, streams of edits, commands and actions."""
 
 import json
+import random
 import re
 import warnings
 
@@ -147,3 +148,45 @@ def test_streams_of_edits_commands_and_actions(spark, tmp_path):
     spark.createDataFrame([(1, "rm -r x"), (2, "ls")], "ord long, command string").write.parquet(d("cmd"))
     streaming.on_commands(spark.readStream.schema("ord long, command string").parquet(d("cmd")), a, d("hits"), d("c3")).awaitTermination(120)
     assert [(r.id, r.ord) for r in spark.read.parquet(d("hits")).collect()] == [(3, 1)]
+
+
+def brute_pickaxe(patches, lines, most):
+    got = set()
+    for i, line in lines:
+        net = {}
+        for seq, _, file, sign, text in patches:
+            if line and line in text:
+                net[seq, file] = net.get((seq, file), 0) + (1 if sign == "+" else -1)
+        newest = sorted({seq for (seq, _), n in net.items() if n})[:most]
+        got |= {(i, file) for (seq, file), n in net.items() if n > 0 and seq in newest}
+    return got
+
+
+@pytest.mark.parametrize("every", [1, 8, 1 << 40])
+def test_pickaxe_equals_a_search(spark, monkeypatch, every):
+    """Lines cut inside words, of one word to many, some asked for often, some without words, some removed as often as added."""
+    monkeypatch.setattr(reanchor, "EVERY", every)
+    r = random.Random(every % 97)
+    text = lambda n: "".join(r.choice(["the ", "of ", "lines ", "größe ", "a.b ", "x = ", "{} ", f"w{r.randrange(12)} "]) for _ in range(n))
+    texts = [text(r.choice([2, 6, 15, 40])) for _ in range(25)]
+    patches = [(r.randrange(12), f"s{k}", f"f{r.randrange(6)}", r.choice("+-+"), r.choice(texts)) for k in range(60)]
+    lines = []
+    for i in range(50):
+        t = r.choice(texts)
+        at = r.randrange(len(t))
+        lines.append((i, t[at : at + r.choice([1, 4, 9, 30, 80])]))
+    lines += [(100 + i, texts[0][2:-2]) for i in range(5)] + [(200, "")]
+    frame = spark.createDataFrame(patches, "seq long, sha string, file string, sign string, text string")
+    tracked = spark.createDataFrame([(f"f{k}",) for k in range(6)], "path string")
+    found = reanchor.pickaxe(frame, spark.createDataFrame(lines, "id long, line string"), tracked, 3).collect()
+    assert len(found) == len(set(found)) and {tuple(x) for x in found} == brute_pickaxe(patches, lines, 3)
+
+
+def test_pickaxe_deals_out_no_text_for_each_word(spark, monkeypatch):
+    plans = []
+    keep = reanchor.kept
+    monkeypatch.setattr(reanchor, "kept", lambda df, *spent: (plans.append(df), keep(df, *spent))[1])
+    patches = spark.createDataFrame([(1, "s", "f", "+", "some words of a text and some more of them")], "seq long, sha string, file string, sign string, text string")
+    found = reanchor.pickaxe(patches, spark.createDataFrame([(1, "of a text and some")], "id long, line string"), patches.selectExpr("file as path"))
+    made = [x for df in [*plans, found] for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
+    assert [x.file for x in found.collect()] == ["f"] and not any("text#" in x for x in made)
