@@ -124,6 +124,8 @@ def test_rows_that_take_little_parquet_are_not_broadcast(spark):
     held = spark.range(2_000_000).withColumnRenamed("id", "kind").join(many, "kind")
     plan = held._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    alike = tables.kept(spark.range(1).selectExpr("explode(sequence(0, 30000)) as id", "1 as kind").select("kind"))
+    assert "Broadcast" not in spark.range(9_000_000).selectExpr("cast(id as int) as kind").join(alike, "kind")._jdf.queryExecution().executedPlan().toString()
     few = tables.kept(spark.range(10))
     assert "BroadcastHashJoin" in spark.range(2_000_000).join(few, "id")._jdf.queryExecution().executedPlan().toString()
 
